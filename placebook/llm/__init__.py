@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from placebook.llm import quality_rules
+from placebook.llm import packing, quality_rules
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": quality_rules.op7_quality_rules}
+    return {
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
