@@ -165,7 +165,8 @@ def rule_order(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 400, s
 
     Every rule is timed alone on fresh counts, so a rule pays for all that it needs.
     """
-    sample = docs.select("text").sample(fraction=0.05, seed=seed).limit(sample_rows).toArrow().column("text").combine_chunks()
+    # take() reads partitions one by one until it has enough rows
+    sample = pa.array([r["text"] for r in docs.select("text").sample(fraction=0.05, seed=seed).take(sample_rows)], pa.string())
     if not len(sample):
         return list(rules)
 
