@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placebook.llm import packing, quality_rules
+from placebook.llm import near_copies, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op2_near_copies": near_copies.op2_near_copies,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
