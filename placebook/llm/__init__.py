@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from placebook.llm import near_copies, packing, quality_rules
+from placebook.llm import near_copies, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_near_copies": near_copies.op2_near_copies,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
