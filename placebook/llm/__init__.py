@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from placebook.llm import near_copies, packing, quality_classifier, quality_rules, toxicity
+from placebook.llm import chat_format, near_copies, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_near_copies": near_copies.op2_near_copies,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op5_chat_format": chat_format.op5_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -16,4 +17,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE}
+    return {
+        "op5_chat_format": chat_format.ORACLE,
+        "op7_quality_rules": quality_rules.ORACLE,
+    }
