@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from placebook.llm import chat_format, near_copies, packing, quality_classifier, quality_rules, toxicity
+from placebook.llm import chat_format, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_near_copies": near_copies.op2_near_copies,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_mixing": mixing.op4_mixing,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": mixing.ORACLE,
         "op5_chat_format": chat_format.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
     }
