@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placebook.llm import chat_format, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
+from placebook.llm import chat_format, metric_search, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_metric_search": metric_search.op6_metric_search,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.ORACLE,
         "op5_chat_format": chat_format.ORACLE,
+        "op6_metric_search": metric_search.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
     }
