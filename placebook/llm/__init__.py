@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placebook.llm import chat_format, metric_search, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
+from placebook.llm import chat_format, html_text, metric_search, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_metric_search": metric_search.op6_metric_search,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+        "op9_html_text": html_text.op9_html_text,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
