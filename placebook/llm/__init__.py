@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placebook.llm import chat_format, html_text, metric_search, mixing, near_copies, packing, quality_classifier, quality_rules, toxicity
+from placebook.llm import chat_format, html_text, metric_search, mixing, near_copies, packing, quality_classifier, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op2_near_copies": near_copies.op2_near_copies,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_sharding": sharding.ORACLE,
         "op4_mixing": mixing.ORACLE,
         "op5_chat_format": chat_format.ORACLE,
         "op6_metric_search": metric_search.ORACLE,
