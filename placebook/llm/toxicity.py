@@ -118,30 +118,42 @@ class Index:
         bound = np.zeros((n, self.n_blocks), np.float32)
         bound[some] = np.add.reduceat(weight[:, None] * self.peak[term], first[some], axis=0)
         order = np.argsort(-bound, axis=1, kind="stable")
-        open_ = some
-        for turn in range(self.n_blocks):
-            block = order[open_, turn]
-            # a block may still tie the k-th similarity, within rounding
-            still = (bound[open_, block] > 0) & (bound[open_, block] >= sims[open_, -1] - 1e-5)
-            open_, block = open_[still], block[still]
-            if not len(open_):
-                break
-            for b in np.unique(block):
-                rows = open_[block == b]
-                count = first[rows + 1] - first[rows]
-                at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                score = np.add.reduceat(weight[at][:, None] * self.postings[b][term[at]], np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0)
-                ids = np.arange(b * BLOCK, b * BLOCK + BLOCK)
-                if own is not None:
-                    score[ids[None, :] == own[rows][:, None]] = 0
-                both = np.concatenate([sims[rows], score], axis=1)
-                names = np.concatenate([best[rows], np.broadcast_to(np.where(ids < len(self.ids), ids, -1), score.shape)], axis=1)
-                names[both <= 0] = -1
-                top = np.lexsort((np.where(names < 0, len(self.ids), names), -np.round(both, 6)), axis=1)[:, :k]
-                sims[rows] = np.take_along_axis(both, top, axis=1)
-                best[rows] = np.take_along_axis(names, top, axis=1)
+        for part in np.array_split(some, max(1, len(some) // 64)):
+            self._descend(part, order, bound, first, term, weight, own, best, sims)
         return best, sims
 
+    def _descend(self, rows, order, bound, first, term, weight, own, best, sims) -> None:
+        """Score the blocks of ``rows`` in rounds by falling bound, each twice as wide or more, while any may reach the k-th similarity."""
+        k, at, wide = best.shape[1], 0, 2
+        while at < self.n_blocks:
+            block = order[rows, at : at + wide]
+            at, wide = at + wide, wide * 4
+            reach = np.take_along_axis(bound[rows], block, axis=1)
+            # a block may still tie the k-th similarity, within rounding
+            doc, turn = np.nonzero((reach > 0) & (reach >= sims[rows, -1][:, None] - 1e-5))
+            if not len(doc):
+                return
+            doc, block = rows[doc], block[doc, turn]
+            count = first[doc + 1] - first[doc]
+            start = np.concatenate([[0], np.cumsum(count)[:-1]])
+            entry = np.repeat(first[doc] - start, count) + np.arange(count.sum())
+            score = np.add.reduceat(weight[entry][:, None] * self.postings[np.repeat(block, count), term[entry]], start, axis=0)
+            pair, place = np.nonzero((score > 0) & (score >= sims[doc, -1][:, None] - 1e-5))
+            name, score, doc = block[pair] * BLOCK + place, score[pair, place], doc[pair]
+            if own is not None:
+                score = np.where(name == own[doc], 0, score)
+            old_doc, old = np.nonzero(best[rows] >= 0)
+            doc = np.concatenate([doc, rows[old_doc]])
+            name = np.concatenate([name, best[rows[old_doc], old]])
+            score = np.concatenate([score, sims[rows[old_doc], old]])
+            held = np.flatnonzero(score > 0)
+            held = held[np.lexsort((name[held], -np.round(score[held], 6), doc[held]))]
+            doc, name, score = doc[held], name[held], score[held]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            top = rank < k
+            best[doc[top], rank[top]] = name[top]
+            sims[doc[top], rank[top]] = score[top]
+
     def vote(self, best: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """The share of label 1 among the neighbours, each counting by the fourth power of its similarity and the rows that it stands for; no neighbours: NaN."""
         if not len(self.ids):
