@@ -170,11 +170,10 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def keep_good(docs: DataFrame, network: Network, threshold: float = 0.7) -> DataFrame:
     """The documents whose probability of good quality reaches ``threshold``, with their columns."""
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    return scored(held, fit(docs, labels)).filter(F.col("score") >= threshold).select("row.*")
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return scored(held, network).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
