@@ -100,7 +100,9 @@ def chosen_blocks(docs: DataFrame, sources: DataFrame, block: int = BLOCK, budge
     quota = written(apportioned(parties, [], ["key"]).select("key", F.col("seats").alias("q")), "quotas")
     held = shards.join(quota, "key").select("key", "shard", "blocks", F.col("shard_size").cast("double").alias("w"), F.expr("2 * blocks").alias("most"), "q")
     own = apportioned(held, ["key"], ["shard"]).filter("seats > 0").select("key", "shard", "blocks", "seats")
-    each = own.withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    # few rows that become many: a fixed number of partitions, which AQE does not merge by the size before
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = own.repartition(parts, "key", "shard").withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
     salt = f"concat('{seed}|', key, '|', shard, '|', b)"
     order = Window.partitionBy("key", "shard").orderBy("r", "b")
     ranked = each.withColumn("r", F.expr(_hash(salt))).withColumn("_n", F.row_number().over(order))
@@ -118,7 +120,8 @@ def mixed(docs: DataFrame, carry: list[str], block: int = BLOCK, budget: float =
     placed = written(placed.select(*dict.fromkeys([*carry, "doc_id", "key", "size", "source_size", "target", "shard", "first"])), "placed")
     blocks = chosen_blocks(placed, sources, block, budget, seed)
     cut = placed.filter("size > 0").select("key", "shard", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("b"))
-    hit = cut.join(blocks, ["key", "shard", "b"]).withColumns({"lo": F.expr(f"greatest(first, b * {block}) - first"), "hi": F.expr(f"least(first + size, (b + 1) * {block}) - first")})
+    # both sides grow with the tokens: never broadcast
+    hit = cut.join(blocks.hint("merge"), ["key", "shard", "b"]).withColumns({"lo": F.expr(f"greatest(first, b * {block}) - first"), "hi": F.expr(f"least(first + size, (b + 1) * {block}) - first")})
     took = hit.groupBy("key", "shard", "first").agg(F.expr("sum((hi - lo) * times)").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("lo").alias("from_word"), F.col("hi").alias("to_word"), "times"))).alias("spans"))
     took = took.withColumn("some", F.lit(True))
     # where documents start at the same token, all but the last are empty
