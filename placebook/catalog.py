@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from placebook.plans.queries import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
