@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from placebook.llm._store import table, written
 
-PAGE, FANOUT, TREE_ROWS, GROUP, SLACK = 64, 8, 20_000, 2048, 1e-6
+PAGE, FANOUT, TREE_ROWS, GROUP, SLACK = 128, 16, 10_000, 512, 1e-6
 
 
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -50,12 +50,19 @@ def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 class Node:
     """A page of vectors, or of child nodes, around a pivot."""
 
-    __slots__ = ("pivot", "radius", "parent_distance", "children", "rows", "row_distance")
+    __slots__ = ("pivot", "radius", "parent_distance", "children", "page", "rows", "row_distance")
 
     def __init__(self, pivot, radius, parent_distance):
         self.pivot, self.radius, self.parent_distance = pivot, radius, parent_distance
         self.children: list[Node] = []
-        self.rows = self.row_distance = None
+        self.page = self.rows = self.row_distance = None
+
+    def seal(self) -> None:
+        """Lay the children's pivots, radii and parent distances out as one page."""
+        for node in self.children:
+            node.seal()
+        if self.children:
+            self.page = np.stack([c.pivot for c in self.children]), np.array([c.radius for c in self.children]), np.array([c.parent_distance for c in self.children])
 
 
 def build(points: np.ndarray, page: int = PAGE, fanout: int = FANOUT) -> Node:
@@ -83,6 +90,7 @@ def build(points: np.ndarray, page: int = PAGE, fanout: int = FANOUT) -> Node:
                 child = Node(pivot, 0.0, float(np.sqrt(((pivot - node.pivot) ** 2).sum())))
                 node.children.append(child)
                 todo.append((child, mine))
+    root.seal()
     return root
 
 
@@ -93,25 +101,22 @@ def search(root: Node, points: np.ndarray, ints: np.ndarray, ids: np.ndarray, qu
     best: list[tuple[int, int]] = []  # a heap with the worst on top
     limit = np.inf  # distance of the k-th score
 
-    def distance(x):
-        d = q - x
-        return float(np.sqrt(d @ d))
-
-    near = distance(root.pivot)
+    near = float(np.sqrt(((q - root.pivot) ** 2).sum()))
     queue = [(max(0.0, near - root.radius), 0, near, root)]
     turn = 0
     while queue:
         bound, _, near, node = heapq.heappop(queue)
         if bound > limit + SLACK * (1 + limit):
             break
-        for child in node.children:
-            if abs(near - child.parent_distance) - child.radius > limit + SLACK * (1 + limit):
-                continue
-            d = distance(child.pivot)
-            low = max(0.0, d - child.radius)
-            if low <= limit + SLACK * (1 + limit):
+        if node.page is not None:
+            pivots, radius, parent = node.page
+            reach = limit + SLACK * (1 + limit)
+            open_ = np.flatnonzero(np.abs(near - parent) - radius <= reach)
+            d = np.sqrt(((pivots[open_] - q) ** 2).sum(axis=1))
+            low = np.maximum(0.0, d - radius[open_])
+            for c in np.flatnonzero(low <= reach).tolist():
                 turn += 1
-                heapq.heappush(queue, (low, turn, d, child))
+                heapq.heappush(queue, (float(low[c]), turn, float(d[c]), node.children[open_[c]]))
         if node.rows is not None:
             rows = node.rows
             if np.isfinite(limit):
