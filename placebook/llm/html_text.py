@@ -285,8 +285,11 @@ def _layout(rng: np.random.Generator, main: list[Block], other: list[str], prose
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, seed: int = 3) -> Labeller | None:
-    """A labeller from at most ``train_pages`` pages, those of the least seeded hashes; None without any main text to learn from."""
-    sample = pages.select("html").filter("html is not null and length(html) < 100000").orderBy(F.xxhash64("html", F.lit(seed)), "html").limit(train_pages).collect()
+    """A labeller from at most ``train_pages`` pages, drawn by a seeded hash; None without any main text to learn from."""
+    usable = pages.select("html").filter("html is not null and length(html) < 100000")
+    # about twice the sample by hash, of which take() reads as many as it needs
+    share = min(1.0, 2 * train_pages / max(pages.count(), 1))
+    sample = usable.filter(F.pmod(F.xxhash64("html", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).take(train_pages)
     read = [blocks_of(r["html"]) for r in sample]
     labels = [plain_labels(p) for p in read]
     other = [b.text for p, y in zip(read, labels) for b, k in zip(p, y) if not k] or ["more about us"]
