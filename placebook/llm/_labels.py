@@ -17,10 +17,15 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(F.col(column)).cast("int").alias("label"))
 
 
-def bounded_sample(rows: DataFrame, most_per_label: int, seed: int) -> DataFrame:
-    """At most ``most_per_label`` rows of each label, those of the least seeded hashes: 2 * most_per_label rows whatever the input.
+def bounded_sample(rows: DataFrame, counts: dict[int, int], most_per_label: int, seed: int) -> DataFrame:
+    """At most ``most_per_label`` rows of each label, of the least seeded hashes: 2 * most_per_label rows whatever the input.
 
-    Each label's rows are a top-k: tasks send on no more than they may win.
+    ``counts`` has the rows of each label. Only about twice the sample goes into each label's top-k.
     """
-    order = F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")
-    return rows.filter("label = 0").orderBy(*order).limit(most_per_label).unionByName(rows.filter("label = 1").orderBy(*order).limit(most_per_label))
+
+    def drawn(label: int) -> DataFrame:
+        own = rows.filter(F.col("label") == label).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)))
+        share = min(1.0, 2 * most_per_label / max(counts.get(label, 0), 1))
+        return own.filter(F.col("_h") < int(share * (1 << 30))).orderBy("_h", "doc_id").limit(most_per_label).drop("_h")
+
+    return drawn(0).unionByName(drawn(1))

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", train_rows:
     odds = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(odds) < 2:
         return Network(*[np.zeros(0)] * 3, 0.0, constant=next((float(k) for k in odds), 0.5))
-    ids = bounded_sample(known, train_rows, seed)
+    ids = bounded_sample(known, odds, train_rows, seed)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * train_rows ids at most
         .filter(F.octet_length("text") <= LONGEST_TRAINED).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()

@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
     nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
     if len(odds) < 2:
         return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), nothing, empty_score=float(next(iter(odds), 0)))
-    ids = bounded_sample(known, examples, seed)
+    ids = bounded_sample(known, odds, examples, seed)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * examples ids at most
     sample = written(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "examples")
 
