@@ -20,7 +20,7 @@ def confidence(d2: Column) -> Column:
 def nearest(records: DataFrame, lon: float, lat: float, k: int) -> DataFrame:
     """(rank, rec_id, d2, confidence) of the k records nearest to one point, ties to the smaller id; a top-k without a full sort."""
     d2 = squared_distance(F.col("lon"), F.col("lat"), F.lit(float(lon)), F.lit(float(lat)))
-    top = records.select("rec_id", d2.alias("d2")).orderBy("d2", "rec_id").limit(max(k, 0))
+    top = records.select("rec_id", d2.alias("d2")).filter("d2 is not null and not isnan(d2)").orderBy("d2", "rec_id").limit(max(k, 0))
     return top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "rec_id"))).select("rank", "rec_id", "d2", confidence(F.col("d2")).alias("confidence"))
 
 

@@ -1,0 +1,124 @@
+import base64
+import datetime
+import hashlib
+import hmac
+import json
+import threading
+import time
+import urllib.error
+import urllib.request
+
+from placebook import cli, service
+from placebook.geocoder import Geocoder
+from placebook.operators import access
+from placebook.schema import TIERS, RateLimit
+from placebook.sources import rows
+from placebook.streaming.geocode import forward_stream, limit_stream
+
+T0 = datetime.datetime(2024, 1, 1)
+
+
+def log(spark, items):
+    return spark.createDataFrame([(k, i, T0 + datetime.timedelta(seconds=s)) for i, (k, s) in enumerate(items)], "key_id string, request_id long, ts timestamp")
+
+
+def told(df):
+    return {r.request_id: (r.allowed, r.reason, r.retry_after_ms) for r in df.collect()}
+
+
+def test_bucket_and_day(spark):
+    got = told(access.replay(log(spark, [("a", 0), ("a", 0.1), ("a", 0.2), ("a", 0.6), ("b", 0.2), ("a", 100)]), RateLimit(2, 0)))
+    assert [got[k][0] for k in range(6)] == [True, True, False, True, True, True] and got[2] == (False, access.BUSY, 500)
+    got = told(access.replay(log(spark, [("a", 0), ("a", 10), ("a", 20), ("a", 86_399), ("a", 86_400), ("a", 86_401), ("a", 86_402)]), RateLimit(5, 2)))
+    assert [got[k][0] for k in range(7)] == [True, True, False, False, True, True, False] and got[2] == (False, access.SPENT, 0)
+    assert TIERS["enterprise"].per_day == 0 and access.replay(log(spark, [("a", 0)]).limit(0), RateLimit()).count() == 0
+
+
+def test_a_daily_denial_has_used_a_token(spark):
+    got = told(access.replay(log(spark, [("a", 0), ("a", 0.01), ("a", 0.02)]), RateLimit(2, 1)))
+    assert [got[k][1] for k in range(3)] == [None, access.SPENT, access.BUSY]
+
+
+def test_stream_agrees_with_replay(spark, tmp_path):
+    items = [(f"k{i % 3}", (i * 7 % 50) / 10) for i in range(60)]
+    requests = log(spark, sorted(items, key=lambda x: x[1]))
+    limit = RateLimit(1, 4)
+    for k in range(3):
+        requests.filter(f"floor((request_id) / 20) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = limit_stream(spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), limit)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(access.replay(requests, limit))
+
+
+def test_keys(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    keys = spark.createDataFrame(access.new_keys(spark, names, "free").collect())
+    assert access.validate(keys, keys.select("raw_key")).count() == 2
+    gone = access.revoke(keys, keys.filter("name = 'a'").select("id"))
+    assert [r.name for r in access.validate(gone, keys.select("raw_key")).collect()] == ["b"]
+    value = spark.createDataFrame([("hello",)], "x string").select(access.key_hash("x").alias("h")).first().h
+    assert value == hashlib.sha256(b"hello").hexdigest()
+
+
+def geocoder(spark):
+    make = lambda n, s, c: (dict(house_number=n, street=s, city=c, state=None, postcode=None, country=None, full=f"{n} {s}, {c}"), 1.0 + int(n) / 100, 2.0)
+    return Geocoder.build(rows.manual(spark, [make("1", "Main Street", "Springfield"), make("2", "Oak Avenue", "Portland"), make("3", "Main Street", "Denver")]))
+
+
+def test_forward_stream(spark, tmp_path):
+    geo = geocoder(spark)
+    asked = spark.createDataFrame([(0, "springfield"), (1, "Portlnad"), (2, "zz")], "qid long, q string")
+    asked.write.parquet(str(tmp_path / "in"))
+    query = forward_stream(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in")), geo.records, geo.index, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination(120)
+    assert sorted((r.qid, r.rec_id, r.match_type) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0, "exact"), (1, 1, "fuzzy")]
+
+
+def token(secret, **claims):
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    text = part({"alg": "HS256", "typ": "JWT"}) + "." + part(claims)
+    return text + "." + base64.urlsafe_b64encode(hmac.new(secret.encode(), text.encode(), hashlib.sha256).digest()).rstrip(b"=").decode()
+
+
+def test_service(spark, monkeypatch):
+    monkeypatch.setenv(service.SECRET, "s3cret")
+    front = service.server(geocoder(spark), "127.0.0.1:0")
+    threading.Thread(target=front.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{front.server_port}"
+    good = token("s3cret", sub="me", exp=time.time() + 60, role="reader")
+
+    def call(path, body=None, auth=good):
+        request = urllib.request.Request(base + path, data=body, headers={"Authorization": f"Bearer {auth}"} if auth else {})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    assert call("/healthz", auth=None) == (200, "ok") and call("/readyz", auth=None) == (200, "ready")
+    assert json.loads(call("/health", auth=None)[1]) == {"status": "ok", "records": 3}
+    assert call("/forward?q=x", auth=None)[0] == 401
+    assert call("/forward?q=x", auth=token("other", sub="me", exp=time.time() + 60))[0] == 401
+    assert call("/forward?q=x", auth=token("s3cret", sub="me", exp=time.time() - 60))[0] == 401
+    hits = json.loads(call("/forward?q=main%20st")[1])["results"]
+    assert hits == [] or hits[0]["match_type"] in ("exact", "fuzzy")
+    assert json.loads(call("/forward?q=1%20main")[1])["results"][0]["address"]["full"] == "1 Main Street, Springfield"
+    assert json.loads(call("/reverse?lon=2.0&lat=1.02&limit=1")[1])["results"][0]["confidence"] == 1.0
+    assert len(json.loads(call("/autocomplete?q=main&limit=1&lon=2&lat=1.03")[1])["results"]) == 1
+    assert [len(x) for x in json.loads(call("/batch", json.dumps({"queries": ["Denver", "zz"]}).encode())[1])["results"]] == [1, 0]
+    assert call("/forward")[0] == 400 and call("/none")[0] == 404
+    assert "placebook_forward_total 2" in call("/metrics", auth=None)[1]
+    front.shutdown()
+
+
+def test_cli(spark, tmp_path, capsys):
+    path = tmp_path / "a.csv"
+    path.write_text("LON,LAT,NUMBER,STREET,CITY\n-90.5,39.25,1,Main St,Springfield\n")
+    assert cli.main(["forward", "-d", str(path), "1 Main"]) == 0
+    assert cli.main(["forward", "-d", str(path), "Springfeild"]) == 0
+    assert cli.main(["forward", "-d", str(path), "zzz"]) == 0
+    assert cli.main(["reverse", "-d", str(path), "--lon", "-90.5", "--lat", "39.25"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "39.250000, -90.500000 — 1 Main St Springfield (confidence: 1.00)" and ", fuzzy)" in out[1] and out[2] == "No results found." and out[3] == out[0]
