@@ -8,8 +8,8 @@ exactly if no rule rejects it, so the verdict is the same under any order.
 
 Defined results: a null or empty text has no words and is rejected as too
 short; repeated rows and tied ids are judged row by row; very long texts are
-read whole; further columns pass through untouched; an empty table gives an
-empty table.
+read whole; further columns pass through untouched, but judge() replaces columns
+that have its results' names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -194,8 +194,9 @@ def _cascade(counts: Counts, rules: Sequence[Rule]) -> np.ndarray:
 
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 400, with_counts: bool = False) -> DataFrame:
     """Add ``failed_rule`` (null where kept) to every document; with ``with_counts`` also the base counts of each."""
-    ordered = rule_order(docs, rules or default_rules(), sample_rows)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") if with_counts else ()
+    docs = docs.drop(*base, "failed_rule")
+    ordered = rule_order(docs, rules or default_rules(), sample_rows)
     names = [r.name for r in ordered]
 
     def run(batches):
@@ -212,7 +213,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 400) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
-    return judge(docs, rules, sample_rows).filter("failed_rule is null").drop("failed_rule")
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return judge(held, rules, sample_rows).filter("failed_rule is null").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
