@@ -38,7 +38,7 @@ from placebook.llm._words import Texts, mix, slices
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 16, 6, 0.995
-BLOCK = 1024
+BLOCK = 512
 
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, size=64 * 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
