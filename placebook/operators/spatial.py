@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placebook.sources.staging import staged
+
 
 def squared_distance(lon: Column, lat: Column, x: Column, y: Column) -> Column:
     return (lon - x) * (lon - x) + (lat - y) * (lat - y)
@@ -59,7 +61,7 @@ def nearest_join(records: DataFrame, points: DataFrame, k: int, cell: float | No
             break
         sure = top.filter((F.col("rank") == k) & (F.col("d2") < (g * (1 - 1e-9)) ** 2)).select("qid")
         done.append(top.join(sure, "qid", "left_semi").select("qid", "rank", "rec_id", "d2"))
-        left = left.join(sure, "qid", "left_anti")
+        left = staged(left.join(sure, "qid", "left_anti"), "points")  # else each round would repeat those before
         if left.isEmpty():
             break
         g *= 4
