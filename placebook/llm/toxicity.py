@@ -36,7 +36,7 @@ from placebook.llm._store import table, written
 from placebook.llm._words import Texts, mix, slices
 
 EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 3000, 1024, 15, 64
-LEAST_CHI = 20.0
+LEAST_CHI, LEAST_LIFT = 20.0, 3.0
 STEMS = (4, 5, 6, 7, 8)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -206,7 +206,7 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     return np.array([df.get(k, 0) for k in range(len(vocabulary))], np.int64), df.get(-1, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int = EXAMPLES, vocabulary_size: int = VOCABULARY, least_chi: float = LEAST_CHI, seed: int = 7) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int = EXAMPLES, vocabulary_size: int = VOCABULARY, least_chi: float = LEAST_CHI, least_lift: float = LEAST_LIFT, seed: int = 7) -> Index:
     """The index over at most ``examples`` labelled rows of each label; the driver holds only these, as vocabulary terms."""
     known = learnable(labels, column)
     odds = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
     chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) / ((a + b) * (n1 + n0 - a - b) * n1 * n0 + 1e-9)
     best = (
         sample.mapInArrow(tally, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").cast("double").alias("ones"), F.sum("zeros").cast("double").alias("zeros"))
-        .filter((a + b >= 3) & (a / n1 > b / n0)).select("term", chi.alias("chi")).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary_size).collect()
+        .filter((a + b >= 3) & (a / n1 >= least_lift * b / n0)).select("term", chi.alias("chi")).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary_size).collect()
     )
     vocabulary = np.sort(np.array([r["term"] for r in best], np.int64))
     df, n = _counted(docs, vocabulary)
