@@ -39,12 +39,13 @@ def collapsed(c: Column | str) -> Column:
 
 def replaced_word(c: Column, word: str, by: str) -> Column:
     """Replace ``word`` where it stands alone; an occurrence right after another one counts as a word start."""
-    return F.regexp_replace(c, f"(?:(?<![0-9A-Za-z])|(?<={word})){word}(?![0-9A-Za-z])", by)
+    # the literal comes first, so that most places are passed over by its first letter
+    return F.regexp_replace(c, f"{word}(?<=(?:^|[^0-9A-Za-z]|{word}){word})(?![0-9A-Za-z])", by)
 
 
 def _without_unit(c: Column, word: str) -> Column:
     """Cut the first occurrence of a designator, if it stands alone, with the token after it."""
-    before = f"(?s)^((?:(?!{word}).)*)(?<![0-9A-Za-z]){word}(?![0-9A-Za-z]){_BLANK}*[^{_BLANK}]*"
+    before = f"(?s)^(?>(.*?){word})(?<=(?:^|[^0-9A-Za-z]){word})(?![0-9A-Za-z]){_BLANK}*[^{_BLANK}]*"
     return F.regexp_replace(c, before, "$1 ")
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.operators import autocomplete, batch, forward, spatial
-from placebook.operators.index import entries, write_sorted
+from placebook.operators.index import entries, spread, write_sorted
 from placebook.schema import EXACT, RESULT
 from placebook.sources import loader, store
-from placebook.sources.staging import new_path
+from placebook.sources.staging import new_path, staged
 
 
 @dataclass
@@ -35,7 +35,8 @@ class Geocoder:
         """A stored gazetteer; its index is made again with ``fresh``."""
         records = store.load(spark, path)
         if fresh:
-            write_sorted(entries(records), f"{path}/entries")
+            # written first: dealing by ranges reads its input twice
+            write_sorted(staged(entries(spread(records)), "entries"), f"{path}/entries")
         return Geocoder(spark, records, spark.read.parquet(f"{path}/entries"))
 
     @staticmethod

@@ -23,10 +23,15 @@ def entries(records: DataFrame) -> DataFrame:
     return keyed.withColumn("full_key", F.concat("key", F.lit(SEPARATOR), F.col("rec_id").cast("string")))
 
 
-def write_sorted(index: DataFrame, path: str, parts: int | None = None) -> None:
-    """Store entries in key order, so that a prefix reads few row groups."""
-    ranged = index.repartitionByRange(parts, "full_key") if parts else index.repartitionByRange("full_key")
-    ranged.sortWithinPartitions("full_key").write.mode("overwrite").parquet(path)
+def spread(records: DataFrame) -> DataFrame:
+    """Deal records over spark.sql.shuffle.partitions tasks: making keys costs far more than moving records, and few or small files would leave it to few tasks."""
+    return records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+
+
+def write_sorted(index: DataFrame, path: str) -> None:
+    """Store entries in key order, so that a prefix reads few files and row groups."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.repartitionByRange(parts, "full_key").sortWithinPartitions("full_key").write.mode("overwrite").parquet(path)
 
 
 def unique_index(pairs: DataFrame, key: str = "key", value: str = "value", order: str = "seq") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.text import parse_address
-from placebook.operators.index import entries, write_sorted
-from placebook.sources.staging import new_path
+from placebook.operators.index import entries, spread, write_sorted
+from placebook.sources.staging import new_path, staged
 
 _STREETS = "'Main','Oak','North Elm','Lynn','Broadway','King''s','Ross','Southeast Cedar','Lake','Castle','Avenue','Pine Tree'"
 _KINDS = "'Street','Avenue','Boulevard','Drive','Road','Lane','Court','Place','Way','Circle'"
@@ -65,7 +65,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_entries(records: DataFrame) -> DataFrame:
     """The text index as it is used: normalised once, stored in key order and read back."""
     path = new_path(records.sparkSession, "entries")
-    write_sorted(entries(records), path)
+    write_sorted(staged(entries(spread(records)), "keyed"), path)
     return records.sparkSession.read.parquet(path)
 
 
