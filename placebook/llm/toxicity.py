@@ -1,25 +1,28 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are lower-cased words without closing punctuation, and word stems of
-four to six bytes.  From a bounded sample of labelled rows the terms that
-tell the labels apart best (by chi-square) make up the vocabulary; their
-inverse document frequencies count all documents.
-
-The examples form an inverted index: for each term the examples that hold it,
-in blocks of ``BLOCK`` examples, with the largest weight in each block.  The
-block maxima bound what a block can score.  A document takes its blocks by
-falling bound and stops at the first that cannot beat its k-th neighbour, so
-its neighbours are exact.  They vote with the fourth
-power of their similarity, and
-a logistic curve, fitted on the examples' own leave-one-out votes at the
-labels' odds, turns the vote into a probability.  The neighbours are evidence.
+four to eight bytes.  From a bounded sample of labelled rows every term is in
+the vocabulary; inverse document frequencies count all documents.  A term that
+no example holds can meet nothing and has no weight.
+
+The examples form an inverted index: for each term the examples that hold it.
+Rare terms are added up from their lists.  The terms of most examples, function
+words above all, are columns of a matrix, in blocks of ``BLOCK`` examples with
+the largest weight of each term in each block.  What the rare terms give and
+the block maxima bound what a block can score; a block that cannot beat the
+k-th of some examples already scored is skipped, so the neighbours are exact.
+They vote with the fourth power of their similarity, and a logistic curve,
+fitted on the examples' own leave-one-out votes at the labels' odds, turns the
+vote and the mean cosine to all examples of each label into a probability.
+The neighbours are evidence.
 
 Defined results: a document without a term of the vocabulary (null and empty
 texts too) has no neighbours, and its score is the share of label 1 among
-labelled rows without such terms; equal similarities go to the smaller example
-id; repeated rows get equal scores; very long texts are read whole; without
-both labels to learn from every score is the share of label 1 (0 without any
-label); an empty table gives an empty table; further columns are not inputs.
+labelled rows without any term (0 where there are none); equal similarities go
+to the smaller example id; repeated rows get equal scores; very long texts are
+read whole; without both labels to learn from every score is the share of
+label 1 (0 without any label); an empty table gives an empty table; further
+columns are not inputs.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +39,8 @@ from placebook.llm._labels import bounded_sample, held_out, learnable
 from placebook.llm._store import table, written
 from placebook.llm._words import Texts, mix, slices
 
-EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 3000, 1024, 15, 64
-LEAST_CHI, LEAST_LIFT = 20.0, 3.0
+EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
+COLUMNS, PAIRS = 768, 1 << 21  # terms held as columns; list entries added up at once
 STEMS = (4, 5, 6, 7, 8)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,15 +76,15 @@ def _grouped(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _known(texts: Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, index in the sorted vocabulary, count) of the terms that the vocabulary has."""
-    text, term, _ = terms(texts)
+    text, term, count = _grouped(*terms(texts)[:2])
     at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
     hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    return _grouped(text[hit], at[hit])
+    return text[hit], at[hit], count[hit]
 
 
 @dataclass
 class Index:
-    """Examples by block; ``peak`` has the largest weight of each term in each block.
+    """Examples by term (``entries``: example, term, weight); ``peak`` has the largest weight of each column in each block.
 
     ``stands_for`` has the labelled rows that an example of label 0 and of label 1 stands for in the sample.
     """
@@ -94,16 +98,38 @@ class Index:
     empty_score: float = 0.0
     stands_for: tuple[float, float] = (1.0, 1.0)
 
-    def __post_init__(self):
+    def build(self) -> None:
+        """Lists, columns and bounds, once; the driver that only passes the index on never makes them."""
+        if hasattr(self, "first"):
+            return
         example, term, weight = self.entries
+        if (np.diff(term) < 0).any():
+            order = np.lexsort((example, term))
+            example, term, weight = self.entries = example[order], term[order], weight[order]
+        size = len(self.vocabulary)
         self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
-        self.postings = np.zeros((self.n_blocks, len(self.vocabulary), BLOCK), np.float32)
-        self.postings[example // BLOCK, term, example % BLOCK] = weight
-        self.peak = np.ascontiguousarray(self.postings.max(axis=2).T)
+        count = np.bincount(term, minlength=size)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        common = np.argsort(-count, kind="stable")[:COLUMNS]
+        common = common[count[common] >= max(BLOCK // 4, len(self.ids) // 50)]
+        self.column = np.full(size, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        in_column = self.column[term] >= 0
+        self.columns = np.zeros((self.n_blocks * BLOCK, len(common)))
+        self.columns[example[in_column], self.column[term[in_column]]] = weight[in_column]
+        self.peak = self.columns.reshape(self.n_blocks, BLOCK, -1).max(axis=1).T
+        self.members = [float((self.label == k).sum()) for k in (0, 1)]
+        self.middle = [np.bincount(term, weight * (self.label[example] == k), minlength=size) for k in (0, 1)]
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The index as one broadcast, bounded by EXAMPLES."""
+        if not hasattr(self, "_shared"):
+            self._shared = spark.sparkContext.broadcast((self.vocabulary, self.idf, self.ids, self.label, self.entries))
+        return self._shared
 
     def weigh(self, text, term, count, n) -> np.ndarray:
         """TF-IDF weights of unit length by text."""
-        weight = (1 + np.log(count)) * self.idf[term]
+        weight = (1 + np.log(count, dtype=np.float64)) * self.idf[term]
         norm = np.sqrt(np.bincount(text, weight * weight, minlength=n))
         return (weight / norm[text]).astype(np.float32)
 
@@ -111,48 +137,63 @@ class Index:
         """(examples, similarities) of the k nearest of each of n texts, -1 and 0 where there are fewer; own: an example to leave out."""
         best = np.full((n, k), -1, np.int64)
         sims = np.zeros((n, k), np.float32)
-        first = np.searchsorted(text, np.arange(n + 1))
-        some = np.flatnonzero(np.diff(first))
-        if not len(some) or not len(self.ids):
+        if not len(text) or not len(self.ids):
             return best, sims
-        bound = np.zeros((n, self.n_blocks), np.float32)
-        bound[some] = np.add.reduceat(weight[:, None] * self.peak[term], first[some], axis=0)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for part in np.array_split(some, max(1, len(some) // 64)):
-            self._descend(part, order, bound, first, term, weight, own, best, sims)
+        self.build()
+        first = np.searchsorted(text, np.arange(n + 1))
+        listed = np.where(self.column[term] < 0, self.first[term + 1] - self.first[term], 0)
+        ends = np.concatenate([[0], np.cumsum(listed)])[first]
+        at = 0
+        while at < n:
+            stop = max(at + 1, min(at + 64, int(np.searchsorted(ends, ends[at] + PAIRS, side="right")) - 1))
+            part = slice(first[at], first[stop])
+            self._score(at, text[part] - at, term[part], weight[part], listed[part], None if own is None else own[at:stop], best[at:stop], sims[at:stop])
+            at = stop
         return best, sims
 
-    def _descend(self, rows, order, bound, first, term, weight, own, best, sims) -> None:
-        """Score the blocks of ``rows`` in rounds by falling bound, each twice as wide or more, while any may reach the k-th similarity."""
-        k, at, wide = best.shape[1], 0, 2
-        while at < self.n_blocks:
-            block = order[rows, at : at + wide]
-            at, wide = at + wide, wide * 4
-            reach = np.take_along_axis(bound[rows], block, axis=1)
-            # a block may still tie the k-th similarity, within rounding
-            doc, turn = np.nonzero((reach > 0) & (reach >= sims[rows, -1][:, None] - 1e-5))
-            if not len(doc):
-                return
-            doc, block = rows[doc], block[doc, turn]
-            count = first[doc + 1] - first[doc]
-            start = np.concatenate([[0], np.cumsum(count)[:-1]])
-            entry = np.repeat(first[doc] - start, count) + np.arange(count.sum())
-            score = np.add.reduceat(weight[entry][:, None] * self.postings[np.repeat(block, count), term[entry]], start, axis=0)
-            pair, place = np.nonzero((score > 0) & (score >= sims[doc, -1][:, None] - 1e-5))
-            name, score, doc = block[pair] * BLOCK + place, score[pair, place], doc[pair]
-            if own is not None:
-                score = np.where(name == own[doc], 0, score)
-            old_doc, old = np.nonzero(best[rows] >= 0)
-            doc = np.concatenate([doc, rows[old_doc]])
-            name = np.concatenate([name, best[rows[old_doc], old]])
-            score = np.concatenate([score, sims[rows[old_doc], old]])
-            held = np.flatnonzero(score > 0)
-            held = held[np.lexsort((name[held], -np.round(score[held], 6), doc[held]))]
-            doc, name, score = doc[held], name[held], score[held]
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            top = rank < k
-            best[doc[top], rank[top]] = name[top]
-            sims[doc[top], rank[top]] = score[top]
+    def _score(self, at, row, term, weight, listed, own, best, sims) -> None:
+        """Fill ``best`` and ``sims`` for a few texts: the lists, then the columns of each block that may reach the k-th similarity."""
+        n, size, k = len(best), len(self.columns), min(best.shape[1], len(self.columns))
+        example, _, held = self.entries
+        begin = np.concatenate([[0], np.cumsum(listed)[:-1]]) if len(listed) else listed
+        entry = np.repeat(self.first[term] - begin, listed) + np.arange(listed.sum())
+        score = np.bincount(np.repeat(row * size, listed) + example[entry].astype(np.int64), np.repeat(weight.astype(np.float64), listed) * held[entry], minlength=n * size).reshape(n, size)
+        place = self.column[term]
+        asked = np.zeros((n, self.columns.shape[1]))
+        asked[row[place >= 0], place[place >= 0]] = weight[place >= 0]
+        if own is not None:
+            score[np.arange(n), own] = -np.inf
+        few = np.argpartition(score, size - k, axis=1)[:, size - k :]
+        least = (np.take_along_axis(score, few, axis=1) + np.matmul(self.columns[few], asked[:, :, None])[:, :, 0]).min(axis=1)
+        reach = score.reshape(n, self.n_blocks, BLOCK).max(axis=2) + asked @ self.peak
+        # a block may still tie the k-th similarity, within rounding
+        needed = (reach > 0) & (reach >= least[:, None] - 1e-5)
+        if needed.mean() > 0.5:
+            score += asked @ self.columns.T
+        else:
+            for block in range(self.n_blocks):
+                span, some = slice(block * BLOCK, (block + 1) * BLOCK), needed[:, block]
+                score[some, span] += asked[some] @ self.columns[span].T
+                score[~some, span] = -np.inf
+        least = np.partition(score, size - k, axis=1)[:, size - k]
+        doc, name = np.nonzero((score > 0) & (score >= least[:, None] - 2e-6))
+        score = np.round(score[doc, name], 6)
+        order = np.lexsort((name, -score, doc))
+        doc, name, score = doc[order], name[order], score[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        top = rank < k
+        best[doc[top], rank[top]] = name[top]
+        sims[doc[top], rank[top]] = score[top]
+
+    def means(self, text, term, weight, n: int, own: np.ndarray | None = None) -> np.ndarray:
+        """The mean cosine of each of n texts to all examples of label 0 and of label 1; own: an example to leave out."""
+        self.build()
+        out = np.zeros((n, 2))
+        for k in (0, 1):
+            mine = (self.label[own] == k) if own is not None else np.zeros(n, bool)
+            total = np.bincount(text, weight * self.middle[k][term], minlength=n) - mine
+            out[:, k] = np.round(total / np.maximum(self.members[k] - mine, 1), 9)
+        return out
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """The share of label 1 among the neighbours, each counting by the fourth power of its similarity and the rows that it stands for; no neighbours: NaN."""
@@ -163,16 +204,25 @@ class Index:
         with np.errstate(invalid="ignore", divide="ignore"):
             return (weight * self.label[np.maximum(best, 0)]).sum(axis=1) / total
 
-    def probability(self, best: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    def probability(self, best: np.ndarray, sims: np.ndarray, means: np.ndarray) -> np.ndarray:
         vote = self.vote(best, sims)
-        x = _features(np.nan_to_num(vote), sims)
-        slope = np.zeros(4) if self.slope is None else self.slope
+        x = _features(np.nan_to_num(vote), sims, means)
+        slope = np.zeros(6) if self.slope is None else self.slope
         return np.where(np.isnan(vote), self.empty_score, 1 / (1 + np.exp(-np.clip(x @ slope, -30, 30))))
 
 
-def _features(vote: np.ndarray, sims: np.ndarray) -> np.ndarray:
+def _features(vote: np.ndarray, sims: np.ndarray, means: np.ndarray) -> np.ndarray:
     near = sims.mean(axis=1, dtype=np.float64)
-    return np.column_stack([np.ones(len(vote)), vote, near, vote * near])
+    return np.column_stack([np.ones(len(vote)), vote, near, vote * near, means])
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The logistic slopes of features that are brought to one scale for the fit."""
+    middle, scale = x[:, 1:].mean(axis=0), x[:, 1:].std(axis=0) + 1e-9
+    slope = _logistic(np.column_stack([x[:, 0], (x[:, 1:] - middle) / scale]), y, w)
+    slope[1:] /= scale
+    slope[0] -= slope[1:] @ middle
+    return slope
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, hold: float = 0.05) -> np.ndarray:
@@ -190,24 +240,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, hold: float = 0.05) -
 
 
 def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many of all documents hold each term of the vocabulary, and how many there are; each task adds up its own."""
+    """How many of all documents hold each term of the vocabulary, and how many there are; each task adds up its own.
+
+    A task sends its counts as ranges of 8192 terms, and each range is added up in one place.
+    """
+    size, wide = len(vocabulary) + 1, 8192  # the last one counts rows
 
     def run(batches):
-        total, rows = np.zeros(len(vocabulary), np.int64), 0
+        total = np.zeros(size, np.int64)
         for part in slices(batches):
             _, term, _ = _known(Texts(part.column(0)), vocabulary)
-            total += np.bincount(term, minlength=len(total))
-            rows += part.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["term", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # VOCABULARY rows
-    df = {r["term"]: r["n"] for r in sums}
-    return np.array([df.get(k, 0) for k in range(len(vocabulary))], np.int64), df.get(-1, 0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int = EXAMPLES, vocabulary_size: int = VOCABULARY, least_chi: float = LEAST_CHI, least_lift: float = LEAST_LIFT, seed: int = 7) -> Index:
-    """The index over at most ``examples`` labelled rows of each label; the driver holds only these, as vocabulary terms."""
+            total += np.bincount(term, minlength=size)
+            total[-1] += part.num_rows
+        starts = range(0, size, wide)
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[k : k + wide].astype(np.int32).tobytes() for k in starts], pa.binary())], ["start", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[start] = sums.get(start, 0) + np.frombuffer(n, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], ["start", "n"])
+
+    total = np.zeros(size, np.int64)
+    for r in docs.select("text").mapInArrow(run, "start long, n binary").repartition("start").mapInArrow(add, "start long, n binary").collect():  # the vocabulary once
+        n = np.frombuffer(r["n"], np.int64)
+        total[r["start"] : r["start"] + len(n)] = n
+    return total[:-1], int(total[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int = EXAMPLES, seed: int = 7) -> Index:
+    """The index over at most ``examples`` labelled rows of each label; the driver holds only these, as terms and counts."""
     known = learnable(labels, column)
     odds = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
@@ -217,74 +280,94 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * examples ids at most
     sample = written(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "examples")
 
-    def tally(batches):
+    def vectors(batches):
         for part in slices(batches):
-            label = part.column(1).to_numpy()
-            text, term, _ = _grouped(*terms(Texts(part.column(2)))[:2])
-            every, at = np.unique(term, return_inverse=True)
-            ones = np.bincount(at, label[text], len(every)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(ones), pa.array(np.bincount(at, minlength=len(every)) - ones)], ["term", "ones", "zeros"])
-
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(size.get(1, 0)), float(size.get(0, 0))
-    a, b = F.col("ones"), F.col("zeros")
-    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) / ((a + b) * (n1 + n0 - a - b) * n1 * n0 + 1e-9)
-    best = (
-        sample.mapInArrow(tally, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").cast("double").alias("ones"), F.sum("zeros").cast("double").alias("zeros"))
-        .filter((a + b >= 3) & (a / n1 >= least_lift * b / n0)).select("term", chi.alias("chi")).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary_size).collect()
-    )
-    vocabulary = np.sort(np.array([r["term"] for r in best], np.int64))
+            text, term, count = _grouped(*terms(Texts(part.column(2)))[:2])
+            at = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
+            term, count = ([x[i:j].tobytes() for i, j in zip(at, at[1:])] for x in (term, count.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(term, pa.binary()), pa.array(count, pa.binary())], ["doc_id", "label", "term", "n"])
+
+    def inverted(batches):
+        """The examples that have terms, in order of id, and their entries in order of term, in the narrowest types and pieces of 1 MB."""
+        rows = sorted((r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(4))) if r[2]), key=lambda r: r[0])
+        found = [np.frombuffer(r[2], np.int64) for r in rows]
+        term = np.concatenate(found) if rows else nothing[1]
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t in found])
+        count = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        order = np.lexsort((example, term))
+        term, example, count = term[order], example[order], count[order]
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else nothing[0]
+        parts = {
+            "ids": np.array([r[0] for r in rows], np.int64), "label": np.array([r[1] for r in rows], np.float64), "vocabulary": term[first],
+            "times": np.diff(np.append(first, len(term))), "example": example, "count": count,
+        }
+        for name, part in parts.items():
+            part = part.astype(np.min_scalar_type(part.max())) if name in ("times", "example", "count") and len(part) else part
+            data = part.tobytes()
+            for at in range(0, len(data), 1 << 20):
+                yield pa.RecordBatch.from_pydict({"name": [name], "type": [part.dtype.str], "at": [at], "data": [data[at : at + (1 << 20)]]})
+
+    size = {k: 0 for k in (0, 1)} | {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = float(size[1]), float(size[0])
+    rows = sample.mapInArrow(vectors, "doc_id long, label int, term binary, n binary").repartition(1)  # 2 * examples rows
+    told: dict[str, list] = {}
+    for r in sorted(rows.mapInArrow(inverted, "name string, type string, at long, data binary").collect(), key=lambda r: r["at"]):
+        told.setdefault(r["name"], [r["type"]]).append(bytes(r["data"]))
+    part = {name: np.frombuffer(b"".join(data), kind) for name, (kind, *data) in told.items()}
+    del told
+    held, label, vocabulary = part.get("ids", nothing[0]), part.get("label", np.zeros(0)), part.get("vocabulary", nothing[0])
     df, n = _counted(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
-
-    def vectors(batches):
-        for part in slices(batches):
-            text, term, count = _known(Texts(part.column(2)), vocabulary)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(term), pa.array(count)], ["doc_id", "term", "n"])
-
-    rows = np.array([tuple(r) for r in sample.mapInArrow(vectors, "doc_id long, term long, n long").collect()], np.int64).reshape(-1, 3)
-    marks = {r["doc_id"]: r["label"] for r in sample.select("doc_id", "label").collect()}
-    held = np.unique(rows[:, 0])
-    label = np.array([marks[k] for k in held.tolist()], np.float64)
-    # examples of one label stand together, so that a block's maxima are tight
-    place = np.lexsort((held, label))
-    held, label = held[place], label[place]
-    where = {k: i for i, k in enumerate(held.tolist())}
-    example = np.array([where[k] for k in rows[:, 0].tolist()], np.int64)
-    order = np.lexsort((rows[:, 1], example))
-    example, term, count = example[order], rows[order, 1], rows[order, 2]
     index = Index(vocabulary, idf, held, label, nothing)
-    weight = index.weigh(example, term, count, len(held)) if len(held) else nothing[2]
     share = {1: odds[1] / max(n1, 1), 0: odds[0] / max(n0, 1)}
-    index = Index(vocabulary, idf, held, label, (example, term, weight), stands_for=(share[0], share[1]))
-    without = {k: size.get(k, 0) - int((label == k).sum()) for k in (0, 1)}
-    bare = [(without[k] + 0.01) * share[k] for k in (0, 1)]
-    index.empty_score = bare[1] / sum(bare)
     if len(held):
-        best, sims = index.nearest(example, term, weight, len(held), own=np.arange(len(held)))
-        vote = index.vote(best, sims)
-        fine = ~np.isnan(vote)
-        w = np.where(label == 1, share[1], share[0])[fine]
-        index.slope = _logistic(_features(vote[fine], sims[fine]), label[fine], w / w.mean()) if fine.any() else np.zeros(4)
+        term = np.repeat(np.arange(len(vocabulary), dtype=np.int32), part["times"])
+        index.entries = (part["example"], term, index.weigh(part["example"], term, part["count"], len(held)))
+    index.stands_for = (share[0], share[1])
+    bare = [(size[k] - int((label == k).sum())) * share[k] for k in (0, 1)]
+    index.empty_score = bare[1] / max(sum(bare), 1e-9)
+    if len(held):
+        shared, stands_for = index.shared(docs.sparkSession), index.stands_for
+        made: list[Index] = []
+
+        def left_out(batches):
+            if not made:
+                made.append(Index(*shared.value, stands_for=stands_for))
+            ix = made[0]
+            for batch in slices(batches):
+                text, term, count = _known(Texts(batch.column(2)), ix.vocabulary)
+                n, some = batch.num_rows, np.unique(text)
+                own = np.minimum(np.searchsorted(ix.ids, batch.column(0).to_numpy()), len(ix.ids) - 1)
+                weight = ix.weigh(text, term, count, n)
+                best, sims = ix.nearest(text, term, weight, n, own=own)
+                vote = ix.vote(best, sims)
+                x = np.column_stack([ix.label[own], _features(vote, sims, ix.means(text, term, weight, n, own=own))])[some]
+                yield pa.RecordBatch.from_arrays([pa.array(ix.ids[own[some]]), *(pa.array(c) for c in x.T)], ["doc_id", "y", *(f"x{k}" for k in range(6))])
+
+        seen = sample.mapInArrow(left_out, "doc_id long, y double, " + ", ".join(f"x{k} double" for k in range(6))).collect()  # 2 * examples rows
+        x = np.array(sorted(tuple(r) for r in seen), np.float64)[:, 1:]
+        x = x[~np.isnan(x).any(axis=1)]
+        w = np.where(x[:, 0] == 1, share[1], share[0])
+        index.slope = _fitted(x[:, 1:], x[:, 0], w / w.mean()) if len(x) else np.zeros(6)
     return index
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every document: evidence has the ids, similarities and labels of its nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(  # bounded by EXAMPLES and VOCABULARY
-        (index.vocabulary, index.idf, index.ids, index.label, index.entries, index.slope, index.empty_score, index.stands_for)
-    )
+    shared = index.shared(docs.sparkSession)
+    rest = (index.slope, index.empty_score, index.stands_for)
     made: list[Index] = []
 
     def run(batches):
         if not made:
-            made.append(Index(*shared.value))
+            made.append(Index(*shared.value, *rest))
         ix = made[0]
         for part in slices(batches):
             n = part.num_rows
             text, term, count = _known(Texts(part.column(1)), ix.vocabulary)
-            best, sims = ix.nearest(text, term, ix.weigh(text, term, count, n), n)
-            score = ix.probability(best, sims)
+            weight = ix.weigh(text, term, count, n)
+            best, sims = ix.nearest(text, term, weight, n)
+            score = ix.probability(best, sims, ix.means(text, term, weight, n))
             some = best >= 0
             at = pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32))
             flat = best[some]

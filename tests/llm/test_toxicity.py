@@ -71,3 +71,29 @@ def test_edge_rows(spark):
     assert scored(docs.limit(0), fit(docs, labels)).count() == 0
     assert {r.score for r in scored(docs, fit(docs, labels.limit(0))).collect()} == {0.0}
 
+
+
+def test_cosine_is_over_all_terms_of_the_examples(spark):
+    """Terms that speak for no label are in the index, examples of both labels too; rare wording and common words count."""
+    texts = [f"the {'scum' if k % 2 else 'fine'} of w{k % 7}x{k} and the" for k in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, "w3x3 alone"), (1001, "the of"), (1002, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    index = fit(docs, labels)
+    kept = index.ids.tolist()
+    held = {k: set(terms(Texts(pa.array([texts[k]])))[1].tolist()) for k in kept}
+    assert set(index.label.tolist()) == {0.0, 1.0} and set(index.vocabulary.tolist()) == set().union(*held.values())
+    every = dict(enumerate(texts)) | {1000: "w3x3 alone", 1001: "the of", 1002: "fine"}
+    counts = {k: dict(zip(*np.unique(terms(Texts(pa.array([t])))[1], return_counts=True))) for k, t in every.items()}
+    df = {t: sum(t in c for c in counts.values()) for t in set().union(*held.values())}
+
+    def vector(k):
+        v = {t: (1 + np.log(c)) * (np.log((1 + len(every)) / (1 + df[t])) + 1) for t, c in counts[k].items() if t in df}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    own = {k: vector(k) for k in kept}
+    got = {r.doc_id: r.evidence for r in scored(docs, index).collect()}
+    for k in (0, 1, 1001, 1002):
+        asked = vector(k)
+        want = sorted((-round(sum(x * v.get(t, 0) for t, x in asked.items()), 6), e) for e, v in own.items())[:15]
+        assert np.allclose([e.similarity for e in got[k]], [-s for s, _ in want if s < 0], atol=3e-6)
