@@ -44,7 +44,8 @@ def nearest_join(records: DataFrame, points: DataFrame, k: int, cell: float | No
         return records.sparkSession.createDataFrame([], schema)
     x0, x1, y0, y1 = box[1], box[2], box[3], box[4]
     far = points.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
-    span = max(x1 - x0, y1 - y0, *(abs(a - b) for a, b in zip((far[0] or x0, far[1] or x1, far[2] or y0, far[3] or y1), (x1, x0, y1, y0))), 1e-9)
+    reach = (abs(a - b) for a, b in zip(far, (x1, x0, y1, y0)) if a is not None)
+    span = max(x1 - x0, y1 - y0, *reach, 1e-9)
     g = cell or max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * k / box["n"]), span / 1e6)
     done: list[DataFrame] = []
     while True:

@@ -141,6 +141,16 @@ def test_nearest(spark):
     assert spatial.within_box(records, 0.5, 0.25, 0.5, 0.25).count() == sum(a == 0.5 and b == 0.25 for _, a, b in sites)
 
 
+def test_nearest_from_zero(spark):
+    """Points at exactly 0.0 are far points like others."""
+    rng = random.Random(5)
+    sites = [(i, rng.uniform(10, 11), rng.uniform(10, 11)) for i in range(1000)]
+    records = spark.createDataFrame(sites, "rec_id long, lon double, lat double")
+    for q, x, y in [(0, 0.0, 10.5), (1, 10.5, 0.0), (2, 0.0, 0.0)]:
+        got = spatial.nearest_join(records, spark.createDataFrame([(q, x, y)], "qid long, lon double, lat double"), 5).orderBy("rank").collect()
+        assert [r.rec_id for r in got] == [i for _, i in sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in sites)][:5]
+
+
 def test_batch_and_geocoder(spark, records):
     geo = Geocoder.build(records)
     asked = spark.createDataFrame([(0, "Springfield"), (1, "Portlnad"), (2, "zzqq flurb"), (3, "Springfield")], "qid long, q string")
