@@ -39,12 +39,12 @@ _QUERIES = """
 select CAST(o_orderkey AS BIGINT) as qid,
   case o_orderkey%6 when 0 then raw when 1 then lower(raw) when 2 then substr(raw,1,7)
     when 3 then substr(raw,1,3)||substr(raw,5) when 4 then substr(raw,1,4)||'x'||substr(raw,5) else 'zzqq flurb' end as q
-from {orders} join {gaz} on id=o_custkey where o_orderkey%50 < 6"""
+from {orders} join {gaz} on id=o_custkey"""
 _POINTS = """
 select CAST(event_id AS BIGINT) as qid,
   CAST(-90 AS DOUBLE)+CAST((event_id*17)%1000 AS DOUBLE)/CAST(1000 AS DOUBLE) as lon,
   CAST(39 AS DOUBLE)+CAST((event_id*7)%1000 AS DOUBLE)/CAST(1000 AS DOUBLE) as lat
-from {events} where event_id%20=0"""
+from {events}"""
 QUERIES = _QUERIES.format(orders="orders", gaz="gaz")
 POINTS = _POINTS.format(events="events")
 

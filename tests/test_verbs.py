@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from placebook.geocoder import Geocoder
 from placebook.operators import autocomplete, batch, forward, fuzzy, spatial
@@ -151,6 +152,13 @@ def test_nearest_from_zero(spark):
         assert [r.rec_id for r in got] == [i for _, i in sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in sites)][:5]
 
 
+def test_all_orders_and_events_are_queries(spark, sf):
+    orders, events = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("orders", "events"))
+    asked = orders.join(derived.gazetteer(spark, sf), orders.o_custkey == F.col("id")).selectExpr("o_orderkey as qid")
+    assert asked.count() > 0 and sorted(r.qid for r in derived.text_queries(spark, sf).select("qid").collect()) == sorted(r.qid for r in asked.collect())
+    assert sorted(r.qid for r in derived.points(spark, sf).select("qid").collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+
+
 def test_batch_and_geocoder(spark, records):
     geo = Geocoder.build(records)
     asked = spark.createDataFrame([(0, "Springfield"), (1, "Portlnad"), (2, "zzqq flurb"), (3, "Springfield")], "qid long, q string")
