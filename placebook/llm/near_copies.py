@@ -5,31 +5,39 @@ shingle of all its words).  Documents with the same set form a *class*, and
 only classes are compared.
 
 A forest of ``trees`` prefix tries holds the classes' signatures: in each tree
-a class is a path of up to ``deepest`` minimum hashes, and the sorted paths
-are the trie.  Two classes are candidates when they share a prefix in some
-tree.  Prefixes start at full depth and are shortened, a value at a time in
-all trees together, until a pair at the threshold shares one with at least the
-probability ``recall``.  Every candidate pair is then verified exactly on the
-shingle sets.
-
-No pair is ever a row.  A prefix's members are dealt into blocks of bounded
-size, and tasks compare block with block, giving for each class the number of
-its links and, for the groups, a spanning link.  A pair that shares prefixes
-in several trees counts in the first one only, and a member is sent to a tree
-only if it has a partner there that no earlier tree has shown it.
+a class is a path of minimum hashes, and classes with a common prefix are the
+members of a trie node.  Prefixes start at ``deepest`` values.  All are shortened
+until a pair at the threshold shares one in some tree with at least the
+probability ``recall``; that length is the longest that any class may keep.
+From there each prefix is shortened further, down to ``shallowest`` values, as
+long as its node has at most ``crowd`` members: where few documents are alike
+the search is wider than the target asks, and common passages, which bring many
+documents under one node, are told apart by longer prefixes.  A node's length
+follows from its own members, so all of them share it, and each class is a
+member of one node in each tree.  Every candidate pair is then verified exactly
+on the shingle sets.
+
+No pair is ever a row.  A large node's members are dealt into blocks by the size
+of their sets, and tasks compare block with block, as far as sizes allow the
+threshold at all, giving for each class the number of its links and, for the
+groups, a spanning link.  A pair that shares nodes in several trees counts in
+the first one only, and a member is sent to a tree only if it has a partner
+there that no earlier tree has shown it.
 
 Defined results: a null or empty text has no shingles, hence no links, and is
 a group of its own; repeated rows are documents of their own and link to each
 other; a null doc_id takes part under an id of its content and is returned as
-null; very long texts are read whole; an empty table gives an empty table;
+null, a doc_id that is no number under a hash of it; very long texts are read whole; an empty table gives an empty table;
 further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.llm._groups import column, whole_groups
@@ -37,8 +45,8 @@ from placebook.llm._store import table, written
 from placebook.llm._words import Texts, mix, slices
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 16, 6, 0.995
-BLOCK = 512
+TREES, DEEPEST, SHALLOWEST, RECALL, CROWD = 18, 8, 4, 0.995, 32
+BLOCK = 256
 
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, size=64 * 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -72,17 +80,18 @@ def shingles(texts: Texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(text, np.arange(texts.n + 1))
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The key of each non-empty set's prefix in each tree: rows are sets."""
+def prefixes(h: np.ndarray, bounds: np.ndarray, trees: int, depth: int, shallowest: int = 1) -> np.ndarray:
+    """Keys of the prefixes of each non-empty set, from ``shallowest`` to ``depth`` values long, tree by tree: rows are sets."""
     starts = bounds[:-1]
-    keys = np.zeros((len(starts), trees), np.uint64)
+    keys = np.zeros((len(starts), trees, depth - shallowest + 1), np.uint64)
     for tree in range(trees):
         key = np.full(len(starts), tree + 1, np.uint64)
         for level in range(depth):
             least = np.minimum.reduceat(h * _SEED[tree * 16 + level], starts)
             key = mix(key ^ mix(least))
-        keys[:, tree] = key
-    return keys
+            if level + 1 >= shallowest:
+                keys[:, tree, level + 1 - shallowest] = key
+    return keys.reshape(len(starts), -1)
 
 
 def _class_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,40 +107,63 @@ def _sets(column_: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return some, h, np.append(bounds[some], len(h))
 
 
-def classes_of(docs: DataFrame, width: int = WIDTH, trees: int = TREES, depth: int = DEEPEST) -> DataFrame:
-    """(doc_id, jid, h, cls, keys) of every row; cls and keys are null without shingles. jid and h find the row's text again."""
+def classes_of(docs: DataFrame, width: int = WIDTH, trees: int = TREES, depth: int = DEEPEST, shallowest: int = 1) -> DataFrame:
+    """(doc_id, jid, h, cls, size, keys) of every row; the last three are null without shingles. jid and h find the row's text again."""
+    per_row = trees * (depth - shallowest + 1)
 
     def run(batches):
         for part in slices(batches):
             some, h, bounds = _sets(part.column(3), width)
-            cls = np.zeros(part.num_rows, np.int64)
+            cls, size = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
             none = np.ones(part.num_rows, bool)
             none[some] = False
             lists = np.full(part.num_rows + 1, 0, np.int32)
             flat = np.zeros(0, np.int64)
             if len(some):
                 cls[some] = _class_ids(h, bounds)
+                size[some] = np.diff(bounds)
                 first, back = np.unique(cls[some], return_index=True, return_inverse=True)[1:]
-                pick = some[first]  # signatures once for each set in this piece
-                sizes = bounds[1:] - bounds[:-1]
-                own = np.concatenate([h[bounds[k] : bounds[k + 1]] for k in first])
-                ends = np.concatenate([[0], np.cumsum(sizes[first])])
-                del pick
-                flat = prefixes(own, ends, trees, depth)[back].astype(np.int64).ravel()
-            lists[1:] = np.cumsum(~none) * trees
+                own = np.concatenate([h[bounds[k] : bounds[k + 1]] for k in first])  # signatures once for each set in this piece
+                ends = np.concatenate([[0], np.cumsum(size[some][first])])
+                flat = prefixes(own, ends, trees, depth, shallowest)[back].astype(np.int64).ravel()
+            lists[1:] = np.cumsum(~none) * per_row
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array(cls, mask=none), pa.ListArray.from_arrays(pa.array(lists), pa.array(flat))],
-                ["doc_id", "jid", "h", "cls", "keys"],
+                [*part.columns[:3], pa.array(cls, mask=none), pa.array(size, mask=none), pa.ListArray.from_arrays(pa.array(lists), pa.array(flat))],
+                ["doc_id", "jid", "h", "cls", "size", "keys"],
             )
 
-    keyed = docs.select("doc_id", *_row_key(), "text")
-    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, jid long, h long, cls long, keys array<long>")
+    keyed = docs.select("doc_id", *_row_key(docs), "text")
+    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, jid long, h long, cls long, size long, keys array<long>")
 
 
-def _row_key():
-    """Join keys of a row's text: its id (of its content, where null) and its content."""
+def _row_key(docs: DataFrame):
+    """Join keys of a row's text: its id (a hash of it where it is no number, of its content where it is null) and its content."""
     h = F.xxhash64("text")
-    return F.coalesce(F.col("doc_id").cast("long"), h).alias("jid"), h.alias("h")
+    number = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.col("doc_id").try_cast("long")
+    return F.coalesce(number, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), h).alias("jid"), h.alias("h")
+
+
+def nodes_of(reps: DataFrame, trees: int, levels: int, crowd: int) -> DataFrame:
+    """(cls, tree, level, key, n): the node of each class in each tree where that node has n > 1 members.
+
+    ``reps`` are (cls, keys). From the shortest prefix on, a node with more than ``crowd`` members gives way to its children.
+    """
+    path = f"transform(sequence(0, {trees - 1}), t -> struct(t as tree, slice(keys, t * {levels} + 1, {levels}) as path))"
+    left = reps.select("cls", F.expr(f"inline({path})"))
+    found: list[DataFrame] = []
+    for level in range(levels):
+        keyed = left.withColumn("key", F.col("path")[level])
+        held = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        members = written(keyed.join(held, "key").select("cls", "tree", F.lit(level).alias("level"), "key", "n", "path"), "nodes")
+        last = level == levels - 1
+        found.append((members if last else members.filter(F.col("n") <= crowd)).drop("path"))
+        left = members.filter(F.col("n") > crowd).select("cls", "tree", "path")
+        if not last and left.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _matrix(found: pa.Table, name: str) -> np.ndarray:
@@ -151,22 +183,27 @@ def _unseen(keys: np.ndarray, tree: int, block: np.ndarray, across: bool) -> np.
     return pairs
 
 
-def _blocked(members: DataFrame, block: int) -> DataFrame:
-    """Deal the members of each key into blocks and give each row to every pair (i, j) of blocks that it takes part in."""
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    own = members.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("n_blocks")).cast("int"))
-    return (
-        own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumn("i", F.least("block", "other").cast("int"))
-        .withColumn("j", F.greatest("block", "other").cast("int"))
-        .drop("n_blocks", "other")
-    )
+def _blocked(members: DataFrame, block: int, threshold: float) -> DataFrame:
+    """Give each row to every pair (i, j) of blocks that it takes part in.
+
+    A node of at most ``block`` members is one block. Of larger ones the members are dealt by size first: steps of
+    1 / threshold, of which only neighbours can reach the threshold, and each step into blocks.
+    """
+    few = members.filter(F.col("n") <= block).withColumns({c: F.lit(0).cast("long") for c in ("block", "i", "j")}).drop("size")
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold)) if threshold < 1 else F.col("size")
+    many = members.filter(F.col("n") > block).withColumn("step", step.cast("long"))
+    held = many.groupBy("key", "step").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    blocks = held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("step", "blocks"))).alias("blocks"))  # a step for each power of 1 / threshold
+    dealt = many.join(blocks, "key").withColumn("block", F.expr("step * 1048576 + pmod(xxhash64(cls, 3), blocks[step])"))
+    reach = [f"coalesce(transform(sequence(0L, try_element_at(blocks, step + {d}) - 1), b -> (step + {d}) * 1048576 + b), array())" for d in (-1, 0, 1)]
+    each = dealt.withColumn("other", F.explode(F.expr(f"concat({', '.join(reach)})"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return few.unionByName(each.drop("size", "step", "blocks", "other"))
 
 
 GROUP = ["key", "i", "j"]
 
 
-def _needed(members: DataFrame, block: int) -> DataFrame:
+def _needed(members: DataFrame, block: int, threshold: float) -> DataFrame:
     """The rows of ``members`` in blocks, without those whose partners there have all met in an earlier tree."""
 
     def run(batches):
@@ -187,8 +224,8 @@ def _needed(members: DataFrame, block: int) -> DataFrame:
                 keep[a : a + n] = pairs.any(axis=0) | pairs.any(axis=1)
             yield from found.filter(pa.array(keep)).select(["cls", "key", "i", "j", "tree", "block"]).to_batches()
 
-    rows = _blocked(members, block).select("cls", "key", "i", "j", F.col("tree").cast("int").alias("tree"), "block", "keys")
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "cls long, key long, i int, j int, tree int, block int")
+    rows = _blocked(members, block, threshold).select("cls", "key", "i", "j", F.col("tree").cast("int").alias("tree"), "block", "keys")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "cls long, key long, i long, j long, tree int, block long")
 
 
 def _overlaps(parts: list[np.ndarray]) -> np.ndarray:
@@ -243,19 +280,24 @@ def _roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
-def links_of(docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Verified links as rows (cls, links, to): the documents that a class links to as one block task counts them, and a class of its group."""
+def links_of(docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK, trees: int = TREES, levels: int = 1, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Verified links as rows (cls, links, to), the documents that a class links to as one block task counts them and a class of its group; and the classes."""
     reps = classes.filter("cls is not null").groupBy("cls").agg(
-        F.min(F.struct("jid", "h", "keys")).alias("rep"), F.count("*").alias("copies")
+        F.min(F.struct("jid", "h", "size", "keys")).alias("rep"), F.count("*").alias("copies")
     )
-    reps = written(reps.select("cls", "copies", "rep.jid", "rep.h", "rep.keys"), "classes")
-    paths = reps.select("cls", F.posexplode("keys").alias("tree", "key"))
-    shared = paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = paths.join(shared, "key").join(reps.select("cls", "keys"), "cls")
-    needed = written(_needed(members, block), "candidates")
+    reps = written(reps.select("cls", "copies", "rep.jid", "rep.h", "rep.size", "rep.keys"), "classes")
+    nodes = nodes_of(reps.select("cls", "keys"), trees, levels, crowd)
+    # the key of each tree's node; where a class has no partner, one that no other class has
+    own = nodes.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("m"))
+    own = own.select("cls", F.expr(f"transform(sequence(0, {trees - 1}), t -> coalesce(try_element_at(m, t), xxhash64(cls, t)))").alias("keys"))
+    partnered = written(reps.drop("keys").join(own, "cls"), "partnered")
+    members = nodes.join(partnered.select("cls", "size", "keys"), "cls")
+    needed = written(_needed(members, block, threshold), "candidates")
     tasks = needed.groupBy("cls").agg(F.collect_list(F.struct("key", "i", "j", "tree", "block")).alias("tasks"))
-    wanted = reps.join(tasks, "cls").select("cls", "copies", "jid", "h", "keys", "tasks")
-    sent = docs.select(*_row_key(), "text").join(wanted, ["jid", "h"]).select("cls", "copies", "keys", "tasks", "text")
+    wanted = partnered.join(tasks, "cls").select("cls", "copies", "jid", "h", "keys", "tasks")
+    # one row for each id and text, however often it is repeated; the join finds it dealt by the same keys
+    texts = docs.select(*_row_key(docs), "text").groupBy("jid", "h").agg(F.first("text").alias("text"))
+    sent = texts.join(wanted.hint("merge"), ["jid", "h"]).select("cls", "copies", "keys", "tasks", "text")
 
     def give(batches):
         for part in slices(batches):
@@ -263,7 +305,7 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold:
             packed = pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(some))], pa.large_binary())
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in part.columns[:4]), packed.cast(pa.binary())], ["cls", "copies", "keys", "tasks", "sh"])
 
-    kinds = "cls long, copies long, keys array<long>, tasks array<struct<key:long,i:int,j:int,tree:int,block:int>>, sh binary"
+    kinds = "cls long, copies long, keys array<long>, tasks array<struct<key:long,i:long,j:long,tree:int,block:long>>, sh binary"
     dealt = sent.mapInArrow(give, kinds).select("cls", "copies", "keys", "sh", F.inline("tasks"))
 
     def verify(batches):
@@ -273,8 +315,7 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold:
             keys, sets = _matrix(found, "keys"), found.column("sh")
             out = [[], [], []]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                # repeated rows of one id bring a class more than once
-                at = a + np.unique(cls[a:b], return_index=True)[1]
+                at = np.arange(a, b)
                 if len(at) < 2:
                     continue
                 parts = [np.frombuffer(sets[int(x)].as_py(), np.uint64) for x in at]
@@ -290,7 +331,7 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold:
     return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verify, "cls long, links long, to long"), reps
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex that each vertex of the undirected edges (a, b) connects with.
 
     Labels fall to the least neighbour's and then jump to their label's label, so the rounds grow with the
@@ -298,7 +339,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = written(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("root").alias("near"))
         low = labels.join(near, labels.v == near.a).select("v", F.least("root", "near").alias("low"), F.col("root").alias("was"))
         low = written(low, "labels")
@@ -307,18 +348,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.select("v", "root")
         if moved.filter("changed").isEmpty():
             return labels
-    raise RuntimeError(f"chains of links are longer than {most_rounds} rounds reach")
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, shallowest: int = SHALLOWEST, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(doc_id, jid, h, class_id, n_links) of every row.
 
     class_id is the least id of the documents that links connect, n_links the number of other documents within
     the threshold.
     """
     depth = prefix_depth(threshold, trees, deepest, recall)
-    rows = written(classes_of(docs, width, trees, depth), "rows")
-    links, reps = links_of(docs, rows, width, threshold, block)
+    shallowest = min(shallowest, depth)
+    rows = written(classes_of(docs, width, trees, depth, shallowest), "rows")
+    links, reps = links_of(docs, rows, width, threshold, block, trees, depth - shallowest + 1, crowd)
     links = written(links, "links")
     roots = components(links.select(F.col("cls").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -343,10 +384,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies, with its columns: the one of the least id."""
     found = near_copies(docs, **options)
     first = found.groupBy("class_id").agg(F.min(F.struct("jid", "h")).alias("k")).select("k.jid", "k.h")
-    keyed = docs.withColumns({"_jid": _row_key()[0], "_h": _row_key()[1]})
-    kept = keyed.join(first, (F.col("_jid") == first.jid) & (F.col("_h") == first.h), "left_semi")
-    once = Window.partitionBy("_jid", "_h").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
+    keyed = docs.withColumns(dict(zip(("_jid", "_h"), _row_key(docs))))
+    once = keyed.groupBy("_jid", "_h").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.join(first.hint("merge"), (F.col("_jid") == first.jid) & (F.col("_h") == first.h), "left_semi").select("row.*")
 
 
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from placebook.llm.near_copies import components, keep_one, near_copies, op2_near_copies, prefix_depth
+from placebook.llm.near_copies import CROWD, classes_of, components, keep_one, near_copies, nodes_of, op2_near_copies, prefix_depth
 
 
 def brute(docs, width=5, threshold=0.8):
@@ -59,11 +59,46 @@ def fixture():
 def test_against_brute_force_with_small_blocks(spark):
     docs = fixture()
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as cls", "2 as keys", "doc_id as h")
-    for block in (7, 1024):
-        got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_copies(frame, block=block, trees=48, recall=0.9999).collect())
+    for block, crowd in ((7, 3), (1024, 64)):
+        got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_copies(frame, block=block, crowd=crowd, trees=48, recall=0.9999).collect())
         assert got == sorted(brute(docs))
 
 
+def test_prefixes_are_longer_where_many_documents_are_alike(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, pair = [word() for _ in range(300)], [word() for _ in range(300)]
+    texts = list(variants(rng, passage, 3 * CROWD, 2)) + list(variants(rng, pair, 2, 2))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = classes_of(frame, trees=18, depth=6, shallowest=4)
+    nodes = nodes_of(rows.select("cls", "keys"), 18, 3, CROWD).join(rows.select("cls", "doc_id"), "cls").collect()
+    levels = {k: {r.level for r in nodes if (r.doc_id >= 3 * CROWD) == k} for k in (False, True)}
+    assert levels[True] == {0} and 2 in levels[False]
+    assert len({(r.cls, r.tree) for r in nodes}) == len(nodes)
+    members = {}
+    for r in nodes:
+        members.setdefault((r.tree, r.level, r.key), []).append(r)
+    for (_, level, _), own in members.items():
+        assert len(own) == own[0].n > 1 and (len(own) <= CROWD or level == 2)
+
+
+def test_one_row_repeated_very_often(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:-1] + ["x"])
+    one = spark.range(100_000).selectExpr("7L as doc_id", f"'{' '.join(base)}' as text")
+    frame = one.unionByName(spark.createDataFrame([(9, near), (10, "other words " * 5)], "doc_id long, text string"))
+    got = near_copies(frame).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(tuple(r) for r in got) == [(7, 7, 100_000, 100_000), (9, 7, 100_000, 1), (10, 10, 0, 1)]
+    assert sorted(r.doc_id for r in keep_one(frame).collect()) == [7, 10]
+
+
+def test_ids_that_are_no_numbers(spark):
+    frame = spark.createDataFrame([("a", "a b c d e f"), ("b", "a b c d e f"), ("3", "q r s t u v")], "doc_id string, text string")
+    rows = {r.doc_id: r for r in near_copies(frame).collect()}
+    assert rows["a"].class_id == rows["b"].class_id and rows["3"].class_id == 3 and rows["a"].n_links == 1
+    assert keep_one(frame).count() == 2
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, None), (5, None), (6, "q r s t u v")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
@@ -91,6 +126,7 @@ def test_long_chains(spark):
 
 def test_depth_follows_the_recall():
     assert prefix_depth(0.8, 16, 6, 0.995) == 5
+    assert prefix_depth(0.8, 18, 8, 0.995) == 6
     assert prefix_depth(0.8, 16, 6, 0.99) == 6
     assert prefix_depth(0.8, 1, 6, 0.999) == 1
 
