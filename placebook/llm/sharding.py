@@ -1,22 +1,29 @@
 """Sharding: a size-tiered store of immutable shards under versioned manifests, with DataFrame operations only.
 
 A store is a folder of Parquet shards and a folder of manifests.  ``append``
-writes an arrival as it comes, one small shard for each task and no shuffle.
+writes an arrival as it comes, one small shard for each task and no shuffle;
+``append_all`` writes several arrivals out of one reading of a table.
 ``compact`` puts the live shards into tiers by size (each tier ``FANOUT`` times
-the one below) and merges every tier that holds at least ``FANOUT`` shards
-into shards of about the target size: the scan itself packs shards of one tier
-into tasks of that many bytes, so again nothing is shuffled.  Tiers wait until
-they hold enough, and shards at the target size are never rewritten.
+the one below).  The lowest tier that holds at least ``FANOUT`` shards below the
+target is merged into shards of about the target size, which land in a higher
+tier, and so on upwards until no tier is due: the scan itself packs shards of
+one tier into tasks of that many bytes, so again nothing is shuffled.  Tiers
+wait until they hold enough, and shards at the target size are never rewritten.
 
 A manifest lists the live shards of a version.  Appending and compacting write
 their shards first, under names of their own, and then commit the next
-manifest: its rows are written to a folder with a unique name, which a rename
-moves to the version's name.  The rename fails if the name is taken, so of two
-writers one wins and the other raises; a reader sees a whole version or none,
-and a job that dies leaves only files that no manifest lists. ``vacuum``
-removes shards that none of the newest versions lists.
+manifest: one file, written under a unique name and renamed to the version's
+name without overwriting.  Of two writers one gets the name and the other
+raises; a reader sees a whole version or none, and a job that dies leaves only
+files that no manifest lists.  Where a file system renames in one step (HDFS,
+local disks) the commit is atomic.
 
-Only manifests reach the driver: one row for each shard.
+``vacuum`` keeps at least the two newest versions, so that readers of the one
+before are not disturbed, and removes the shards that only older versions list.
+Shards that no manifest lists may belong to a writer that has yet to commit;
+they go only after ``grace_seconds``.
+
+The driver holds one row for each live shard: name, size, arrival and tier.
 
 Defined results: rows are kept as they are, nulls, repeats and clashing names
 included; columns must stay the same between arrivals; an empty arrival makes a
@@ -26,15 +33,16 @@ version without new shards; reading an empty store gives no rows.
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebook.llm._store import new_path, table
 
-TARGET_BYTES, FANOUT = 128 << 20, 4
+TARGET_BYTES, FANOUT, GRACE_SECONDS = 128 << 20, 4, 24 * 3600
 MANIFEST = "shard string, bytes long, arrival long, tier int"
 
 
@@ -45,9 +53,9 @@ class ConflictError(RuntimeError):
 class ShardStore:
     """A store at ``root``, any path that the session's file systems can reach."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, codec: str = "zstd"):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, codec: str = "zstd", grace_seconds: float = GRACE_SECONDS):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.target_bytes, self.fanout, self.codec = target_bytes, fanout, codec
+        self.target_bytes, self.fanout, self.codec, self.grace_seconds = target_bytes, fanout, codec, grace_seconds
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -59,14 +67,18 @@ class ShardStore:
         if not self._fs.exists(folder):
             return []
         names = (s.getPath().getName() for s in self._fs.listStatus(folder))
-        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+        return sorted(int(n[1:-8]) for n in names if n.startswith("v") and n.endswith(".parquet"))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The live shards of a version (the newest by default)."""
         version = version if version is not None else max(self.versions(), default=None)
         if version is None:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{version:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._name(version)}")
+
+    @staticmethod
+    def _name(version: int) -> str:
+        return f"v{version:08d}.parquet"
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with ``_metadata`` at hand as for any file."""
@@ -75,87 +87,119 @@ class ShardStore:
     def _scan(self, shards: list[str]) -> DataFrame:
         if not shards:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/shards/{s}" for s in shards])
+        # without looking for partition columns in the shards' paths
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*[f"{self.root}/shards/{s}" for s in shards])
+
+    def _files(self, run: str) -> list[tuple[str, int]]:
+        """(name, bytes) of the shards of a run's folder; only a run's first file may be empty, and it is left out then."""
+        found = self._fs.listStatus(self._path("shards", run)) if self._fs.exists(self._path("shards", run)) else []
+        named = sorted((f"{run}/{s.getPath().getName()}", s.getLen()) for s in found if s.getPath().getName().startswith("part-"))
+        return named[1:] if named and self._scan([named[0][0]]).isEmpty() else named
 
     def _write(self, rows: DataFrame) -> list[tuple[str, int]]:
-        """(name, bytes) of the shards that a job has written; empty ones are not listed."""
+        """(name, bytes) of the shards that a job has written."""
         run = uuid.uuid4().hex
         rows.write.option("compression", self.codec).parquet(f"{self.root}/shards/{run}")
-        found = self._fs.listStatus(self._path("shards", run))
-        named = [(f"{run}/{s.getPath().getName()}", s.getLen()) for s in found if s.getPath().getName().startswith("part-")]
-        held = {r["name"] for r in self._scan([n for n, _ in named]).select(F.col("_metadata.file_name").alias("name")).distinct().collect()} if named else set()
-        return [(n, size) for n, size in named if n.split("/")[1] in held]
+        return self._files(run)
 
     def _commit(self, rows: list[tuple], version: int) -> int:
         """Make ``rows`` version ``version``, or raise ConflictError where that exists."""
-        draft = f"draft-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifests/{draft}")
-        final = self._path("manifests", f"v{version:08d}")
-        taken = self._fs.exists(final)
-        # a rename onto an existing folder would move the draft inside it, so that case is told apart afterwards too
-        if taken or not self._fs.rename(self._path("manifests", draft), final) or self._fs.exists(self._path("manifests", f"v{version:08d}", draft)):
-            for lost in (self._path("manifests", draft), self._path("manifests", f"v{version:08d}", draft)):
-                self._fs.delete(lost, True)
-            raise ConflictError(f"version {version} has been committed by another writer")
+        draft = self._path("manifests", f"draft-{uuid.uuid4().hex}")
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(draft.toString())
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        part = next(s.getPath() for s in self._fs.listStatus(draft) if s.getPath().getName().startswith("part-"))
+        final = self._path("manifests", self._name(version))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        without = gateway.new_array(kind, 1)
+        without[0] = kind.NONE  # never overwrites
+        try:
+            files.rename(part, final, without)
+        except Exception as lost:
+            if self._fs.exists(final):
+                raise ConflictError(f"version {version} has been committed by another writer") from lost
+            raise
+        finally:
+            self._fs.delete(draft, True)
         return version
 
     def tier(self, size: int) -> int:
         """0 for the smallest shards; shards of a tier are within a factor of ``fanout``."""
         return max(0, math.floor(math.log(max(size, 1) / 4096, self.fanout)))
 
+    def _listed(self, files: list[tuple[str, int]], arrival: int) -> list[tuple]:
+        return [(name, size, arrival, self.tier(size)) for name, size in files]
+
+    def _added(self, new: list[tuple]) -> int:
+        base = max(self.versions(), default=0)
+        live = [tuple(r) for r in self.manifest(base).collect()] if base else []
+        return self._commit([*live, *new], base + 1)
+
     def append(self, rows: DataFrame, arrival: int = 0) -> int:
         """Add an arrival as small shards and commit; returns the version."""
-        base = max(self.versions(), default=0)
-        new = [(name, size, arrival, self.tier(size)) for name, size in self._write(rows.select(*self.schema.names))]
-        return self._commit([*map(tuple, self.manifest().collect()), *new], base + 1)
+        return self._added(self._listed(self._write(rows.select(*self.schema.names)), arrival))
+
+    def append_all(self, rows: DataFrame, arrival: Column, arrivals: int, compact: bool = True) -> int:
+        """Add arrivals 0, 1, ... by the number ``arrival`` of each row: written in one job, committed one by one, each with what compaction is then due."""
+        run = uuid.uuid4().hex
+        rows = rows.select(*self.schema.names).withColumn(f"_arrival_{run}", arrival)
+        rows.write.option("compression", self.codec).partitionBy(f"_arrival_{run}").parquet(f"{self.root}/shards/{run}")
+        for k in range(arrivals):
+            self._added(self._listed(self._files(f"{run}/_arrival_{run}={k}"), k))
+            if compact:
+                self.compact()
+        return max(self.versions(), default=0)
 
     def compact(self) -> int:
-        """Merge tiers that hold at least ``fanout`` shards below the target, from the smallest up, and commit; returns the newest version."""
-        base = max(self.versions(), default=0)
-        live = [tuple(r) for r in self.manifest().collect()]
-        full = 0.75 * self.target_bytes
-        tiers: dict[int, list[tuple]] = {}
-        for row in live:
-            if row[1] < full:
-                tiers.setdefault(row[3], []).append(row)
-        chosen: list[list[tuple]] = [rows for _, rows in sorted(tiers.items()) if len(rows) >= self.fanout]
-        if not chosen:
-            return base
-        gone = {row[0] for rows in chosen for row in rows}
-        made: list[tuple] = []
-        for rows in chosen:
-            made += [(name, size, max(r[2] for r in rows), self.tier(size)) for name, size in self._write(self._packed(rows))]
-        return self._commit([row for row in live if row[0] not in gone] + made, base + 1)
+        """Merge the lowest tier with at least ``fanout`` shards below the target and commit, until no tier is due; returns the newest version."""
+        while True:
+            base = max(self.versions(), default=0)
+            live = [tuple(r) for r in self.manifest(base).collect()] if base else []
+            tiers: dict[int, list[tuple]] = {}
+            for row in live:
+                if row[1] < 0.75 * self.target_bytes:
+                    tiers.setdefault(row[3], []).append(row)
+            due = min((t for t, rows in tiers.items() if len(rows) >= self.fanout), default=None)
+            if due is None:
+                return base
+            gone, top = {row[0] for row in tiers[due]}, max(row[2] for row in tiers[due])
+            made = self._listed(self._write(self._packed(tiers[due])), top)
+            self._commit([row for row in live if row[0] not in gone] + made, base + 1)
 
     def _packed(self, rows: list[tuple]) -> DataFrame:
         """The rows of some shards in tasks of about the target size: as many tasks as whole targets, each of neighbouring shards."""
         tasks = max(1, round(sum(r[1] for r in rows) / self.target_bytes))
         return self._scan([r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]).coalesce(tasks)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete runs of shards that none of the newest versions lists; returns how many."""
-        kept = self.versions()[-keep_versions:]
-        used = {r["shard"].split("/")[0] for v in kept for r in self.manifest(v).collect()}
-        lost = 0
-        folder = self._path("shards")
-        for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-            if s.getPath().getName() not in used:
-                self._fs.delete(s.getPath(), True)
-                lost += 1
-        for v in self.versions():
-            if v not in kept:
-                self._fs.delete(self._path("manifests", f"v{v:08d}"), True)
+    def vacuum(self, keep_versions: int = 2) -> int:
+        """Delete shards that only versions before the newest ``keep_versions`` (two at least) list, and old ones that none lists; returns how many."""
+        versions = self.versions()
+        kept, past = versions[-max(2, keep_versions) :], versions[: -max(2, keep_versions)]
+        listed = {v: {r["shard"] for r in self.manifest(v).select("shard").collect()} for v in versions}
+        used = set().union(*(listed[v] for v in kept))
+        dead = set().union(*(listed[v] for v in past)) - used
+        # a version goes before its shards, so that none ever lists a missing one
+        for v in past:
+            self._fs.delete(self._path("manifests", self._name(v)), False)
+        folder, lost = self._path("shards"), 0
+        if not self._fs.exists(folder):
+            return 0
+        base, old = len(self._fs.makeQualified(folder).toString()) + 1, (time.time() - self.grace_seconds) * 1000
+        found = self._fs.listFiles(folder, True)
+        while found.hasNext():
+            file = found.next()
+            name = file.getPath().toString()[base:]
+            if name in dead or (name not in used and file.getModificationTime() < old):
+                self._fs.delete(file.getPath(), False)
+                lost += "part-" in name
         return lost
 
 
 def sharded(docs: DataFrame, key: str, arrivals: int = 6, root: str | None = None, **options) -> ShardStore:
-    """A store of ``docs`` as ``arrivals`` arrivals (by the hash of ``key``), compacted once all are in and vacuumed."""
+    """A store of ``docs`` as ``arrivals`` arrivals (by the hash of ``key``), compacted as they come and vacuumed."""
     spark = docs.sparkSession
     store = ShardStore(spark, root or new_path(spark, "store"), docs.schema, **options)
-    part = F.pmod(F.xxhash64(key), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.filter(part == k), k)
-    store.compact()
+    store.append_all(docs, F.pmod(F.xxhash64(key), F.lit(arrivals)), arrivals)
     store.vacuum()
     return store
 

@@ -13,24 +13,36 @@ def same(a, b):
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def test_arrivals_and_compaction(spark, docs, tmp_path):
-    store = ShardStore(spark, str(tmp_path / "s"), docs.schema, target_bytes=60_000)
-    cut = docs.repartition(4)
+def test_arrivals_and_cascading_compaction(spark, docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), docs.schema, target_bytes=400_000, fanout=4)
+    cut, rows = docs.repartition(4), docs.count()
+    merges = []
     for k in range(5):
-        assert store.append(cut.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == k), k) == k + 1
-    before = store.manifest()
-    assert before.count() == 20 and before.select("arrival").distinct().count() == 5
-    assert store.compact() == 6
-    after = store.manifest().collect()
-    assert len(after) < 20 and max(r.bytes for r in after) < 3 * 60_000
-    assert sum(r.bytes > 20_000 for r in after) >= len(after) - 3
-    assert same(store.read(), docs) and same(store.read(5), docs)
-    assert store.read(2).count() == docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) < 2).count()
-    kept = {r.shard for r in after}
-    assert store.compact() >= 6 and same(store.read(), docs)
-    assert store.vacuum() >= 5 and same(store.read(), docs)
-    full = {r.shard for r in after if r.bytes >= 45_000}
-    assert full <= {r.shard for r in store.manifest().collect()} and full <= kept
+        store.append(cut.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == k), k)
+        before = {r.shard: r for r in store.manifest().collect()}
+        version = store.versions()[-1]
+        store.compact()
+        after = {r.shard: r for r in store.manifest().collect()}
+        made = [r for r in after.values() if r.shard not in before]
+        if made:
+            merges.append((min(before[x].tier for x in before if x not in after), max(r.tier for r in made)))
+        tiers = [r.tier for r in after.values() if r.bytes < 0.75 * store.target_bytes]
+        assert max(map(tiers.count, tiers), default=0) < store.fanout
+        assert store.read(version).count() == store.read().count()
+    # merged shards have been merged again
+    assert len(merges) >= 2 and all(high > low for low, high in merges) and max(high for _, high in merges) > merges[0][1]
+    assert same(store.read(), docs) and store.read().count() == rows
+    whole = {r.shard for r in store.manifest().collect()}
+    assert store.vacuum() >= 16 and same(store.read(), docs) and len(store.versions()) == 2 and store.read(store.versions()[0]).count() == rows
+    assert {r.shard for r in store.manifest().collect()} == whole
+
+
+def test_one_reading_gives_all_arrivals(spark, docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    assert store.append_all(docs, F.pmod("doc_id", F.lit(3)), 4, compact=False) == 4
+    for version in (1, 2, 3):
+        assert same(store.read(version), docs.filter(F.pmod("doc_id", F.lit(3)) < version))
+    assert same(store.read(4), docs) and store.read().columns == docs.columns
 
 
 def test_writers_conflict_and_leave_the_store_whole(spark, docs, tmp_path):
@@ -39,7 +51,31 @@ def test_writers_conflict_and_leave_the_store_whole(spark, docs, tmp_path):
     with pytest.raises(ConflictError):
         store._commit([], 1)
     assert store.versions() == [1] and store.read().count() == 10
-    assert sorted(p.name for p in (tmp_path / "s/manifests").iterdir() if p.name[0] != ".") == ["v00000001"]
+    assert sorted(p.name for p in (tmp_path / "s/manifests").iterdir() if p.name[0] != ".") == ["v00000001.parquet"]
+
+
+def test_vacuum_spares_a_writer_that_has_yet_to_commit(spark, docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    for _ in range(4):
+        store.append(docs.limit(5).coalesce(1))
+    other = ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    waiting = other._write(docs.limit(7))
+    store.compact()
+    assert store.vacuum(keep_versions=1) == 0  # the version before the merge still lists its shards
+    store.append(docs.limit(1))
+    assert store.vacuum() == 4  # now only the merged shards' readers are left
+    assert other._added(other._listed(waiting, 9)) == store.versions()[-1]
+    assert store.read().count() == 28
+
+
+def test_crash_between_writing_and_committing(spark, docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    store.append(docs.limit(5))
+    store._write(docs.limit(7))
+    assert store.read().count() == 5 and store.vacuum() == 0
+    late = ShardStore(spark, str(tmp_path / "s"), docs.schema, grace_seconds=-5)
+    assert late.vacuum() >= 1 and late.read().count() == 5
+    assert late.append(docs.limit(2)) == 2
 
 
 def test_edge_rows(spark, tmp_path):
@@ -48,7 +84,7 @@ def test_edge_rows(spark, tmp_path):
     store = sharded(docs, "doc_id", arrivals=3, root=str(tmp_path / "a"))
     assert same(store.read(), docs)
     empty = sharded(docs.limit(0), "doc_id", arrivals=2, root=str(tmp_path / "b"))
-    assert empty.versions() == [2] and empty.read().count() == 0 and empty.read().columns == docs.columns
+    assert empty.versions() == [1, 2] and empty.read().count() == 0 and empty.read().columns == docs.columns
 
 
 def test_query_gives_every_document_back(spark, sf, docs):
