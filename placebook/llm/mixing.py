@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from placebook.llm._store import table, written
 from placebook.llm._words import Texts, slices
 
-BLOCK, SHARD, MOST_SHARDS, BUDGET, SEED = 64, 200_000, 16_384, 1.5, 17
+BLOCK, SHARD, BUDGET, SEED = 64, 200_000, 1.5, 17
+TASK_BLOCKS = 200_000  # blocks that one task ranks, about
 WEIGHTS = (5, 2, 1)
 
 WORDS = "coalesce(cast(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint), 0L)"
@@ -82,7 +83,7 @@ def laid_out(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     """(documents with source_size, shard and first token in the shard; sources with their targets). docs needs doc_id, key, source, size."""
     sizes = docs.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     sources = written(targets(sizes), "sources")
-    parts = sources.select("key", "source_size", "target", F.expr(f"least({MOST_SHARDS}L, greatest(1L, cast(ceil(source_size / {shard}D) as bigint)))").alias("shards"))
+    parts = sources.select("key", "source_size", "target", F.expr(f"greatest(1L, cast(ceil(source_size / {shard}D) as bigint))").alias("shards"))
     salt = f"concat('{seed}:', coalesce(cast(doc_id as string), ''))"
     dealt = docs.join(parts, "key").withColumns({"shard": F.expr(f"{_hash(salt)} % shards"), "place": F.expr(_hash(salt, 1))})
     before = Window.partitionBy("key", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,8 +101,9 @@ def chosen_blocks(docs: DataFrame, sources: DataFrame, block: int = BLOCK, budge
     quota = written(apportioned(parties, [], ["key"]).select("key", F.col("seats").alias("q")), "quotas")
     held = shards.join(quota, "key").select("key", "shard", "blocks", F.col("shard_size").cast("double").alias("w"), F.expr("2 * blocks").alias("most"), "q")
     own = apportioned(held, ["key"], ["shard"]).filter("seats > 0").select("key", "shard", "blocks", "seats")
-    # few rows that become many: a fixed number of partitions, which AQE does not merge by the size before
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows that become many: as many partitions as the blocks need, which AQE does not merge by the size before
+    total_blocks = shards.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_blocks // TASK_BLOCKS))
     each = own.repartition(parts, "key", "shard").withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
     salt = f"concat('{seed}|', key, '|', shard, '|', b)"
     order = Window.partitionBy("key", "shard").orderBy("r", "b")
@@ -135,11 +137,11 @@ def mix(docs: DataFrame, block: int = BLOCK, budget: float = BUDGET, seed: int =
     A row's text has the words taken at least so many times, with the white space between neighbouring ones as it
     was; a document taken as a whole keeps its text. n_chars, if there is one, counts the new text.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.xxhash64("text")
-    keyed = docs.withColumns({"_jid": own[0], "_h": own[1]})
-    spans = mixed(keyed, ["_jid", "_h"], block, budget, seed).filter("taken > 0").groupBy("_jid", "_h").agg(F.collect_list("spans").alias("_spans"))
-    once = Window.partitionBy("_jid", "_h").orderBy(F.lit(0))
-    found = keyed.join(spans, ["_jid", "_h"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns, "_spans")
+    # rows are told apart by a number of their own, except repeated ones, whose text is sent once
+    keyed = docs.withColumns({"_jid": F.xxhash64(*docs.columns), "_h": F.xxhash64("text", F.lit(1))})
+    spans = mixed(keyed, ["_jid", "_h"], block, budget, seed).filter("taken > 0").select("_jid", "_h", F.array("spans").alias("_spans"))
+    once = keyed.groupBy("_jid", "_h").agg(F.first(F.struct(*docs.columns)).alias("row")).select("_jid", "_h", "row.*")
+    found = once.join(spans.hint("merge"), ["_jid", "_h"]).select(*docs.columns, "_spans")
     names = docs.columns
     at = names.index("text")
 
@@ -231,7 +233,7 @@ with d as (
 ), s as (
   select key, source_size, size_all,
     case when is_full then 2.0::double * source_size else ({BUDGET}::double * size_all - 2.0::double * size_full) * weight / weight_left end as target,
-    least({MOST_SHARDS}, greatest(1, cast(ceil(source_size / {SHARD}.0::double) as bigint))) as shards from t5
+    greatest(1, cast(ceil(source_size / {SHARD}.0::double) as bigint)) as shards from t5
 ), p as (
   select *, cast(coalesce(sum(size) over (partition by key, shard order by place, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as first
   from (select d.*, source_size, target, {_number_sql(_SALT)} % shards as shard, {_number_sql(_SALT, 1)} as place from d join s using (key))

@@ -92,3 +92,11 @@ def test_mix_holds_what_was_taken(spark):
         assert set(words) <= set(WORD.findall(whole[r.doc_id]))
     assert held == {r.doc_id: r.n for r in taken if r.n}
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_one_row_repeated_very_often(spark):
+    docs = spark.range(50_000).selectExpr("7L as doc_id", "'a b c d e f g h' as text", "'x' as source")
+    out = mix(docs)
+    rows = out.groupBy("text").count().collect()
+    words = sum(len(r.text.split()) * r["count"] for r in rows)
+    assert len(rows) < 20 and abs(words - 1.5 * 8 * 50_000) <= 2 * BLOCK
