@@ -6,8 +6,9 @@ covered by overlapping chunks, each filter's response is max-pooled over a
 chunk, and the chunks' vectors are averaged and combined into one probability.
 
 Training takes a bounded sample of labelled rows (``TRAIN_ROWS`` of each
-label) and, from each, up to ``TRAIN_CHUNKS`` random chunks; scoring reads
-every byte.  The sample is balanced, and the bias is then moved to the labels'
+label), null, empty and very long ones too, and up to ``HELD_CHUNKS`` chunks of
+each, drawn from its whole length, out of which every epoch takes
+``TRAIN_CHUNKS`` at random; scoring reads every byte.  The sample is balanced, and the bias is then moved to the labels'
 own odds, counted over all rows that may be learned from.
 
 Defined results: a null or empty text is one chunk of padding and gets the
@@ -19,6 +20,7 @@ empty table gives an empty table; further columns are not inputs.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +34,8 @@ from placebook.llm._store import table
 from placebook.llm._words import Texts, slices
 
 WIDTH, FILTERS, SEGMENT = 6, 24, 128
-TRAIN_ROWS, TRAIN_CHUNKS, LONGEST_TRAINED = 1500, 6, 40_000
+TRAIN_ROWS, TRAIN_CHUNKS, HELD_CHUNKS = 1500, 6, 96
+LONG = 2 * SEGMENT + WIDTH - 1  # a chunk, with WIDTH - 1 more bytes for the last windows
 
 
 @dataclass
@@ -86,22 +89,27 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.pooled(texts).astype(np.float64) @ self.weight + self.bias, -30, 30)))
 
 
-def _chunks(texts: list[bytes], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """TRAIN_CHUNKS random chunks of each text, with WIDTH - 1 more bytes for the last windows, and the places that each has."""
-    long = 2 * SEGMENT + WIDTH - 1
-    out = np.zeros((len(texts), TRAIN_CHUNKS, long), np.uint8)
+def drawn_chunks(text: bytes, rng: np.random.Generator) -> list[bytes]:
+    """All chunks of a text, or HELD_CHUNKS of them drawn from its whole length."""
+    n = max(1, -(-len(text) // SEGMENT) - 1)
+    at = np.arange(n) if n <= HELD_CHUNKS else np.sort(rng.choice(n, HELD_CHUNKS, replace=False))
+    return [text[k * SEGMENT : k * SEGMENT + LONG] for k in at.tolist()]
+
+
+def _chunks(texts: list[list[bytes]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """TRAIN_CHUNKS random chunks of each text, and the places that each has."""
+    out = np.zeros((len(texts), TRAIN_CHUNKS, LONG), np.uint8)
     held = np.zeros((len(texts), TRAIN_CHUNKS), np.int64)
-    for i, text in enumerate(texts):
-        last = max(0, -(-len(text) // SEGMENT) - 2)
-        for j, at in enumerate(rng.integers(0, last + 1, TRAIN_CHUNKS) * SEGMENT):
-            cut = np.frombuffer(text[at : at + long], np.uint8)
+    for i, chunks in enumerate(texts):
+        for j, k in enumerate(rng.integers(0, len(chunks), TRAIN_CHUNKS).tolist()):
+            cut = np.frombuffer(chunks[k], np.uint8)
             out[i, j, : len(cut)] = cut
             held[i, j] = min(max(len(cut), 1), 2 * SEGMENT)
     return out, held
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, least_steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit by Adam on mini-batches; gradients pass a max-pool at the position that won."""
+def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 12, least_steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+    """Fit by Adam on mini-batches of texts given as chunks; gradients pass a max-pool at the position that won."""
     rng = np.random.default_rng(seed)
     values = [rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), np.zeros(1, np.float32)]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
@@ -145,15 +153,21 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", train_rows:
     if len(odds) < 2:
         return Network(*[np.zeros(0)] * 3, 0.0, constant=next((float(k) for k in odds), 0.5))
     ids = bounded_sample(known, odds, train_rows, seed)
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * train_rows ids at most
-        .filter(F.octet_length("text") <= LONGEST_TRAINED).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    )
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * train_rows ids at most
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def cut(batches):
+        for part in slices(batches):
+            for key, label, text in zip(*(c.to_pylist() for c in part.columns)):
+                rng = np.random.default_rng([zlib.crc32(str(key).encode()), seed])
+                yield pa.RecordBatch.from_arrays([pa.array([key], part.column(0).type), pa.array([label], pa.int32()), pa.array([drawn_chunks((text or "").encode(), rng)], pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
+
+    rows = sample.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, chunks array<binary>").collect()  # HELD_CHUNKS * LONG bytes a row at most
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y)) < 2:
         return Network(*[np.zeros(0)] * 3, 0.0, constant=odds[1] / (odds[0] + odds[1]))
-    network = train([(r["text"] or "").encode() for r in rows], y, seed=seed)
+    network = train([[bytes(c) for c in r["chunks"]] for r in rows], y, seed=seed)
     network.bias += float(np.log(odds[1] / odds[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return network
 

@@ -64,6 +64,20 @@ def test_classifier_edge_rows(spark, sf):
     assert quality_classifier.scored(odd.limit(0).drop("score"), network).count() == 0
 
 
+def test_training_rows_that_are_null_or_very_long(spark):
+    good, bad = "a calm and clear account of the river. " * 3000, "BUY!!! $$$ now " * 8000
+    docs = spark.createDataFrame([(k, good if k % 2 else bad) for k in range(24)] + [(24, None), (26, ""), (25, good[:200])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(27)], "doc_id long, quality int")
+    network = quality_classifier.fit(docs, labels)
+    assert network.constant is None
+    score = network.score(Texts(pa.array([good, bad, good[500:2000], bad[-900:]])))
+    assert score[0] > 0.8 > 0.2 > score[1] and score[2] > 0.8 > 0.2 > score[3]
+    rng = np.random.default_rng(1)
+    chunks = quality_classifier.drawn_chunks(good.encode(), rng)
+    assert len(chunks) == quality_classifier.HELD_CHUNKS and quality_classifier.drawn_chunks(b"", rng) == [b""]
+    assert b"".join(c[: quality_classifier.SEGMENT] for c in quality_classifier.drawn_chunks(good[:1280].encode(), rng)) == good[:1152].encode()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = quality_classifier.op8_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
@@ -101,4 +115,4 @@ def test_run_against_brute_force(spark, sf):
     assert bins <= 1.02 * -(-sum(r.length for r in rows) // CAPACITY) + 1
     run = corpus_pipeline.run(spark, sf)
     assert run.columns == results[4].columns
-    assert sorted(map(str, run.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(str, results[4].select("doc_id", "piece", "length", "ids_crc32").collect()))
+    assert sorted(map(str, run.select("doc_id", "piece", "length", "ids").collect())) == sorted(map(str, results[4].select("doc_id", "piece", "length", "ids").collect()))
