@@ -20,9 +20,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+#: Open tags that a tag ends although their end tags are left out, and the tags that bound the search for them.
+_TABLE = frozenset({"table"})
+ENDED_BY = {
+    "li": ((frozenset({"li"}), frozenset({"ul", "ol", "menu"})),), "dt": ((frozenset({"dt", "dd"}), frozenset({"dl"})),), "dd": ((frozenset({"dt", "dd"}), frozenset({"dl"})),),
+    "td": ((frozenset({"td", "th"}), _TABLE | {"tr"}),), "th": ((frozenset({"td", "th"}), _TABLE | {"tr"}),), "tr": ((frozenset({"tr"}), _TABLE),),
+    "tbody": ((frozenset({"thead", "tbody", "tfoot"}), _TABLE),), "thead": ((frozenset({"thead", "tbody", "tfoot"}), _TABLE),), "tfoot": ((frozenset({"thead", "tbody", "tfoot"}), _TABLE),),
+    "option": ((frozenset({"option"}), frozenset({"select", "optgroup", "datalist"})),),
+}
+
+
 @dataclass
 class Block:
-    """``path`` holds the tags above, outermost first, and their class words with a leading dot."""
+    """``path`` holds the distinct tags above, outermost first, and their class words with a leading dot; the innermost tag comes last."""
 
     path: tuple[str, ...]
     text: str
@@ -52,15 +62,38 @@ def blocks_of(page: str) -> list[Block]:
         if in_link:
             links += len(piece.strip())
 
+    held: dict[str, int] = {}  # how many open tags bring each name of the path, in order of the first
+    depth: dict[str, int] = {}  # how many open tags have each name
+
+    def opened(name: str, names: tuple[str, ...]) -> None:
+        open_.append((name, names))
+        depth[name] = depth.get(name, 0) + 1
+        for x in names:
+            held[x] = held.get(x, 0) + 1
+
+    def closed() -> str:
+        name, names = open_.pop()
+        depth[name] -= 1
+        for x in names:
+            held[x] -= 1
+            if not held[x]:
+                del held[x]
+        return name
+
     def shut(name: str) -> bool:
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == name:
-                del open_[k:]
-                return True
-        return False
+        if not depth.get(name):
+            return False
+        while closed() != name:
+            pass
+        return True
 
     def new_path() -> tuple[str, ...]:
-        return tuple(x for _, names in open_ for x in names)
+        if not open_:
+            return ()
+        inner = open_[-1][0]
+        names = list(held)
+        last = next((x for x in reversed(names) if x[0] != "."), inner)
+        return tuple(names) if last == inner else (*names, inner)
 
     at = 0
     while True:
@@ -93,12 +126,18 @@ def blocks_of(page: str) -> list[Block]:
             if shut(name):
                 path = new_path()
             continue
-        if open_ and open_[-1][0] == "p" or name in ("li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == name:
-            open_.pop()
+        for before, within in ENDED_BY.get(name, ()):
+            # the end tag may be left out: look no further up than the list, table or row that both stand in
+            k = len(open_) - 1 if any(depth.get(x) for x in before) else -1
+            while k >= 0 and open_[k][0] not in within and open_[k][0] not in before:
+                k -= 1
+            if k >= 0 and open_[k][0] in before:
+                while len(open_) > k:
+                    closed()
+        if open_ and open_[-1][0] == "p":
+            closed()
         words = [x.lower() for a, b, c in _NAMED.findall(m["attrs"]) for x in _PART.findall(a or b or c)]
-        open_.append((name, (name, *("." + w for w in words))))
-        if len(open_) > 200:
-            del open_[:100]
+        opened(name, (name, *("." + w for w in words)))
         path = new_path()
     if at < len(page):
         add(page[at:])

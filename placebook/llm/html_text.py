@@ -7,7 +7,8 @@ from both states, so with the whole document as context.  The text is the
 blocks labelled as main text, in page order.
 
 Training is on pages put together from a bounded sample of the table's own
-pages (``TRAIN_PAGES``): blocks whose markup is plain about what they are (an
+pages (``TRAIN_PAGES``, and of very long ones a run of ``TRAIN_BLOCKS`` blocks
+from anywhere, each with ``TRAIN_CHARS`` characters at most): blocks whose markup is plain about what they are (an
 article's, a menu's, a footer's) are set into varied layouts, with side bars,
 notices, adverts, forms, sharing links and reader comments around and inside
 the article, and with class words left out at random; so the labels are known.
@@ -16,12 +17,13 @@ White space (any, also after decoding) inside a block becomes one space; line
 breaks count as white space.  Defined results: a null or empty page, and one
 without any main text, gives an empty text; repeated rows give equal texts;
 broken markup is read as far as its tags can be told; very long pages are read
-whole; without pages to learn from every block is kept; an empty table gives
+whole, a run of blocks at a time; any depth of tags is kept; without pages to learn from every block is kept; an empty table gives
 an empty table.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +40,7 @@ from placebook.llm._words import Texts, slices
 
 TAGS, CLASSES, LAST, WORDS, COUNTS, HIDDEN = 64, 64, 32, 32, 8, 20
 INPUTS = TAGS + CLASSES + LAST + WORDS + COUNTS
-TRAIN_PAGES, LAYOUTS = 160, 6
+TRAIN_PAGES, TRAIN_BLOCKS, TRAIN_CHARS, LAYOUTS, CELLS = 160, 400, 4000, 6, 40_000
 
 _OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset .nav .navbar .menu .header .footer .sidebar .ad .ads .advert .advertisement .comment .comments .cookie .notice .banner .promo .related .share .social .newsletter .widget .breadcrumb .breadcrumbs .pagination".split())
 
@@ -58,8 +60,8 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """One row for each block of all pages."""
+def vectors(pages: list[list[Block]], place: np.ndarray | None = None) -> np.ndarray:
+    """One row for each block of all pages; ``place`` has the blocks' places in their pages, from 0 to 1, where these are not whole pages."""
     every = [b for page in pages for b in page]
     x = np.zeros((len(every), INPUTS), np.float32)
     if not every:
@@ -76,7 +78,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     upper = texts.per_text((texts.byte >= 65) & (texts.byte <= 90))
     stops = texts.per_text(np.isin(texts.byte, list(b".!?")))
     links = np.array([b.link_chars / max(len(b.text), 1) for b in every], np.float32)
-    place = np.concatenate([np.arange(len(p), dtype=np.float32) / max(len(p), 1) for p in pages if p])
+    place = np.concatenate([np.arange(len(p), dtype=np.float32) / max(len(p), 1) for p in pages if p]) if place is None else place
     x[:, at + WORDS :] = np.column_stack([np.log1p(n) / 4, np.log1p(size) / 6, links, upper / np.maximum(size, 1), stops / np.maximum(n, 1), place, n > 12, n < 4])
     return x
 
@@ -102,11 +104,14 @@ class Labeller:
         b = [np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32) for _ in range(2)]
         return Labeller(w, u, b, rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32), np.zeros(1, np.float32))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: int, keep: list | None = None) -> np.ndarray:
-        """States (time, page, HIDDEN) of one direction; at masked places the state stays. keep collects what training needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: int, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """States (time, page, HIDDEN) of one direction; at masked places the state stays.
+
+        keep collects what training needs; state is where a run of a page begins, and is left where it ends.
+        """
         steps, pages = mask.shape
         gates = x @ self.w[way] + self.b[way]
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
             z = gates[t] + h @ self.u[way]
@@ -120,12 +125,28 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, g, tc))
             h, c = np.where(m, o * tc, h), new
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def score(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, 0), self._run(x, mask, 1)], axis=2)
         return both @ self.out + self.bias[0]
 
+    def score_long(self, page: list[Block], run: int) -> np.ndarray:
+        """The score of each block of one page, read ``run`` blocks at a time in either direction."""
+        n = len(page)
+        out = np.full(n, self.bias[0], np.float32)
+        starts = list(range(0, n, run))
+        for way in (0, 1):
+            state: list = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for a in starts if way == 0 else reversed(starts):
+                part = page[a : a + run]
+                x = vectors([part], np.arange(a, a + len(part), dtype=np.float32) / n)
+                states = self._run(x[:, None], np.ones((len(part), 1), bool), way, state=state)
+                out[a : a + len(part)] += states[:, 0] @ self.out[way * HIDDEN : (way + 1) * HIDDEN]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         kept: list[list] = [[], []]
         states = [self._run(x, mask, way, kept[way]) for way in (0, 1)]
@@ -286,12 +307,27 @@ def _layout(rng: np.random.Generator, main: list[Block], other: list[str], prose
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, seed: int = 3) -> Labeller | None:
     """A labeller from at most ``train_pages`` pages, drawn by a seeded hash; None without any main text to learn from."""
-    usable = pages.select("html").filter("html is not null and length(html) < 100000")
     # about twice the sample by hash, of which take() reads as many as it needs
     share = min(1.0, 2 * train_pages / max(pages.count(), 1))
-    sample = usable.filter(F.pmod(F.xxhash64("html", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).take(train_pages)
-    read = [blocks_of(r["html"]) for r in sample]
-    labels = [plain_labels(p) for p in read]
+    drawn = pages.select("html").filter("html is not null").filter(F.pmod(F.xxhash64("html", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def told(batches):
+        for part in slices(batches, "html"):
+            for page in part.column(0).to_pylist():
+                rng = np.random.default_rng([zlib.crc32(page.encode()), seed])
+                blocks = blocks_of(page)
+                label = plain_labels(blocks).tolist()
+                a = int(rng.integers(0, max(1, len(blocks) - TRAIN_BLOCKS + 1)))
+                rows = []
+                for block, y in zip(blocks[a : a + TRAIN_BLOCKS], label[a : a + TRAIN_BLOCKS]):
+                    c = int(rng.integers(0, max(1, len(block.text) - TRAIN_CHARS + 1)))
+                    text = block.text[c : c + TRAIN_CHARS]
+                    rows.append((block.path, text, min(block.link_chars, len(text)), y))
+                yield pa.RecordBatch.from_pydict({"page": pa.array([json.dumps(rows)], pa.string())})
+
+    sample = [json.loads(r["page"]) for r in drawn.mapInArrow(told, "page string").take(train_pages)]
+    read = [[Block(tuple(path), text, links) for path, text, links, _ in p] for p in sample]
+    labels = [np.array([y for *_, y in p], bool) for p in sample]
     other = [b.text for p, y in zip(read, labels) for b, k in zip(p, y) if not k] or ["more about us"]
     mains = [[b for b, k in zip(p, y) if k] for p, y in zip(read, labels) if y.any()]
     if not mains:
@@ -305,7 +341,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, seed: int = 3) -> Labe
             y.append(k.astype(np.float32))
     for _ in range(LAYOUTS):
         for m in mains:
-            blocks, marks = _layout(rng, m[:60], other, prose)
+            blocks, marks = _layout(rng, m, other, prose)
             x.append(vectors([blocks]))
             y.append(np.array(marks, np.float32))
     labeller = Labeller.fresh(seed)
@@ -313,19 +349,21 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, seed: int = 3) -> Labe
     return labeller
 
 
-def main_texts(htmls: list[str | None], labeller: Labeller | None, most_cells: int = 40_000) -> Iterator[str]:
+def main_texts(htmls: list[str | None], labeller: Labeller | None, most_cells: int = CELLS) -> Iterator[str]:
     """The main text of each page."""
     read = [blocks_of(h) if h else [] for h in htmls]
     keep = [np.ones(len(p), bool) for p in read]
     if labeller is not None:
-        x = vectors(read)
-        ends = np.cumsum([len(p) for p in read])
         order = sorted((k for k in range(len(read)) if read[k]), key=lambda k: len(read[k]))
+        while order and len(read[order[-1]]) > most_cells:
+            k = order.pop()
+            keep[k] = labeller.score_long(read[k], max(1, most_cells // 8)) > 0
         while order:
             n = max(1, min(len(order), most_cells // len(read[order[-1]])))  # the longest pages first, as many as fit
             rows, order = order[-n:], order[:-n]
-            parts = [x[ends[k] - len(read[k]) : ends[k]] for k in rows]
-            inputs, mask, _ = _padded(parts)
+            x = vectors([read[k] for k in rows])
+            ends = np.cumsum([len(read[k]) for k in rows])
+            inputs, mask, _ = _padded([x[e - len(read[k]) : e] for k, e in zip(rows, ends)])
             score = labeller.score(inputs, mask)
             for j, k in enumerate(rows):
                 keep[k] = score[: len(read[k]), j] > 0

@@ -22,6 +22,39 @@ def test_blocks():
     assert blocks_of("") == [] and blocks_of("plain") and blocks_of("<div") and blocks_of("<p>" * 3000 + "x" + "<" * 3000)
 
 
+def test_open_tags_of_any_depth_and_left_out_end_tags():
+    deep = "<article>" + "<div class=x>" * 5000 + "in" + "</div>" * 5000 + "out</article><p>after"
+    inside, outside, after = blocks_of(deep)
+    assert inside.path == ("article", "div", ".x") and outside.path == ("article",) and after.path == ("p",)
+    rows = blocks_of("<main><table>" + "<tr><td>a<td>b" * 3000 + "</table>x<ul>" + "<li><p>c" * 3000 + "<ul><li>d<li>e</ul></ul>y</main>z")
+    assert {b.path for b in rows if b.text in "ab"} == {("main", "table", "tr", "td")} and {b.path for b in rows if b.text == "c"} == {("main", "ul", "li", "p")}
+    assert {b.path for b in rows if b.text in "xy"} == {("main",)} and rows[-1].path == ()
+    assert {b.path for b in rows if b.text in "de"} == {("main", "ul", "li")}
+
+
+def test_long_pages_are_read_in_runs(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    labeller = fit(table)
+    pages = [r.html for r in table.limit(12).collect()]
+    page = "".join(pages)
+    assert np.allclose(labeller.score_long(blocks_of(page), 7), labeller.score(*_padded([vectors([blocks_of(page)])])[:2])[:, 0], atol=1e-4)
+    assert list(main_texts(pages, labeller)) == list(main_texts(pages, labeller, most_cells=5))
+
+
+def test_pages_and_layouts_that_fit_has_not_seen(spark, sf):
+    """Fitted on one table, read on other pages, as they are and with their tags and class words changed."""
+    labeller = fit(spark.read.parquet(f"{sf}/pages.parquet"))
+    seen = {r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html and r.html not in seen]
+    want = [truth(p) for p in pages]
+    assert len(pages) >= 100
+    for change, least in ((lambda p: p, 0.98), (lambda p: re.sub(r"(</?)article", r"\1div", p), 0.95), (lambda p: re.sub(r' (?:class|id|role)="[^"]*"', "", p), 0.9)):
+        got = list(main_texts([change(p) for p in pages], labeller))
+        good = sum(a == b for a, b in zip(got, want)) / len(pages)
+        print("held-out pages right:", good)
+        assert good >= least
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     labeller = Labeller.fresh(1)
