@@ -12,14 +12,16 @@ place up by the rank that a piece has among the pieces of its length:
 3. shorter pieces, from the longest down, go to the smallest gap that holds
    them, new sequences being opened only when no gap does.
 
+Pieces carry their token ids; ``sequences`` puts those of each sequence together.
+
 The plan is a list of runs: ``bins`` equal sequences with the same contents.
 A copy group of any size is one length and hence one count.
 
 Defined results: a null or empty text is the end mark alone (length 1);
 repeated rows are packed once each; equal lengths are told apart by a stored
 rank, so that reruns of tasks agree; very long texts are tokenised whole; an
-empty table gives an empty table; columns that clash with the results' names
-are not carried.
+empty table gives an empty table; a doc_id of another type than a number is
+null; columns that clash with the results' names are not carried.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.llm._store import table, written
+from placebook.llm._words import slices
 
 CAPACITY = 2048
-SALTS = 64
+RANKED = 200_000  # pieces of one length that one task ranks, about
+PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
 
 @lru_cache(maxsize=2)
@@ -59,31 +63,32 @@ def _pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) of every piece of every document's ids with the end mark 0.
+def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids, draw) of every piece of every document's ids with the end mark 0.
 
-    ``salt`` deals pieces of one length over ``salts`` parts for ranking.
+    ``ids`` are little-endian unsigned 32-bit numbers; ``draw`` is a number below 2**20 that deals pieces of one length over tasks.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    names = ["doc_id", "piece", "start", "length", "ids", "draw"]
 
     def run(batches):
         encoder = _encoder(path)
-        dealt = 0
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(keys, batch.column(1)):
+        for part in slices(batches, most_bytes=1 << 22):
+            out: list[list] = [[] for _ in names]
+            for key, text in zip(part.column(0).to_pylist(), part.column(1)):
                 ids = encoder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(0)
                 ids = np.array(ids, dtype="<u4")
                 for k, (start, length) in enumerate(_pieces_of(ids, capacity)):
-                    dealt += 1
-                    for column, value in zip(out, (key, k, start, length, zlib.crc32(ids[start : start + length]), (dealt * 37 + (key or 0)) % salts)):
+                    own = ids[start : start + length]
+                    draw = (zlib.crc32(own) + (key or 0) * 2654435761 + k * 40503) & 0xFFFFF
+                    for column, value in zip(out, (key, k, start, length, own.tobytes(), draw)):
                         column.append(value)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            kinds = (part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
+    number = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.col("doc_id").try_cast("long")
+    return docs.select(number.alias("doc_id"), "text").mapInArrow(run, f"{PIECE}, draw int")
 
 
 @dataclass
@@ -164,20 +169,22 @@ def _slots(runs: list[Run]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add ``rank`` (from 0) among the pieces of the same length: the rank inside a salt plus the pieces of earlier salts."""
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    own = pieces.withColumn("_r", F.row_number().over(inside) - 1)
-    return own.join(base, ["length", "salt"]).withColumn("rank", F.col("_r") + F.col("base")).drop("_r", "base", "salt")
+def ranked(pieces: DataFrame, histogram: dict[int, int], each: int = RANKED) -> DataFrame:
+    """Add ``rank`` (from 0) among the pieces of the same length: the rank inside a part of about ``each`` pieces plus the pieces of earlier parts."""
+    parts = F.create_map(*(F.lit(x) for length, n in sorted(histogram.items()) if n > each for x in (length, -(-n // each)))) if max(histogram.values(), default=0) > each else None
+    many = F.lit(1) if parts is None else F.coalesce(F.try_element_at(parts, F.col("length").cast("int")), F.lit(1))
+    dealt = pieces.withColumn("part", F.floor(F.col("draw").cast("long") * many / F.lit(1 << 20)).cast("int"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "draw", "ids", "start")
+    own = dealt.withColumn("_r", F.row_number().over(inside) - 1)
+    return own.join(base, ["length", "part"]).withColumn("rank", F.col("_r") + F.col("base")).drop("_r", "base", "part", "draw")
 
 
 def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece with its sequence and the offset there."""
+    """(doc_id, piece, start, length, ids, sequence_id, offset): one row for each piece with its ids, its sequence and the offset there."""
     pieces = written(tokenised(docs, ranks_path, capacity), "pieces")
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = _slots(plan(histogram, capacity))
     # one sorted key for (length, rank): the slot of a piece is the last one that starts at or before it
     key = slots[:, 0].astype(np.float64) if not len(slots) else slots[:, 0]
@@ -194,12 +201,20 @@ def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACIT
                 at[rows] = lo + np.searchsorted(slots[lo:hi, 1], rank[rows], side="right") - 1
             _, first, each, sequence, offset = slots[at].T
             inside = rank - first
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+
+    placed = ranked(pieces, histogram).select("doc_id", "piece", "start", "length", "ids", F.col("rank").cast("long").alias("rank"))
+    return placed.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
+
 
-    placed = ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, pieces) of each sequence of pack(): its ids one after another and the (doc_id, piece, offset, length) that they come from."""
+    held = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))  # capacity ids at most
+    whole = packed.groupBy("sequence_id").agg(held.alias("p"))
+    ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    return whole.select("sequence_id", F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("length"), ids.alias("ids"), F.expr("transform(p, x -> struct(x.doc_id, x.piece, x.offset, x.length))").alias("pieces"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
