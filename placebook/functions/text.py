@@ -43,6 +43,18 @@ def replaced_word(c: Column, word: str, by: str) -> Column:
     return F.regexp_replace(c, f"{word}(?<=(?:^|[^0-9A-Za-z]|{word}){word})(?![0-9A-Za-z])", by)
 
 
+def without_words(c: Column, words: list[str], by: str) -> Column:
+    """Replace each of ``words`` where it stands alone, in one pass. No word may end with another one of them."""
+    first = "".join(sorted({w[0] for w in words}))
+    alone = "|".join(f"{w}(?<=(?:^|[^0-9A-Za-z]|{w}){w})" for w in words)
+    return F.regexp_replace(c, f"(?=[{first}])(?:{alone})(?![0-9A-Za-z])", by)
+
+
+def _where_any(c: Column, words, change) -> Column:
+    """``change`` applied to texts that hold one of ``words`` anywhere; the others are passed over in one look."""
+    return F.when(c.rlike("|".join(words)), change(c)).otherwise(c)
+
+
 def _without_unit(c: Column, word: str) -> Column:
     """Cut the first occurrence of a designator, if it stands alone, with the token after it."""
     before = f"(?s)^(?>(.*?){word})(?<=(?:^|[^0-9A-Za-z]){word})(?![0-9A-Za-z]){_BLANK}*[^{_BLANK}]*"
@@ -52,11 +64,10 @@ def _without_unit(c: Column, word: str) -> Column:
 def normalize_for_match(c: Column | str) -> Column:
     """The key that queries and records are matched by: lower case, no dots, commas, directions or units, short suffixes."""
     out = F.replace(F.replace(F.replace(F.lower(_col(c)), F.lit("."), F.lit("")), F.lit(","), F.lit(" ")), F.lit("#"), F.lit(" "))
-    for long, short in DIRECTIONS:
-        out = replaced_word(replaced_word(out, long, " "), short, " ")
-    out = reduce(_without_unit, MATCH_UNITS, out)
-    for long, short in SUFFIXES:
-        out = replaced_word(out, long, short)
+    for pairs in (DIRECTIONS[:4], DIRECTIONS[4:]):  # the last four end with words of the first
+        out = without_words(out, [word for pair in pairs for word in pair], " ")
+    out = _where_any(out, MATCH_UNITS, lambda c: reduce(_without_unit, MATCH_UNITS, c))
+    out = _where_any(out, [long for long, _ in SUFFIXES], lambda c: reduce(lambda x, pair: replaced_word(x, *pair), SUFFIXES, c))
     return collapsed(out)
 
 

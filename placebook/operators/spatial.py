@@ -36,7 +36,7 @@ def nearest_join(records: DataFrame, points: DataFrame, k: int, cell: float | No
     """
     place = Window.partitionBy("lon", "lat").orderBy("rec_id")
     sites = records.select("rec_id", "lon", "lat").filter("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
-    sites = sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= max(k, 0)).drop("_p")
+    sites = staged(sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= max(k, 0)).drop("_p"), "sites")
     left = points.select("qid", F.col("lon").alias("x"), F.col("lat").alias("y")).filter("x is not null and y is not null")
     box = sites.agg(F.count("*").alias("n"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     schema = "qid long, rank int, rec_id long, d2 double, confidence double"
@@ -56,7 +56,7 @@ def nearest_join(records: DataFrame, points: DataFrame, k: int, cell: float | No
         asked = left.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumns({"cx": at("x") + F.col("_i"), "cy": at("y") + F.col("_j")})
         near = asked.join(cells, ["cx", "cy"]).select("qid", "x", "y", "rec_id", squared_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("d2"))
         order = Window.partitionBy("qid").orderBy("d2", "rec_id")
-        top = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        top = staged(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "rec_id", "d2"), "near")
         if last:
             done.append(top.select("qid", "rank", "rec_id", "d2"))
             break
@@ -78,10 +78,21 @@ def within_box(records: DataFrame, lon1: float, lat1: float, lon2: float, lat2:
 
 
 def boxes_join(records: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """(qid, rec_id) of records in each of many boxes (qid, lon1, lat1, lon2, lat2), joined by grid cells of width ``cell``."""
+    """(qid, rec_id) of records in each of many boxes (qid, lon1, lat1, lon2, lat2), edges included.
+
+    Boxes meet records in grid cells of ``cell`` times a power of two, the least that is as wide as the box; so a box of
+    any size lies in four cells at most.
+    """
+    held = lambda c: F.least(F.greatest(c, F.lit(-1e12)), F.lit(1e12))
     low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
     sides = boxes.select("qid", low("lon1", "lon2").alias("x1"), high("lon1", "lon2").alias("x2"), low("lat1", "lat2").alias("y1"), high("lat1", "lat2").alias("y2"))
-    cells = sides.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor(F.col("x2") / cell))))
-    cells = cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y1") / cell), F.floor(F.col("y2") / cell))))
-    sites = records.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
-    return cells.join(sites, ["cx", "cy"]).filter("lon between x1 and x2 and lat between y1 and y2").select("qid", "rec_id")
+    sides = sides.filter("x1 is not null and x2 is not null and y1 is not null and y2 is not null")
+    wide = F.greatest(held(F.col("x2")) - held(F.col("x1")), held(F.col("y2")) - held(F.col("y1")), F.lit(float(cell)))
+    sides = staged(sides.withColumn("level", F.ceil(F.log2(wide / cell)).cast("int")), "boxes")
+    levels = sorted(r["level"] for r in sides.select("level").distinct().collect())  # powers of two between a cell and the world
+    at = lambda c, level: F.floor(held(c) / (F.lit(float(cell)) * F.pow(F.lit(2.0), level)))
+    cells = sides.withColumn("cx", F.explode(F.sequence(at(F.col("x1"), F.col("level")), at(F.col("x2"), F.col("level")))))
+    cells = cells.withColumn("cy", F.explode(F.sequence(at(F.col("y1"), F.col("level")), at(F.col("y2"), F.col("level")))))
+    sites = records.select("rec_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    sites = sites.withColumns({"cx": at(F.col("lon"), F.col("level")), "cy": at(F.col("lat"), F.col("level"))})
+    return cells.join(sites, ["level", "cx", "cy"]).filter("lon between x1 and x2 and lat between y1 and y2").select("qid", "rec_id")

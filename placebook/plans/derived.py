@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placebook.functions.text import parse_address
 from placebook.operators.index import entries, spread, write_sorted
-from placebook.sources.staging import new_path, staged
+from placebook.sources.staging import is_written, new_path, staged
 
 _STREETS = "'Main','Oak','North Elm','Lynn','Broadway','King''s','Ross','Southeast Cedar','Lake','Castle','Avenue','Pine Tree'"
 _KINDS = "'Street','Avenue','Boulevard','Drive','Road','Lane','Court','Place','Way','Circle'"
@@ -62,15 +62,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer(spark, sf_dir).select(F.col("id").alias("rec_id"), parse_address("raw").alias("address"), "lat", "lon")
 
 
-def stored_entries(records: DataFrame) -> DataFrame:
-    """The text index as it is used: normalised once, stored in key order and read back."""
-    path = new_path(records.sparkSession, "entries")
-    write_sorted(staged(entries(spread(records)), "keyed"), path)
-    return records.sparkSession.read.parquet(path)
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_entries(records(spark, sf_dir))
+    """The text index as it is used: normalised and stored in key order once for each application and folder of tables, and read back."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _STORED or not is_written(spark, _STORED[where]):
+        path = new_path(spark, "entries")
+        write_sorted(staged(entries(spread(records(spark, sf_dir))), "keyed"), path)
+        _STORED[where] = path
+    return spark.read.parquet(_STORED[where])
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

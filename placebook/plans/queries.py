@@ -110,7 +110,7 @@ def forward_exact(spark, sf_dir):
 @registered(o.ENTRIES + o.FUZZY + """ select qid, rank, rec_id, confidence, match_type, lat, lon, "full" as address from forwarded join rec on id = rec_id""")
 def forward_with_fallback(spark, sf_dir):
     records = derived.records(spark, sf_dir)
-    hits = forward.with_records(forward.forward(derived.stored_entries(records), derived.text_queries(spark, sf_dir)), records)
+    hits = forward.with_records(forward.forward(derived.index(spark, sf_dir), derived.text_queries(spark, sf_dir)), records)
     return _long(hits, "rank").select("qid", "rank", "rec_id", "confidence", "match_type", "lat", "lon", F.col("address.full").alias("address"))
 
 
@@ -144,7 +144,7 @@ from (select qid, rank as r, rec_id, lon, lat from ranked join rec on id = rec_i
 def autocomplete_biased(spark, sf_dir):
     records = derived.records(spark, sf_dir)
     asked = derived.text_queries(spark, sf_dir).withColumns({"lon": F.lit(-89.5), "lat": F.lit(39.5)})
-    return _long(autocomplete.autocomplete_biased(derived.stored_entries(records), records, asked, 5), "rank").select("qid", "rank", "rec_id")
+    return _long(autocomplete.autocomplete_biased(derived.index(spark, sf_dir), records, asked, 5), "rank").select("qid", "rank", "rec_id")
 
 
 _BATCH = """, results as (
@@ -157,7 +157,7 @@ _BATCH = """, results as (
             + " select qid, cast(n as bigint) as n, ids as texts, case when n > 0 then 'matched' else 'nomatch' end as status from results")
 def batch_results(spark, sf_dir):
     records = derived.records(spark, sf_dir)
-    found = batch.batch(records, derived.stored_entries(records), derived.text_queries(spark, sf_dir), 3)
+    found = batch.batch(records, derived.index(spark, sf_dir), derived.text_queries(spark, sf_dir), 3)
     return found.select("qid", F.size("results").cast("long").alias("n"), F.array_join("results.address.full", " ").alias("texts"), "status")
 
 
@@ -165,7 +165,7 @@ def batch_results(spark, sf_dir):
   cast(0 as bigint) as errors, round(coalesce(sum(first_confidence) / nullif(count(*) filter (n > 0), 0), 0.0), 9) as avg_confidence from results""")
 def batch_summary(spark, sf_dir):
     records = derived.records(spark, sf_dir)
-    return batch.summary(batch.batch(records, derived.stored_entries(records), derived.text_queries(spark, sf_dir))).withColumn("avg_confidence", F.round("avg_confidence", 9))
+    return batch.summary(batch.batch(records, derived.index(spark, sf_dir), derived.text_queries(spark, sf_dir))).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
 @registered(o.KNN + " select qid, rank, rec_id, d2 from knn")
@@ -258,7 +258,14 @@ def daily_quota(spark, sf_dir):
     return access.replay(_requests(spark, sf_dir), RateLimit(1_000_000, 2)).select("request_id", "allowed")
 
 
-@registered()
+@registered("""with recursive e as (
+  select user_id, event_id, h, row_number() over (partition by user_id order by h, event_id) as i from (select user_id, event_id, epoch_us(ts) // 3600 as h from events)
+), r as (
+  select user_id, event_id, h, i, 0.0::double as tokens, true as allowed from e where i = 1
+  union all
+  select user_id, event_id, h, i, case when had >= 1 then had - 1 else had end, had >= 1
+  from (select e.*, least(1.0::double, r.tokens + (e.h - r.h)::double / 1000000) as had from r join e on e.user_id = r.user_id and e.i = r.i + 1)
+) select event_id as request_id, allowed, case when not allowed then 'Rate limit exceeded (per-second)' end as reason, cast(case when not allowed then 1000 end as bigint) as retry_after_ms from r""")
 def token_bucket(spark, sf_dir):
     # a request a second for a request log that is sped up: an hour counts as a second
     log = _requests(spark, sf_dir)
@@ -292,3 +299,101 @@ def ingest_csv(spark, sf_dir):
     rows.write.option("header", True).option("escape", '"').csv(path)
     found = addresses_csv.read(spark, path)
     return found.select(F.col("address.postcode").cast("long").alias("rec_id"), F.col("address.full").alias("address"), F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
+
+
+def _documents(rows: DataFrame, head: str, path: str) -> None:
+    """Write rows (id, item) as JSON documents of about 500 items each, one a file: ``head`` opens the document and its array."""
+    cut = rows.withColumn("doc", F.floor(F.col("id") / 500)).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("items"))
+    text = F.concat(F.lit(head), F.array_join("items.item", ",\n"), F.lit("]}"))
+    cut.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
+
+
+_FEATURE = """case id % 9 when 0 then '{"type":"Feature"}'
+  when 1 then '{"geometry":{"coordinates":[' || lon || ']},"properties":{"address":"' || raw || '"}}'
+  when 2 then '{"geometry":{"coordinates":[' || lon || ',' || lat || ']},"properties":{"address":null,"name":"' || raw || '"}}'
+  when 3 then '{"geometry":{"coordinates":[' || lon || ',' || lat || ']},"properties":{"name":"' || raw || '"}}'
+  when 4 then '{"geometry":{"coordinates":["x",' || lat || ']},"properties":{"address":"' || raw || '"}}'
+  when 5 then '{"geometry":{"coordinates":[' || lon || ',' || lat || ']},"properties":{"address":7,"name":"' || raw || '"}}'
+  else '{"geometry":{"coordinates":[' || lon || ',' || lat || ']},"properties":{"address":"' || raw || '","name":"no"}}' end"""
+
+
+@registered(o.WITH + """ select "full" as address, street, round(case id % 9 when 4 then 0 else lon end, 3) as lon, round(lat, 3) as lat from rec where id % 9 not in (0, 1, 2, 5)""")
+def ingest_geojson(spark, sf_dir):
+    """Writes the gazetteer as feature collections, with features that must be left out, and reads it back."""
+    from placebook.sources import geojson
+    from placebook.sources.staging import new_path
+
+    path = new_path(spark, "geojson")
+    _documents(derived.gazetteer(spark, sf_dir).select("id", F.expr(_FEATURE).alias("item")), '{"type":"FeatureCollection","features":[', path)
+    return geojson.read(spark, path).select(F.col("address.full").alias("address"), "address.street", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
+
+
+@registered(o.WITH + """, t as (select *, concat_ws(', ', nullif(coalesce(house_number, ''), ''), nullif(coalesce(street, ''), ''), nullif(coalesce(city, ''), ''), nullif(coalesce(state, ''), ''), nullif(coalesce(postcode, ''), ''), nullif(coalesce(country, ''), '')) as txt from rec)
+select case id % 4 when 0 then 'Cafe, ' || txt else txt end as address, round(lon, 3) as lon, round(lat, 3) as lat from t where id % 4 in (0, 1)""")
+def ingest_overpass_json(spark, sf_dir):
+    """Writes the gazetteer as Overpass answers: nodes, ways with a centre, elements without a position and without tags."""
+    from placebook.sources import osm
+    from placebook.sources.staging import new_path
+
+    tags = F.struct(*(F.col(f"address.{field}").alias(tag) for field, tag in osm.TAGS.items()), F.expr("if(rec_id % 4 = 0, 'Cafe', null)").alias("name"))
+    kind = F.col("rec_id") % 4
+    place = F.when(kind == 1, F.struct("lat", "lon"))
+    element = F.struct(
+        F.when(kind == 1, "way").otherwise("node").alias("type"), F.when(kind != 1, F.col("lat")).alias("lat"), F.when((kind == 0) | (kind == 3), F.col("lon")).alias("lon"),
+        place.alias("center"), F.when(kind != 3, tags).alias("tags"),
+    )
+    path = new_path(spark, "overpass")
+    _documents(derived.records(spark, sf_dir).select(F.col("rec_id").alias("id"), F.to_json(element).alias("item")), '{"version":0.6,"elements":[', path)
+    return osm.read_json(spark, path).select(F.col("address.full").alias("address"), F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
+
+
+@registered(o.WITH + ' select "full" as address, round(lon, 3) as lon, round(lat, 3) as lat from rec where id % 10 > 1')
+def ingest_overpass_tsv(spark, sf_dir):
+    """Writes the gazetteer as tab-separated answers, with rows without a number or a name, and reads it back."""
+    from placebook.sources import osm
+    from placebook.sources.staging import new_path
+
+    path = new_path(spark, "tsv")
+    rows = derived.records(spark, sf_dir).select(F.expr("if(rec_id % 10 = 0, 'x', string(lat))").alias("@lat"), F.col("lon").cast("string").alias("@lon"), F.expr("if(rec_id % 10 = 1, '', address.full)").alias("name"))
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return osm.read_tsv(spark, path).select(F.col("address.full").alias("address"), F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
+
+
+@registered(o.WITH + ' select id as rec_id, "full" as address, round(lat, 3) as lat, round(lon, 3) as lon from rec where id % 5 > 1')
+def ingest_csv_bad_rows(spark, sf_dir):
+    """Like ingest_csv, by other header names and with coordinates that are no numbers."""
+    from placebook.sources import addresses_csv
+    from placebook.sources.staging import new_path
+
+    path = new_path(spark, "csv")
+    lon = F.expr("case id % 5 when 0 then 'east' when 1 then lon || 'd' else string(lon) end")
+    rows = derived.gazetteer(spark, sf_dir).select(F.col("id").cast("string").alias("zip"), F.trim("raw").alias("street"), F.col("lat").alias("latitude"), lon.alias("longitude"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    found = addresses_csv.read(spark, path)
+    return found.select(F.col("address.postcode").cast("long").alias("rec_id"), F.col("address.full").alias("address"), F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
+
+
+@registered(o.WITH + ', r as (select id, "full" as address from rec) select id as rec_id, address from r union all select id + (select count(*) from r), address from r')
+def append_records(spark, sf_dir):
+    from placebook.sources.rows import appended
+
+    records = derived.records(spark, sf_dir)
+    return appended(records, records).select("rec_id", F.col("address.full").alias("address"))
+
+
+_KEYS = "select c_custkey as id, c_name as raw_key, c_custkey % 5 = 0 as revoked from {customer}"
+
+
+@registered("select c_custkey as id from customer where c_custkey % 5 <> 0 and c_custkey % 3 = 0")
+def validate_keys(spark, sf_dir):
+    """The stored keys, by hash and not revoked, of the raw keys that a third of the customers show, and of unknown ones."""
+    given = spark.sql(_KEYS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    keys = given.select("id", access.key_hash("raw_key").alias("key_hash"), "revoked")
+    shown = given.select(F.expr("if(id % 3 = 0, raw_key, 'no such ' || raw_key)").alias("raw_key"))
+    return access.validate(keys, shown).select("id")
+
+
+@registered("select c_custkey as id, c_custkey % 5 = 0 or c_custkey % 7 = 0 as revoked from customer")
+def revoke_keys(spark, sf_dir):
+    keys = spark.sql(_KEYS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return access.revoke(keys, keys.filter("id % 7 = 0")).select("id", "revoked")

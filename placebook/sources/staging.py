@@ -23,6 +23,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written whole and is still there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back, so that what follows sees fixed rows and a short lineage."""
     path = new_path(df.sparkSession, name)

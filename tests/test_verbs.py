@@ -175,3 +175,41 @@ def test_batch_and_geocoder(spark, records):
     assert geo.reverse(-89.5, 39.5, 2)[0]["match_type"] == "exact" and len(geo.autocomplete("main", 2)) == 2
     body = batch.as_json(geo.batch_table(asked, 50)).filter("qid = 0").first().body
     assert '"postcode":null' in body and '"match_type":"exact"' in body
+
+
+def test_prefix_join_has_no_product_and_answers_empty_queries(spark, records, index, model):
+    texts = ["", "1", "12", "main", "main st springfield", "nothing at all like this one here", "12 main st springfield il 6000"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "qid long, qn string")
+    hits = forward.prefix_join(index, asked)
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.qid, set()).add(r.rec_id)
+    for k, t in enumerate(texts):
+        assert got.get(k, set()) == set(prefix_hits(model, t)), t
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for queries in (asked, asked.filter("qid = 0"), asked.filter("qid > 0"), asked.limit(0)):
+            plan = forward.prefix_join(index, queries)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert forward.prefix_join(index, asked.limit(0)).count() == 0
+
+
+def test_first_hits_are_cut_before_they_are_grouped(spark, index, model):
+    asked = spark.createDataFrame([(0, ""), (1, "1"), (2, "main"), (3, "s")], "qid long, qn string")
+    top = forward.first_hits(index, asked, 3)
+    got = {}
+    for r in sorted(top.collect(), key=lambda r: r.rank):
+        got.setdefault(r.qid, []).append(r.rec_id)
+    assert got == {k: prefix_hits(model, t)[:3] for k, t in enumerate(["", "1", "main", "s"]) if prefix_hits(model, t)}
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert forward.first_hits(index, asked, 1 << 70).groupBy("qid").count().count() == len(got)
+
+
+def test_boxes_of_any_size(spark, records):
+    rows = [(0, -180.0, -90.0, 180.0, 90.0), (1, -89.5, 39.5, -89.5, 39.5), (2, float("-inf"), 39.2, float("inf"), 39.3), (3, -89.3, 39.1, -89.9, 39.9), (4, 5.0, 5.0, 6.0, 6.0), (5, None, 1.0, 2.0, 3.0)]
+    boxes = spark.createDataFrame(rows, "qid long, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = sorted((r.qid, r.rec_id) for r in spatial.boxes_join(records, boxes, 0.05).collect())
+    want = [(q, r.rec_id) for q, a, b, c, d in rows[:5] for r in records.collect() if min(a, c) <= r.lon <= max(a, c) and min(b, d) <= r.lat <= max(b, d)]
+    assert got == sorted(want) and len(want) > len(rows)
