@@ -12,7 +12,8 @@ place up by the rank that a piece has among the pieces of its length:
 3. shorter pieces, from the longest down, go to the smallest gap that holds
    them, new sequences being opened only when no gap does.
 
-Pieces carry their token ids; ``sequences`` puts those of each sequence together.
+The pieces' token ids are written once and wait there under a key, as placing
+needs only lengths; ``sequences`` puts the ids of each sequence together.
 
 The plan is a list of runs: ``bins`` equal sequences with the same contents.
 A copy group of any size is one length and hence one count.
@@ -34,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ from placebook.llm._words import slices
 
 CAPACITY = 2048
 RANKED = 200_000  # pieces of one length that one task ranks, about
-PIECE = "doc_id long, piece int, start long, length long, ids binary"
+PIECE = "piece_key long, doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long"
+NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
 @lru_cache(maxsize=2)
@@ -64,31 +67,35 @@ def _pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, draw) of every piece of every document's ids with the end mark 0.
+    """(NAMES..., draw, ids) of every piece of every document's ids with the end mark 0; to be written, as keys are numbered by task.
 
-    ``ids`` are little-endian unsigned 32-bit numbers; ``draw`` is a number below 2**20 that deals pieces of one length over tasks.
+    ``ids`` are little-endian unsigned 32-bit numbers; ``draw`` is a number below 2**20 that deals pieces of one length
+    over tasks; doc_id and text_hash (xxhash64) find the row that a piece comes from.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    names = ["doc_id", "piece", "start", "length", "ids", "draw"]
+    names = [*NAMES, "draw", "ids"]
 
     def run(batches):
         encoder = _encoder(path)
+        number = TaskContext.get().partitionId() << 33
         for part in slices(batches, most_bytes=1 << 22):
             out: list[list] = [[] for _ in names]
-            for key, text in zip(part.column(0).to_pylist(), part.column(1)):
+            for key, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                 ids = encoder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(0)
                 ids = np.array(ids, dtype="<u4")
                 for k, (start, length) in enumerate(_pieces_of(ids, capacity)):
                     own = ids[start : start + length]
-                    draw = (zlib.crc32(own) + (key or 0) * 2654435761 + k * 40503) & 0xFFFFF
-                    for column, value in zip(out, (key, k, start, length, own.tobytes(), draw)):
+                    crc = zlib.crc32(own)
+                    draw = (crc + (key or 0) * 2654435761 + k * 40503) & 0xFFFFF
+                    for column, value in zip(out, (number, key, h, k, start, length, crc, draw, own.tobytes())):
                         column.append(value)
-            kinds = (part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+                    number += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
 
     number = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.col("doc_id").try_cast("long")
-    return docs.select(number.alias("doc_id"), "text").mapInArrow(run, f"{PIECE}, draw int")
+    return docs.select(number.alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"{PIECE}, draw int, ids binary")
 
 
 @dataclass
@@ -176,14 +183,15 @@ def ranked(pieces: DataFrame, histogram: dict[int, int], each: int = RANKED) ->
     dealt = pieces.withColumn("part", F.floor(F.col("draw").cast("long") * many / F.lit(1 << 20)).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "draw", "ids", "start")
+    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "draw", "piece_key")
     own = dealt.withColumn("_r", F.row_number().over(inside) - 1)
     return own.join(base, ["length", "part"]).withColumn("rank", F.col("_r") + F.col("base")).drop("_r", "base", "part", "draw")
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset): one row for each piece with its ids, its sequence and the offset there."""
-    pieces = written(tokenised(docs, ranks_path, capacity), "pieces")
+def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(placements as pack() returns them; (piece_key, ids) of every piece, for sequences())."""
+    written_pieces = written(tokenised(docs, ranks_path, capacity), "pieces")
+    pieces = written_pieces.drop("ids")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = _slots(plan(histogram, capacity))
     # one sorted key for (length, rank): the slot of a piece is the last one that starts at or before it
@@ -201,20 +209,25 @@ def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACIT
                 at[rows] = lo + np.searchsorted(slots[lo:hi, 1], rank[rows], side="right") - 1
             _, first, each, sequence, offset = slots[at].T
             inside = rank - first
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in NAMES]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], [*NAMES, "sequence_id", "offset"])
+
+    placed = ranked(pieces, histogram).select(*NAMES, F.col("rank").cast("long").alias("rank"))
+    return placed.mapInArrow(run, f"{PIECE}, sequence_id long, offset long"), written_pieces.select("piece_key", "ids")
 
-    placed = ranked(pieces, histogram).select("doc_id", "piece", "start", "length", "ids", F.col("rank").cast("long").alias("rank"))
-    return placed.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
+
+def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """(piece_key, doc_id, text_hash, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece with its sequence and the offset there."""
+    return packed(docs, ranks_path, capacity)[0]
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids, pieces) of each sequence of pack(): its ids one after another and the (doc_id, piece, offset, length) that they come from."""
-    held = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))  # capacity ids at most
-    whole = packed.groupBy("sequence_id").agg(held.alias("p"))
-    ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    return whole.select("sequence_id", F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("length"), ids.alias("ids"), F.expr("transform(p, x -> struct(x.doc_id, x.piece, x.offset, x.length))").alias("pieces"))
+def sequences(placements: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, pieces) of each sequence out of packed(): its ids one after another and the pieces that they come from."""
+    held = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "text_hash", "piece", "ids")))  # capacity ids at most
+    whole = placements.join(ids, "piece_key").groupBy("sequence_id").agg(held.alias("p"))
+    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    return whole.select("sequence_id", F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("length"), joined.alias("ids"), F.expr("transform(p, x -> struct(x.doc_id, x.text_hash, x.piece, x.offset, x.length))").alias("pieces"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

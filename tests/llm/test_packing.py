@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from placebook.llm.packing import CAPACITY, op10_best_fit_packing, pack, plan, ranked, sequences
+from placebook.llm.packing import CAPACITY, op10_best_fit_packing, pack, packed, plan, ranked, sequences
 
 
 def check_whole(rows, docs, capacity):
@@ -26,8 +26,7 @@ def check_whole(rows, docs, capacity):
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids), capacity), len(ids)]
             expected += [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        told = lambda p: p.ids_crc32 if "ids_crc32" in p else zlib.crc32(bytes(p.ids))
-        assert sorted(expected) == sorted((p.piece, p.start, p.length, told(p)) for p in pieces)
+        assert sorted(expected) == sorted((p.piece, p.start, p.length, p.ids_crc32) for p in pieces)
     for places in by_sequence.values():
         at = 0
         for offset, length in sorted(places):
@@ -46,17 +45,18 @@ def test_edge_rows(spark):
 
 def test_sequences_hold_the_ids_of_their_pieces(spark):
     docs = spark.createDataFrame([(k, "word " * (37 * k % 3000)) for k in range(40)], "doc_id long, text string")
-    packed = pack(docs)
-    whole = {r.sequence_id: r for r in sequences(packed).collect()}
-    rows = packed.collect()
+    placements, ids = packed(docs)
+    whole = {r.sequence_id: r for r in sequences(placements, ids).collect()}
+    rows = placements.collect()
     for r in rows:
         own = whole[r.sequence_id]
-        assert bytes(own.ids)[4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) and len(own.ids) == 4 * own.length <= 4 * CAPACITY
+        assert zlib.crc32(bytes(own.ids)[4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32 and len(own.ids) == 4 * own.length <= 4 * CAPACITY
+    assert {r.text_hash for r in rows} == {r.h for r in docs.selectExpr("xxhash64(text) as h").collect()}
     assert sum(len(r.pieces) for r in whole.values()) == len(rows)
 
 
 def test_ranks_of_one_length_in_many_parts(spark):
-    pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 5 = 0, 7L, 2048L) as length", "binary('x') as ids", "cast(pmod(xxhash64(id), 1048576) as int) as draw")
+    pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 5 = 0, 7L, 2048L) as length", "id as piece_key", "cast(pmod(xxhash64(id), 1048576) as int) as draw")
     rows = ranked(pieces, {7: 1000, 2048: 4000}, each=300).groupBy("length").agg({"rank": "max", "*": "count"}).collect()
     assert {(r.length, r["max(rank)"], r["count(1)"]) for r in rows} == {(7, 999, 1000), (2048, 3999, 4000)}
     assert ranked(pieces, {7: 1000, 2048: 4000}, each=300).select("length", "rank").distinct().count() == 5000
