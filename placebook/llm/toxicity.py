@@ -7,10 +7,12 @@ no example holds can meet nothing and has no weight.
 
 The examples form an inverted index: for each term the examples that hold it.
 Rare terms are added up from their lists.  The terms of most examples, function
-words above all, are columns of a matrix, in blocks of ``BLOCK`` examples with
-the largest weight of each term in each block.  What the rare terms give and
-the block maxima bound what a block can score; a block that cannot beat the
-k-th of some examples already scored is skipped, so the neighbours are exact.
+words above all, are columns of a matrix, in blocks of ``BLOCK`` examples that
+are alike (one language, say), with the largest weight of each term in each
+block.  What the rare terms give and the block maxima bound what a block can
+score; a block that cannot beat the k-th of some examples already scored is
+skipped, so the neighbours are exact: what single precision leaves among the
+best is summed again in double precision.
 They vote with the fourth power of their similarity, and a logistic curve,
 fitted on the examples' own leave-one-out votes at the labels' odds, turns the
 vote and the mean cosine to all examples of each label into a probability.
@@ -18,8 +20,8 @@ The neighbours are evidence.
 
 Defined results: a document without a term of the vocabulary (null and empty
 texts too) has no neighbours, and its score is the share of label 1 among
-labelled rows without any term (0 where there are none); equal similarities go
-to the smaller example id; repeated rows get equal scores; very long texts are
+labelled rows without any term (0 where there are none); equal similarities (to
+12 places) go to the smaller example id, whatever its label; repeated rows get equal scores; very long texts are
 read whole; without both labels to learn from every score is the share of
 label 1 (0 without any label); an empty table gives an empty table; further
 columns are not inputs.
@@ -40,7 +42,7 @@ from placebook.llm._store import table, written
 from placebook.llm._words import Texts, mix, slices
 
 EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
-COLUMNS, PAIRS = 768, 1 << 21  # terms held as columns; list entries added up at once
+COLUMNS, BATCH, SLACK = 768, 64, 1e-5  # terms held as columns; texts scored together; error of a sum in single precision
 STEMS = (4, 5, 6, 7, 8)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -65,7 +67,14 @@ def terms(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, term.view(np.int64), np.ones(len(term), np.int64)
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of a sorted array, how often each occurs)."""
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.diff(np.append(at, len(key)))
+
+
 def _grouped(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of equal terms, sorted by text and term."""
     order = np.lexsort((term, text))
     text, term = text[order], term[order]
     new = np.ones(len(text), bool)
@@ -75,16 +84,20 @@ def _grouped(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _known(texts: Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, index in the sorted vocabulary, count) of the terms that the vocabulary has."""
-    text, term, count = _grouped(*terms(texts)[:2])
-    at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
+    """(text, index in the sorted vocabulary, count) of the terms that the vocabulary has, sorted."""
+    text, term, _ = terms(texts)
+    size = max(len(vocabulary), 1)
+    at = np.minimum(np.searchsorted(vocabulary, term), size - 1)
     hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    return text[hit], at[hit], count[hit]
+    key, count = _runs(np.sort(text[hit] * size + at[hit]))
+    return key // size, key % size, count
 
 
 @dataclass
 class Index:
-    """Examples by term (``entries``: example, term, weight); ``peak`` has the largest weight of each column in each block.
+    """Examples by term: ``entries`` are (example, entries of each term of the vocabulary, count) in order of term and example.
+
+    ``peak`` has the largest weight of each column in each block.
 
     ``stands_for`` has the labelled rows that an example of label 0 and of label 1 stands for in the sample.
     """
@@ -102,22 +115,29 @@ class Index:
         """Lists, columns and bounds, once; the driver that only passes the index on never makes them."""
         if hasattr(self, "first"):
             return
-        example, term, weight = self.entries
-        if (np.diff(term) < 0).any():
-            order = np.lexsort((example, term))
-            example, term, weight = self.entries = example[order], term[order], weight[order]
-        size = len(self.vocabulary)
-        self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
-        count = np.bincount(term, minlength=size)
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        common = np.argsort(-count, kind="stable")[:COLUMNS]
-        common = common[count[common] >= max(BLOCK // 4, len(self.ids) // 50)]
+        example, times, count = self.entries
+        size, n = len(self.vocabulary), len(self.ids)
+        term = np.repeat(np.arange(size), times)
+        self.first = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+        example = example.astype(np.int64)
+        weight = self.weigh(example, term, count, n)
+        self.n_blocks = max(1, -(-n // BLOCK))
+        common = np.argsort(-times.astype(np.int64), kind="stable")[:COLUMNS]
+        common = common[times[common] >= max(BLOCK // 4, n // 50)]
         self.column = np.full(size, -1, np.int32)
         self.column[common] = np.arange(len(common))
         in_column = self.column[term] >= 0
-        self.columns = np.zeros((self.n_blocks * BLOCK, len(common)))
-        self.columns[example[in_column], self.column[term[in_column]]] = weight[in_column]
-        self.peak = self.columns.reshape(self.n_blocks, BLOCK, -1).max(axis=1).T
+        columns = np.zeros((n, len(common)), np.float32)
+        columns[example[in_column], self.column[term[in_column]]] = weight[in_column]
+        # places: examples that share common terms, a language's above all, stand in the same blocks
+        self.order = _alike_together(columns)
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.place = place
+        self.columns = np.zeros((self.n_blocks * BLOCK, len(common)), np.float32)
+        self.columns[:n] = columns[self.order]
+        self.peak = self.columns.reshape(self.n_blocks, BLOCK, -1).max(axis=1).T.copy()
+        self.posted, self.weight = place[example].astype(np.int32), weight
         self.members = [float((self.label == k).sum()) for k in (0, 1)]
         self.middle = [np.bincount(term, weight * (self.label[example] == k), minlength=size) for k in (0, 1)]
 
@@ -136,54 +156,67 @@ class Index:
     def nearest(self, text, term, weight, n: int, own: np.ndarray | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest of each of n texts, -1 and 0 where there are fewer; own: an example to leave out."""
         best = np.full((n, k), -1, np.int64)
-        sims = np.zeros((n, k), np.float32)
+        sims = np.zeros((n, k))
         if not len(text) or not len(self.ids):
             return best, sims
         self.build()
         first = np.searchsorted(text, np.arange(n + 1))
-        listed = np.where(self.column[term] < 0, self.first[term + 1] - self.first[term], 0)
-        ends = np.concatenate([[0], np.cumsum(listed)])[first]
-        at = 0
-        while at < n:
-            stop = max(at + 1, min(at + 64, int(np.searchsorted(ends, ends[at] + PAIRS, side="right")) - 1))
+        for at in range(0, n, BATCH):
+            stop = min(at + BATCH, n)
             part = slice(first[at], first[stop])
-            self._score(at, text[part] - at, term[part], weight[part], listed[part], None if own is None else own[at:stop], best[at:stop], sims[at:stop])
-            at = stop
+            self._score(text[part] - at, term[part], weight[part], None if own is None else own[at:stop], best[at:stop], sims[at:stop])
         return best, sims
 
-    def _score(self, at, row, term, weight, listed, own, best, sims) -> None:
+    def _listed(self, row, term, weight, n: int) -> np.ndarray:
+        """What the terms that are no columns give each text with each place, from their lists."""
+        out = np.zeros((n, self.n_blocks * BLOCK))
+        some = self.column[term] < 0
+        row, weight, lo = row[some], weight[some].astype(np.float64), self.first[term[some]]
+        held = self.first[term[some] + 1] - lo
+        bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if a == b:
+                continue
+            many = held[a:b]
+            ends = np.cumsum(many)
+            entry = np.repeat(lo[a:b] - (ends - many), many)
+            entry += np.arange(ends[-1])
+            value = np.repeat(weight[a:b], many)
+            value *= self.weight.take(entry)
+            out[i] = np.bincount(self.posted.take(entry), value, minlength=out.shape[1])
+        return out
+
+    def _score(self, row, term, weight, own, best, sims) -> None:
         """Fill ``best`` and ``sims`` for a few texts: the lists, then the columns of each block that may reach the k-th similarity."""
         n, size, k = len(best), len(self.columns), min(best.shape[1], len(self.columns))
-        example, _, held = self.entries
-        begin = np.concatenate([[0], np.cumsum(listed)[:-1]]) if len(listed) else listed
-        entry = np.repeat(self.first[term] - begin, listed) + np.arange(listed.sum())
-        score = np.bincount(np.repeat(row * size, listed) + example[entry].astype(np.int64), np.repeat(weight.astype(np.float64), listed) * held[entry], minlength=n * size).reshape(n, size)
-        place = self.column[term]
-        asked = np.zeros((n, self.columns.shape[1]))
-        asked[row[place >= 0], place[place >= 0]] = weight[place >= 0]
+        score = self._listed(row, term, weight, n)
+        column = self.column[term]
+        asked = np.zeros((n, self.columns.shape[1]), np.float32)
+        asked[row[column >= 0], column[column >= 0]] = weight[column >= 0]
         if own is not None:
-            score[np.arange(n), own] = -np.inf
+            score[np.arange(n), self.place[own]] = -np.inf
         few = np.argpartition(score, size - k, axis=1)[:, size - k :]
         least = (np.take_along_axis(score, few, axis=1) + np.matmul(self.columns[few], asked[:, :, None])[:, :, 0]).min(axis=1)
         reach = score.reshape(n, self.n_blocks, BLOCK).max(axis=2) + asked @ self.peak
-        # a block may still tie the k-th similarity, within rounding
-        needed = (reach > 0) & (reach >= least[:, None] - 1e-5)
-        if needed.mean() > 0.5:
-            score += asked @ self.columns.T
-        else:
-            for block in range(self.n_blocks):
-                span, some = slice(block * BLOCK, (block + 1) * BLOCK), needed[:, block]
-                score[some, span] += asked[some] @ self.columns[span].T
-                score[~some, span] = -np.inf
-        least = np.partition(score, size - k, axis=1)[:, size - k]
-        doc, name = np.nonzero((score > 0) & (score >= least[:, None] - 2e-6))
-        score = np.round(score[doc, name], 6)
-        order = np.lexsort((name, -score, doc))
-        doc, name, score = doc[order], name[order], score[order]
+        # sums in single precision are right to SLACK; what may be among the best is then summed in double precision
+        needed = (reach > 0) & (reach >= least[:, None] - SLACK)
+        rough = np.full((n, size), -np.inf, np.float32)
+        for block in np.flatnonzero(needed.any(axis=0)).tolist():
+            span, some = slice(block * BLOCK, (block + 1) * BLOCK), np.flatnonzero(needed[:, block])
+            rough[some, span] = score[some, span] + asked[some] @ self.columns[span].T
+        least = np.partition(rough, size - k, axis=1)[:, size - k]
+        doc, at = np.nonzero(rough >= np.maximum(least - SLACK, -1)[:, None])
+        exact = score[doc, at] + np.einsum("ij,ij->i", self.columns[at], asked[doc], dtype=np.float64)
+        # equal vectors may differ in the last bits of their sums
+        exact = np.round(exact, 12)
+        some = exact > 0
+        doc, name, exact = doc[some], self.order[at[some]], exact[some]
+        order = np.lexsort((name, -exact, doc))
+        doc, name, exact = doc[order], name[order], exact[order]
         rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
         top = rank < k
         best[doc[top], rank[top]] = name[top]
-        sims[doc[top], rank[top]] = score[top]
+        sims[doc[top], rank[top]] = exact[top]
 
     def means(self, text, term, weight, n: int, own: np.ndarray | None = None) -> np.ndarray:
         """The mean cosine of each of n texts to all examples of label 0 and of label 1; own: an example to leave out."""
@@ -211,6 +244,25 @@ class Index:
         return np.where(np.isnan(vote), self.empty_score, 1 / (1 + np.exp(-np.clip(x @ slope, -30, 30))))
 
 
+def _alike_together(columns: np.ndarray, groups: int = 48, rounds: int = 6) -> np.ndarray:
+    """An order of the rows in which rows near to each other in angle stand together; equal for equal input."""
+    unit = columns / np.maximum(np.linalg.norm(columns, axis=1, keepdims=True), 1e-12)
+    if len(unit) <= BLOCK or not unit.shape[1]:
+        return np.arange(len(unit))
+    middle = unit[np.linspace(0, len(unit) - 1, min(groups, len(unit) // BLOCK + 1)).astype(np.int64)]
+    for _ in range(rounds):
+        own = (unit @ middle.T).argmax(axis=1)
+        for k in np.unique(own):
+            mean = unit[own == k].mean(axis=0)
+            middle[k] = mean / max(float(np.linalg.norm(mean)), 1e-12)
+    alike, rank, now = middle @ middle.T, np.empty(len(middle), np.int64), 0
+    left = np.ones(len(middle), bool)
+    for turn in range(len(middle)):
+        rank[now], left[now] = turn, False
+        now = int(np.where(left, alike[now], -2).argmax())
+    return np.argsort(rank[own], kind="stable")
+
+
 def _features(vote: np.ndarray, sims: np.ndarray, means: np.ndarray) -> np.ndarray:
     near = sims.mean(axis=1, dtype=np.float64)
     return np.column_stack([np.ones(len(vote)), vote, near, vote * near, means])
@@ -321,8 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
     index = Index(vocabulary, idf, held, label, nothing)
     share = {1: odds[1] / max(n1, 1), 0: odds[0] / max(n0, 1)}
     if len(held):
-        term = np.repeat(np.arange(len(vocabulary), dtype=np.int32), part["times"])
-        index.entries = (part["example"], term, index.weigh(part["example"], term, part["count"], len(held)))
+        index.entries = (part["example"], part["times"], part["count"])
     index.stands_for = (share[0], share[1])
     bare = [(size[k] - int((label == k).sum())) * share[k] for k in (0, 1)]
     index.empty_score = bare[1] / max(sum(bare), 1e-9)
