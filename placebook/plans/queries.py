@@ -359,6 +359,27 @@ def ingest_overpass_tsv(spark, sf_dir):
     return osm.read_tsv(spark, path).select(F.col("address.full").alias("address"), F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
 
 
+_OBJECTS = """
+select 'node' as kind, rec_id as id, lat, lon, cast(null as array<bigint>) as refs, {tags} as tags from {rec} where rec_id % 4 <> 2
+union all select 'way', rec_id, null, null, array(-4 * rec_id - 1, -4 * rec_id - 2, -4 * rec_id - 1, -4 * rec_id - 3), {tags} from {rec} where rec_id % 4 = 2
+union all select 'node', -4 * rec_id - n, lat + (n - 1) * 0.3D, lon + (n - 1) * 0.6D, null, cast(map() as map<string, string>) from {rec}, lateral explode(array(1, 2)) as x(n) where rec_id % 4 = 2"""
+
+
+@registered(o.WITH + """, t as (select *, concat_ws(', ', nullif(coalesce(house_number, ''), ''), nullif(coalesce(street, ''), ''), nullif(coalesce(city, ''), ''), nullif(coalesce(state, ''), ''), nullif(coalesce(postcode, ''), ''), nullif(coalesce(country, ''), '')) as txt
+  from rec where house_number is not null and street is not null and id % 4 <> 1)
+select case id % 4 when 3 then 'Cafe, ' || txt else txt end as address, round(lon + case id % 4 when 2 then 0.2 else 0 end, 3) as lon, round(lat + case id % 4 when 2 then 0.1 else 0 end, 3) as lat from t where txt <> ''""")
+def ingest_pbf(spark, sf_dir):
+    """Writes the gazetteer as an OSM extract, nodes and ways with nodes that are missing, and reads it back; objects without a number or a street are left out."""
+    from placebook.sources import osm, osm_pbf
+    from placebook.sources.staging import new_path
+
+    tags = ", ".join(f"'{tag}', {'if(rec_id % 4 = 1, null, address.street)' if field == 'street' else f'address.{field}'}" for field, tag in osm.TAGS.items())
+    tags = f"map_filter(map({tags}, 'name', if(rec_id % 4 = 3, 'Cafe', null)), (k, v) -> v is not null)"
+    path = new_path(spark, "pbf")
+    osm_pbf.write(spark.sql(_OBJECTS.replace("{tags}", tags), rec=derived.records(spark, sf_dir)), path)
+    return osm.read_pbf(spark, path).select(F.col("address.full").alias("address"), F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
+
+
 @registered(o.WITH + ' select id as rec_id, "full" as address, round(lat, 3) as lat, round(lon, 3) as lon from rec where id % 5 > 1')
 def ingest_csv_bad_rows(spark, sf_dir):
     """Like ingest_csv, by other header names and with coordinates that are no numbers."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placebook.functions.text import osm_full_text, parsed_float
 from placebook.sources.rows import as_records, placed
+from placebook.sources.staging import staged
 
 # The tags of an address, in the order of its fields.
 TAGS = {"house_number": "addr:housenumber", "street": "addr:street", "city": "addr:city", "state": "addr:state", "postcode": "addr:postcode", "country": "addr:country"}
@@ -35,11 +36,15 @@ def read_json(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     read = docs.withColumn("d", F.from_json("value", ELEMENTS.replace(": ", ":"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     # from_json turns numbers into text where text is due; a typed reader does not
     loose = F.expr("exists(coalesce(from_json(value, 'struct<elements:array<struct<tags:map<string,variant>>>>').elements, array()), e -> exists(map_entries(e.tags), t -> (t.key like 'addr:%' or t.key = 'name') and schema_of_variant(t.value) not in ('STRING', 'VOID')))")
-    if not read.filter(F.col("d").isNull() | F.col("d._bad").isNotNull() | loose).isEmpty():
+    fault = F.when(F.col("d").isNull() | F.col("d._bad").isNotNull() | loose, "malformed").when(F.expr("coalesce(size(d.elements), 0) <= 0"), "none")
+    # parsed once, for the checks and for the records
+    parsed = staged(read.withColumn("_fault", fault).select("_file", "_block", "_fault", F.expr("posexplode_outer(d.elements)").alias("_row", "e")), "elements")
+    faults = {r["_fault"] for r in parsed.select("_fault").distinct().collect()}  # three values at most
+    if "malformed" in faults:
         raise MalformedDocument(path)
-    if not read.filter(F.expr("coalesce(size(d.elements), 0) <= 0")).isEmpty():
+    if "none" in faults:
         raise NoElements(path)
-    rows = read.select("_file", "_block", F.posexplode("d.elements").alias("_row", "e"))
+    rows = parsed.drop("_fault")
     own = F.col("e.lat").isNotNull() & F.col("e.lon").isNotNull()
     tag = lambda name: F.col(f"e.tags.`{name}`")
     address, text = address_of(tag)
@@ -72,10 +77,10 @@ def centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def read_pbf(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     """Records of an OSM PBF extract: nodes and ways tagged with house number and street, nodes before ways, by id."""
-    from placebook.sources.osm_pbf import OsmPbf
+    from placebook.sources import osm_pbf
 
-    spark.dataSource.register(OsmPbf)
-    objects = spark.read.format("osmpbf").load(path)
+    # decoded once; what follows reads the columns and kinds that it needs
+    objects = staged(osm_pbf.read(spark, path), "objects")
     some = objects.filter(F.map_contains_key("tags", "addr:housenumber") & F.map_contains_key("tags", "addr:street"))
     nodes = objects.filter("kind = 'node'").select(F.col("id").alias("node_id"), "lat", "lon")
     ways = some.filter("kind = 'way'")

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from placebook.sources import addresses_csv, geojson, loader, osm, rows, store
+from placebook.sources import addresses_csv, geojson, loader, osm, osm_pbf, rows, store
 
 
 def got(df):
@@ -140,8 +140,42 @@ def test_pbf(spark, tmp_path):
     path = str(tmp_path / "a.osm.pbf")
     df = loader.load(spark, path)
     assert [(t, round(x, 6), round(y, 6)) for t, x, y in got(df)] == [("5, Main", -2.0, 1.0), ("Cafe, 9, Main", 20.0, -10.0), ("7, Main", round((0.5 + 2.5 + 0.5) / 3, 6), round((0.5 + 1.5 + 0.5) / 3, 6)), ("8, Main", 0.5, 0.5)]
-    many = spark.read.format("osmpbf").option("runBytes", 1).load(path)
-    assert many.rdd.getNumPartitions() == 3 and many.count() == 10
+    # more tasks than blobs: each blob is read once, whichever tasks its bytes fall to
+    few = osm_pbf.read(spark, path).orderBy("kind", "id").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        many = osm_pbf.read(spark, path)
+        assert many.rdd.getNumPartitions() > 5 and many.orderBy("kind", "id").collect() == few and len(few) == 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.id, r.tags.get("addr:street")) for r in few if r.kind == "node"] == [(1, None), (2, "only"), (3, None), (5, "Main"), (9, "Main")]
+    assert [(r.id, r.refs) for r in few if r.kind == "way"] == [(4, [1]), (6, [404]), (7, [1, 2, 1]), (8, [1, 404])]
+
+
+def test_pbf_written_and_read(spark, tmp_path):
+    made = [("node", -(10**12), -89.9999999, 179.9999999, None, {"a": "ü 東京", "b": ""}), ("node", 5, 0.0, 0.0, None, {}), ("way", 6, None, None, [10**12, -3, 5], {"k": "v"}), ("way", 7, None, None, [], {})]
+    path = str(tmp_path / "out")
+    osm_pbf.write(spark.createDataFrame(made, osm_pbf.SCHEMA).repartition(3), path)
+    back = osm_pbf.read(spark, path).orderBy("id").collect()
+    assert [(r.kind, r.id, r.refs, r.tags) for r in back] == [(k, i, r, t) for k, i, _, _, r, t in made]
+    assert all(abs(r.lat - m[2]) < 1e-9 and abs(r.lon - m[3]) < 1e-9 for r, m in zip(back[:2], made[:2])) and back[2].lat is None
+    # every file is one that other readers take: a header blob, and blobs that fill it to its end
+    for file in (tmp_path / "out").glob("part-*"):
+        data, at, kinds = file.read_bytes(), 0, []
+        while at < len(data):
+            n = struct.unpack(">I", data[at : at + 4])[0]
+            head = dict(osm_pbf._fields(data[at + 4 : at + 4 + n]))
+            kinds.append(head[1])
+            assert dict(osm_pbf._fields(data[at + 4 + n : at + 4 + n + head[3]]))[3]
+            at += 4 + n + head[3]
+        assert at == len(data) and kinds[0] == b"OSMHeader"
+    cut = tmp_path / "cut.pbf"
+    cut.write_bytes(blob(b"OSMData", block(nodes=[(3, 3.0, 3.0, {})]))[:-3])
+    with pytest.raises(Exception, match="not whole"):
+        osm_pbf.read(spark, str(cut)).collect()
 
 
 def test_loader_and_store(spark, tmp_path):
