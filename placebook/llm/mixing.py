@@ -101,10 +101,11 @@ def chosen_blocks(docs: DataFrame, sources: DataFrame, block: int = BLOCK, budge
     quota = written(apportioned(parties, [], ["key"]).select("key", F.col("seats").alias("q")), "quotas")
     held = shards.join(quota, "key").select("key", "shard", "blocks", F.col("shard_size").cast("double").alias("w"), F.expr("2 * blocks").alias("most"), "q")
     own = apportioned(held, ["key"], ["shard"]).filter("seats > 0").select("key", "shard", "blocks", "seats")
-    # few rows that become many: as many partitions as the blocks need, which AQE does not merge by the size before
+    # few rows that become many: as many partitions as the blocks need, which AQE does not merge by the size before;
+    # keys in another order than the join's, as Spark drops a repartition that repeats the one below it
     total_blocks = shards.agg(F.sum("blocks")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_blocks // TASK_BLOCKS))
-    each = own.repartition(parts, "key", "shard").withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    each = own.repartition(parts, "shard", "key").withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
     salt = f"concat('{seed}|', key, '|', shard, '|', b)"
     order = Window.partitionBy("key", "shard").orderBy("r", "b")
     ranked = each.withColumn("r", F.expr(_hash(salt))).withColumn("_n", F.row_number().over(order))
