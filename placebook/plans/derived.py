@@ -89,6 +89,6 @@ def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ODD = """
-select id, case id%7 when 0 then raw when 1 then '  '||upper(raw)||' ' when 2 then replace(raw, ' ', '  ') when 3 then raw||' Suite #12, Unit 4'
-  when 4 then 'ne '||replace(raw, 'a', 'ross ')||'. n n.e St street' when 5 then replace(raw, ', ', ',')||',' else 'Room 7 '||raw||' Way Broadway' end as t
+select id, case id%8 when 0 then raw when 1 then '  '||upper(raw)||' ' when 2 then replace(raw, ' ', '  ') when 3 then raw||' Suite #12, Unit 4'
+  when 4 then 'ne '||replace(raw, 'a', 'ross ')||'. n n.e St street' when 5 then replace(raw, ', ', ',')||',' when 6 then 'Ünit Ønorth '||replace(raw, 'a', 'ä')||' ÉAST west, 大阪 Straße' else 'Room 7 '||raw||' Way Broadway' end as t
 from gaz"""

@@ -1,4 +1,4 @@
-"""The text functions in DuckDB's dialect, for the oracle only. ASCII texts are assumed."""
+"""The text functions in DuckDB's dialect, for the oracle only. Texts are assumed to be lower-cased alike by both engines, and their white space to be ASCII."""
 
 from __future__ import annotations
 

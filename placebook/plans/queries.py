@@ -60,7 +60,8 @@ def extract_unit(spark, sf_dir):
 
 @registered(o.WITH + """, f as (select id, list_transform(string_split(trim(t), ','), lambda p: trim(p)) as parts from (
   select id, t from odd union all select id + 1000000, t || ', ' || cast(10000 + id as varchar) from odd union all select id + 2000000, t || ', 1010' from odd union all select id + 3000000, t || ', 1010 Wien' from odd))
-select id, case when len(parts) >= 2 and strlen(parts[-1]) >= 4 and regexp_matches(parts[-1], '^([0-9]{5}|[0-9]{4}$)') then 'European' else 'NorthAmerican' end as format from f""")
+select id, case when len(parts) >= 2 and strlen(parts[-1]) >= 4 and regexp_matches(parts[-1], '^([0-9]{5}|[0-9]{4}$)') then 'European'
+  when list_bool_or(list_transform(parts, lambda p: regexp_matches(p, '[\\x{3000}-\\x{9FFF}]'))) then 'Japanese' else 'NorthAmerican' end as format from f""")
 def detect_format(spark, sf_dir):
     odd = odd_texts(spark, sf_dir)
     tails = F.array(F.lit(""), F.concat(F.lit(", "), (F.col("id") + 10000).cast("string")), F.lit(", 1010"), F.lit(", 1010 Wien"))
