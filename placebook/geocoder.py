@@ -65,7 +65,12 @@ class Geocoder:
     def batch_table(self, queries: DataFrame, most_results: int | None = None) -> DataFrame:
         return batch.batch(self.records, self.index, queries, most_results)
 
+    def hits(self, text: str) -> DataFrame:
+        """The results of one text as rows of results, in order: for texts that many records match, as each matches an empty one."""
+        return self._results(forward.forward_one(self.index, text)).orderBy("rank").select("r.*")
+
     def forward(self, text: str) -> list[dict]:
+        """The results of one text as a list; hits() gives any number of them."""
         return self._listed(forward.forward_one(self.index, text), 1)[0]
 
     def reverse(self, lon: float, lat: float, k: int = 5) -> list[dict]:

@@ -13,7 +13,7 @@ from placebook.operators import index as ix
 from placebook.plans import derived
 from placebook.plans import oracle_text as o
 from placebook.plans.derived import odd_texts
-from placebook.schema import FuzzyConfig, RateLimit
+from placebook.schema import RESULT, FuzzyConfig, RateLimit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,6 +169,16 @@ def batch_summary(spark, sf_dir):
     return batch.summary(batch.batch(records, derived.index(spark, sf_dir), derived.text_queries(spark, sf_dir))).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
+@registered(o.ENTRIES + o.FUZZY + """ select q.qid, cast(case when f.rec_id is null then 0 else 1 end as bigint) as n, rec."full" as address, rec.city as city, f.match_type,
+  f.rec_id is not null and rec.city is null as null_city from queries q left join forwarded f on f.qid = q.qid and f.rank = 1 left join rec on rec.id = f.rec_id""")
+def batch_json(spark, sf_dir):
+    """The bodies of a service's answers, with the best result of each query, read back; parts without a value are written as null."""
+    found = batch.batch(derived.records(spark, sf_dir), derived.index(spark, sf_dir), derived.text_queries(spark, sf_dir), 1)
+    back = batch.as_json(found).withColumn("results", F.from_json("body", f"results array<{RESULT}>")["results"])
+    first = F.get("results", F.lit(0))
+    return back.select("qid", F.size("results").cast("long").alias("n"), first["address"]["full"].alias("address"), first["address"]["city"].alias("city"), first["match_type"].alias("match_type"), F.contains("body", F.lit('"city":null')).alias("null_city"))
+
+
 @registered(o.KNN + " select qid, rank, rec_id, d2 from knn")
 def reverse_knn(spark, sf_dir):
     return _long(spatial.nearest_join(derived.records(spark, sf_dir), derived.points(spark, sf_dir), 5), "rank").select("qid", "rank", "rec_id", "d2")
@@ -289,6 +299,17 @@ def store_roundtrip(spark, sf_dir):
     return store.load(spark, path).select("rec_id", F.col("address.full").alias("address"), "lat", "lon")
 
 
+@registered(o.WITH + " select cast(1 as bigint) as version, count(*) as record_count, 'derived' as source, true as no_coverage, true as is_rfc3339 from rec")
+def store_metadata(spark, sf_dir):
+    from placebook.sources import store
+    from placebook.sources.staging import new_path
+
+    path = new_path(spark, "gazetteer")
+    store.save(derived.records(spark, sf_dir), path, "derived")
+    is_time = F.col("created_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")
+    return store.metadata(spark, path).select(F.col("version").cast("long").alias("version"), F.col("record_count").cast("long").alias("record_count"), "source", F.col("coverage").isNull().alias("no_coverage"), is_time.alias("is_rfc3339"))
+
+
 @registered(o.WITH + ' select id as rec_id, "full" as address, round(lat, 3) as lat, round(lon, 3) as lon from rec')
 def ingest_csv(spark, sf_dir):
     """Writes the gazetteer as an address CSV and reads it back: texts keep their commas inside quotes."""

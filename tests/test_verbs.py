@@ -171,6 +171,7 @@ def test_batch_and_geocoder(spark, records):
     assert (none.total, none.avg_confidence) == (0, 0.0) and batch.fraction(0, 0) == 1.0
     assert {r.status for r in geo.batch_table(asked, 0).collect()} == {"nomatch"}
     lists = geo.batch([q for _, q in [(0, "Springfield"), (1, "zzqq flurb")]])
+    assert [r.asDict(recursive=True) for r in geo.hits("Springfield").collect()] == lists[0] and geo.hits("").count() == len(geo)
     assert lists[0] == geo.forward("Springfield") and lists[1] == [] and len(geo) == records.count()
     assert geo.reverse(-89.5, 39.5, 2)[0]["match_type"] == "exact" and len(geo.autocomplete("main", 2)) == 2
     body = batch.as_json(geo.batch_table(asked, 50)).filter("qid = 0").first().body
