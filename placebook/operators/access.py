@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from placebook.schema import RateLimit
 SECOND, DAY = 1_000_000, 86_400_000_000
 BUSY, SPENT = "Rate limit exceeded (per-second)", "Daily request limit exceeded"
 DECISION = "key_id string, request_id long, ts timestamp, allowed boolean, reason string, retry_after_ms long"
+STATE = "tokens double, last long, used long, reset long"
 
 
 def key_hash(c: Column | str) -> Column:
@@ -59,26 +60,54 @@ def micros(df: DataFrame, column: str = "ts") -> Column:
 
 
 def replay(requests: DataFrame, limit: RateLimit) -> DataFrame:
-    """Decide on every request (key_id, ts, request_id) of a log as if it came at its time.
+    """Decide on every request (key_id, ts, request_id) of a log as if it came at its time."""
+    return decisions(resumed(requests, limit))
 
-    Keys are dealt by hash and sorted by time; tasks stream over their rows and hold one key's state, so a key with
-    any number of requests takes no more memory than another.
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """The decided requests among the rows of resumed()."""
+    return rows.filter(F.col("kind") == "decision").select("key_id", "request_id", "ts", "allowed", "reason", "retry_after_ms")
+
+
+def resumed(requests: DataFrame, limit: RateLimit, before: DataFrame | None = None) -> DataFrame:
+    """Rows (kind, DECISION, STATE): a decision for each request, and a state for each key after all of its requests.
+
+    ``before`` has the states that keys had before. Keys are dealt by hash and sorted by time; tasks stream over their
+    rows and hold one key's state, so a key with any number of requests takes no more memory than another.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, limiter = None, None
-        for rows in batches:
+        ended = lambda: ("state", key, *[None] * 5, *limiter.state())
+        for part in batches:
             out = []
-            for k, now in zip(rows["key_id"], rows["us"]):
+            for k, is_new, request, ts, us, *kept in zip(*(c.to_pylist() for c in part.columns)):
                 if limiter is None or k != key:
-                    key, limiter = k, Limiter(limit)
-                out.append(limiter.check(int(now)))
-            told = pd.DataFrame(out, columns=["allowed", "reason", "retry_after_ms"], index=rows.index)
-            told["retry_after_ms"] = told["retry_after_ms"].astype("Int64")
-            yield pd.concat([rows[["key_id", "request_id", "ts"]], told], axis=1)
-
-    timed = requests.select("key_id", "request_id", F.col("ts").cast("timestamp").alias("ts"), micros(requests).alias("us"))
-    return timed.repartition("key_id").sortWithinPartitions("key_id", "ts", "request_id").mapInPandas(run, DECISION)
+                    if limiter is not None:
+                        out.append(ended())
+                    key, limiter = k, Limiter(limit, None if is_new else tuple(kept))
+                if is_new:
+                    out.append(("decision", k, request, ts, *limiter.check(us), *[None] * 4))
+            yield _rows(out)
+        if limiter is not None:
+            yield _rows([ended()])
+
+    # times travel as numbers, so that no time zone touches them
+    asked = requests.select("key_id", F.lit(True).alias("is_new"), "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), micros(requests).alias("us"))
+    if before is not None:
+        kept = before.select("key_id", F.lit(False).alias("is_new"), *(c.strip().split(" ")[0] for c in STATE.split(",")))
+        asked = asked.unionByName(kept, allowMissingColumns=True)
+    else:
+        asked = asked.selectExpr("*", *(f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in STATE.split(","))))
+    asked = asked.select("key_id", "is_new", "request_id", "at", "us", "tokens", "last", "used", "reset")
+    done = asked.repartition("key_id").sortWithinPartitions("key_id", "is_new", "us", "request_id").mapInArrow(run, f"kind string, {DECISION}, {STATE}".replace("ts timestamp", "ts long"))
+    return done.withColumn("ts", F.timestamp_micros("ts"))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+    names = ("kind", "key_id", "request_id", "ts", "allowed", "reason", "retry_after_ms", "tokens", "last", "used", "reset")
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=list(names))
 
 
 def request_counters(requests: DataFrame) -> DataFrame:

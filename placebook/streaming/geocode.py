@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from placebook.operators.access import DECISION, Limiter
+from placebook.operators.access import DECISION, STATE, decisions, resumed
 from placebook.operators.forward import forward, with_records
 from placebook.schema import RateLimit
 
@@ -24,20 +19,25 @@ def forward_stream(queries: DataFrame, records: DataFrame, index: DataFrame, pat
     return queries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limit_stream(requests: DataFrame, limit: RateLimit) -> DataFrame:
-    """Decide on a stream of requests (key_id, ts, request_id); bucket and counter of a key are kept between micro-batches."""
+def limit_stream(requests: DataFrame, limit: RateLimit, path: str, checkpoint: str) -> StreamingQuery:
+    """Decide on a stream of requests (key_id, ts, request_id), in order of time inside a micro-batch.
+
+    A micro-batch's decisions and the states of all keys after it are written together under its number, so that a
+    repeated batch starts from the states before it and replaces its own rows. decided() reads the decisions.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _written(spark, f"{path}/batch={number - 1}").filter("kind = 'state'") if number else None
+        resumed(batch, limit, before).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
+
+    return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{DECISION}, {STATE}, kind string").parquet(path)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limiter = Limiter(limit)
-        if state.exists:
-            tokens, last, used, reset = state.get
-            limiter = Limiter(limit, (tokens, last if last >= 0 else None, used, reset if reset >= 0 else None))
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        told = pd.DataFrame([limiter.check(int(x)) for x in rows["us"]], columns=["allowed", "reason", "retry_after_ms"], index=rows.index)
-        told["retry_after_ms"] = told["retry_after_ms"].astype("Int64")
-        tokens, last, used, reset = limiter.state()
-        state.update((tokens, last if last is not None else -1, used, reset if reset is not None else -1))
-        yield pd.concat([rows[["key_id", "request_id", "ts"]], told], axis=1)
 
-    timed = requests.select("key_id", "request_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("key_id").applyInPandasWithState(run, DECISION, "tokens double, last long, used long, reset long", "append", GroupStateTimeout.NoTimeout)
+def decided(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions (DECISION) that limit_stream() has written under ``path``."""
+    return decisions(_written(spark, path))

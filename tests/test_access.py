@@ -3,6 +3,7 @@ import datetime
 import hashlib
 import hmac
 import json
+import shutil
 import threading
 import time
 import urllib.error
@@ -13,7 +14,7 @@ from placebook.geocoder import Geocoder
 from placebook.operators import access
 from placebook.schema import TIERS, RateLimit
 from placebook.sources import rows
-from placebook.streaming.geocode import forward_stream, limit_stream
+from placebook.streaming.geocode import decided, forward_stream, limit_stream
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -46,10 +47,16 @@ def test_stream_agrees_with_replay(spark, tmp_path):
     for k in range(3):
         requests.filter(f"floor((request_id) / 20) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.05)
-    stream = limit_stream(spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), limit)
-    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(access.replay(requests, limit))
+    source = lambda: spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert told(decided(spark, str(tmp_path / "out"))) == told(access.replay(requests, limit))
+    assert spark.read.parquet(str(tmp_path / "out")).filter("kind = 'state'").groupBy("batch").count().collect()[0]["count"] == 3
+    # a second run has nothing new; a batch that is run again gives the same rows
+    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert decided(spark, str(tmp_path / "out")).count() == 60
+    shutil.rmtree(tmp_path / "cp" / "commits")
+    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert told(decided(spark, str(tmp_path / "out"))) == told(access.replay(requests, limit))
 
 
 def test_keys(spark):
