@@ -137,3 +137,30 @@ class Texts:
         for j in range(width):
             run = run * np.uint64(0x2545F4914F6CDD1D) + h[j : j + m]
         return whole, mix(run[whole])
+
+    @cached_property
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start, end): all words with one space after each, and where each word stands there."""
+        start, end, _ = self.spans
+        size = end - start
+        total = int(size.sum())
+        data = np.full(total + len(size), 0x20, np.uint8)
+        data[np.arange(total) + np.repeat(np.arange(len(size)), size)] = self.byte[self.solid]
+        first = np.cumsum(size + 1) - (size + 1)
+        return data, first, first + size
+
+
+def lowered(texts: Texts) -> Texts:
+    """The same texts with A-Z in lower case."""
+    upper = (texts.byte >= 0x41) & (texts.byte <= 0x5A)
+    texts.byte = texts.byte + (upper * np.uint8(0x20))
+    return texts
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow string array."""
+    size = end - start
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data[at]))
