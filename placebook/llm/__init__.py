@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placebook.llm import chat_format, html_text, metric_search, mixing, near_copies, packing, phrases, quality_classifier, quality_rules, sharding, simhash, toxicity
+from placebook.llm import alignment, chat_format, html_text, metric_search, mixing, near_copies, packing, phrases, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_html_text": html_text.op9_html_text,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_alignment": alignment.op11_alignment,
         "op12_phrases": phrases.op12_phrases,
         "op13_simhash": simhash.op13_simhash,
     }
