@@ -157,22 +157,26 @@ class _Counts:
         self.tables: list[pa.Table] = []
         self.rows = 0
 
-    def add(self, langs: pa.Array, phrases: pa.Array, words: int) -> None:
-        own = pa.table({"lang": langs, "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-        self.tables.append(pa.table({"lang": own["lang"], "phrase": own["phrase"], "words": pa.array(np.full(len(own), words, np.int32)), "n": own["count_all"].cast(pa.int64())}))
-        self.rows += len(own)
+    def add(self, langs: pa.Array, row: np.ndarray, phrases: pa.Array, words: int) -> None:
+        """Count the phrases of a batch; ``langs`` has each row's language, ``row`` each phrase's row."""
+        lang, coded = langs.dictionary_encode(), phrases.dictionary_encode()
+        n = len(coded.dictionary)
+        at = lang.indices.to_numpy()[row].astype(np.int64) * n + coded.indices.to_numpy()
+        key, count = np.unique(at, return_counts=True)
+        columns = (lang.dictionary.take(pa.array(key // n)), coded.dictionary.take(pa.array(key % n)).cast(pa.string()), pa.array(np.full(len(key), words, np.int32)), pa.array(count))
+        self.tables.append(pa.table(columns, ["lang", "phrase", "words", "n"]))
+        self.rows += len(key)
 
     def full(self) -> bool:
-        if self.rows < HELD // 8:
+        if self.rows < HELD // 4:
             return False
         self.tables = [self.summed()]
         self.rows = len(self.tables[0])
-        return self.rows >= HELD // 16
+        return self.rows >= HELD // 8
 
     def summed(self) -> pa.Table:
-        held = pa.concat_tables(self.tables).combine_chunks()
-        out = held.group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "words", "n"])
-        return out.set_column(1, "phrase", out["phrase"].cast(pa.string()))
+        held = pa.concat_tables(self.tables)
+        return held.group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "words", "n"])
 
     def taken(self) -> list[pa.RecordBatch]:
         out = self.summed().to_batches(max_chunksize=1 << 16) if self.tables else []
@@ -196,8 +200,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             texts = lowered(Pieces(part.column(1)))
             start, end, text = texts.spans
             if len(start):
-                ends = np.cumsum(end - start)
-                held.add(part.column(0).take(pa.array(text)), strings(texts.byte[texts.solid], ends - (end - start), ends), 1)
+                offsets = np.r_[0, np.cumsum(end - start)]
+                words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(texts.byte[texts.solid]))
+                held.add(part.column(0), text, words, 1)
             if held.full():
                 yield from held.taken()
         yield from held.taken()
@@ -217,7 +222,7 @@ def phrase_counts(docs: DataFrame, known: Broadcast, longest: int, least: int) -
                 for m, (at, h) in texts.phrases(range(2, longest + 1), _lang_hash(part.column(0)), known_).items():
                     at = at[known_.has(h)] if m > 2 else at
                     if len(at):
-                        held.add(part.column(0).take(pa.array(texts.spans[2][at])), strings(data, first[at], last[at + m - 1]), m)
+                        held.add(part.column(0), texts.spans[2][at], strings(data, first[at], last[at + m - 1]), m)
             if held.full():
                 yield from held.taken()
         yield from held.taken()

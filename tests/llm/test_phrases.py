@@ -120,3 +120,18 @@ def test_counts_beyond_64_bits(spark):
 def test_empty_table(spark):
     got = phrases.collocations(spark.createDataFrame([], "lang string, text string"))
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and got.count() == 0
+
+
+def test_counts_that_are_summed_up_and_passed_on(spark, monkeypatch):
+    """Tasks that meet more than they hold sum up what they have, and pass it on in parts."""
+    docs = fixture()
+    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    monkeypatch.setattr(phrases, "HELD", 64)
+    counts = phrases._Counts()
+    import pyarrow as pa
+
+    for _ in range(40):
+        counts.add(pa.array(["en", "de"]), np.array([0, 1, 1]), pa.array(["a", "b", "a"], pa.large_string()), 1)
+        counts.full()
+    assert sorted(map(tuple, (r.values() for b in counts.taken() for r in b.to_pylist())), key=str) == [("de", "a", 1, 40), ("de", "b", 1, 40), ("en", "a", 1, 40)]
+    assert sorted(tuple(r) for r in phrases.collocations(df, least=5).collect()) == brute(docs, least=5)
