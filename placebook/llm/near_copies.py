@@ -350,11 +350,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, shallowest: int = SHALLOWEST, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, jid, h, class_id, n_links) of every row.
+def grouped(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, shallowest: int = SHALLOWEST, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, jid, h, root, class_id, n_links) of every row.
 
-    class_id is the least id of the documents that links connect, n_links the number of other documents within
-    the threshold.
+    ``root`` names the group that links connect, by sets of shingles and not by ids, and is null without shingles.
+    class_id is the least id in the group, n_links the number of other documents within the threshold.
     """
     depth = prefix_depth(threshold, trees, deepest, recall)
     shallowest = min(shallowest, depth)
@@ -372,21 +372,28 @@ def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     )
     found = written(found, "members")
     ids = found.groupBy("root").agg(F.min("jid").alias("class_id"))
-    told = found.join(ids, "root").select("cls", "class_id", "n_links")
+    told = found.join(ids, "root").select("cls", "root", "class_id", "n_links")
     return (
         rows.select("doc_id", "jid", "h", "cls")
         .join(told, "cls", "left")
-        .select("doc_id", "jid", "h", F.coalesce("class_id", "jid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        .select("doc_id", "jid", "h", F.coalesce("root", "cls").alias("root"), F.coalesce("class_id", "jid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
 
 
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, jid, h, class_id, n_links) of every row, as grouped() has them."""
+    return grouped(docs, **options).drop("root")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near copies, with its columns: the one of the least id."""
-    found = near_copies(docs, **options)
-    first = found.groupBy("class_id").agg(F.min(F.struct("jid", "h")).alias("k")).select("k.jid", "k.h")
-    keyed = docs.withColumns(dict(zip(("_jid", "_h"), _row_key(docs))))
+    """One document of each group of near copies, with its columns: the one of the least id. Rows without words are groups of their own and stay, each of them."""
+    found = grouped(docs, **options).filter("root is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("jid", "h")).alias("k")).select("k.jid", "k.h")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumns(dict(zip(("_jid", "_h"), _row_key(docs))))
     once = keyed.groupBy("_jid", "_h").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return once.join(first.hint("merge"), (F.col("_jid") == first.jid) & (F.col("_h") == first.h), "left_semi").select("row.*")
+    kept = once.join(first.hint("merge"), (F.col("_jid") == first.jid) & (F.col("_h") == first.h), "left_semi").select("row.*")
+    return kept.unionByName(docs.filter(~worded))
 
 
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CA
     """(NAMES..., draw, ids) of every piece of every document's ids with the end mark 0; to be written, as keys are numbered by task.
 
     ``ids`` are little-endian unsigned 32-bit numbers; ``draw`` is a number below 2**20 that deals pieces of one length
-    over tasks; doc_id and text_hash (xxhash64) find the row that a piece comes from.
+    over tasks, those of repeated rows too; doc_id and text_hash (xxhash64) find the row that a piece comes from.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     names = [*NAMES, "draw", "ids"]
@@ -87,7 +87,7 @@ def tokenised(docs: DataFrame, ranks_path: str | None = None, capacity: int = CA
                 for k, (start, length) in enumerate(_pieces_of(ids, capacity)):
                     own = ids[start : start + length]
                     crc = zlib.crc32(own)
-                    draw = (crc + (key or 0) * 2654435761 + k * 40503) & 0xFFFFF
+                    draw = (number * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44  # its own for each piece, repeated rows included
                     for column, value in zip(out, (number, key, h, k, start, length, crc, draw, own.tobytes())):
                         column.append(value)
                     number += 1

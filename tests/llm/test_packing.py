@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from placebook.llm.packing import CAPACITY, op10_best_fit_packing, pack, packed, plan, ranked, sequences
+from placebook.llm.packing import CAPACITY, op10_best_fit_packing, pack, packed, plan, ranked, sequences, tokenised
 
 
 def check_whole(rows, docs, capacity):
@@ -55,6 +56,14 @@ def test_sequences_hold_the_ids_of_their_pieces(spark):
     assert sum(len(r.pieces) for r in whole.values()) == len(rows)
 
 
+def test_repeated_rows_are_dealt_over_parts(spark):
+    """Copies of a row, and equal texts without an id, get draws of their own."""
+    frame = spark.createDataFrame([(1, "the same text")] * 1000 + [(None, "another text that repeats")] * 1000, "doc_id long, text string").repartition(8)
+    rows = tokenised(frame).groupBy("length").agg(F.countDistinct("draw").alias("draws"), F.min("draw").alias("low"), F.max("draw").alias("high"), F.countDistinct(F.expr("draw div 65536")).alias("sixteenths")).collect()
+    assert len(rows) == 2
+    assert all(r.draws > 950 and r.low >= 0 and r.high < 1 << 20 and r.sixteenths == 16 for r in rows)
+
+
 def test_ranks_of_one_length_in_many_parts(spark):
     pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 5 = 0, 7L, 2048L) as length", "id as piece_key", "cast(pmod(xxhash64(id), 1048576) as int) as draw")
     rows = ranked(pieces, {7: 1000, 2048: 4000}, each=300).groupBy("length").agg({"rank": "max", "*": "count"}).collect()
