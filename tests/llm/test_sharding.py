@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from placebook.llm import sharding
 from placebook.llm.sharding import ConflictError, ShardStore, op1_sharding, sharded
 
 
@@ -68,6 +69,70 @@ def test_vacuum_spares_a_writer_that_has_yet_to_commit(spark, docs, tmp_path):
     assert store.read().count() == 28
 
 
+def test_no_arrival_is_lost(spark, tmp_path):
+    """Null arrival numbers, and numbers that nobody expected, are arrivals like others."""
+    rows = spark.range(100).selectExpr("id as doc_id", "if(id < 20, null, if(id < 50, 7L, if(id < 55, -3L, id % 3))) as a")
+    store = ShardStore(spark, str(tmp_path / "s"), rows.schema)
+    store.append_all(rows, F.col("a"), 3, compact=False)
+    assert same(store.read(), rows) and len(store.versions()) == 6
+    assert {r.arrival for r in store.manifest().collect()} == {0, 1, 2, 7, -3, None}
+    store.compact()
+    late = ShardStore(spark, str(tmp_path / "s"), rows.schema, grace_seconds=-5)
+    late.vacuum()
+    assert same(late.read(), rows)
+
+
+def test_versions_are_read_from_bases_and_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BASE_EVERY", 3)
+    rows = spark.range(8).toDF("doc_id")
+    store = ShardStore(spark, str(tmp_path / "s"), rows.schema, fanout=4)
+    for k in range(8):
+        store.append(rows.filter(F.col("doc_id") == k).coalesce(1), k)
+    assert store._bases() == [3, 6]
+    for v in range(1, 9):
+        assert store.read(v).count() == v
+    # a manifest has what its version changes, not all that is live
+    assert spark.read.parquet(str(tmp_path / "s/manifests/v00000008.parquet")).count() == 1
+    store.compact()
+    assert store.read().count() == 8 and store.manifest().count() < 8 and store.read(8).count() == 8
+    store.vacuum()
+    assert [store.read(v).count() for v in store.versions()] == [8, 8] and min(store._bases()) == store.versions()[0]
+
+
+def test_writers_that_meet_all_finish(spark, tmp_path):
+    """Appends and a long merge commit over each other's versions; of two merges of the same shards one is given up."""
+    rows = spark.range(6).toDF("doc_id")
+    store = ShardStore(spark, str(tmp_path / "s"), rows.schema, fanout=4)
+    for k in range(4):
+        store.append(rows.filter(F.col("doc_id") == k).coalesce(1), k)
+    other = ShardStore(spark, str(tmp_path / "s"), rows.schema, fanout=100)
+    write = store._write
+
+    def slow(packed):
+        made = write(packed)
+        other.append(rows.filter("doc_id = 4").coalesce(1), 4)  # meanwhile
+        return made
+
+    store._write = slow
+    assert store.compact() == 6 and same(store.read(), rows.filter("doc_id < 5"))
+    store._write = write
+    gone = [tuple(r) for r in store.manifest().collect()]
+    made = store._listed(store._write(store._packed(gone)), 9)
+    store._added(made, gone)
+    with pytest.raises(ConflictError):
+        other._added(made, gone)
+    commit = other._commit
+
+    def beaten(changes, version):
+        other._commit = commit
+        store.append(rows.filter("doc_id = 5").coalesce(1), 5)
+        return commit(changes, version)
+
+    other._commit = beaten
+    other.append(rows.limit(0), 6)
+    assert same(store.read(), rows)
+
+
 def test_crash_between_writing_and_committing(spark, docs, tmp_path):
     store = ShardStore(spark, str(tmp_path / "s"), docs.schema)
     store.append(docs.limit(5))
