@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placebook.operators.space_tree import SpaceTree, nearest_of
 from placebook.sources.staging import staged
 
+LEAF_SIZE = 64  # records of a leaf, about, where that needs no more leaves than LEAVES
+LEAVES, SAMPLE = 1 << 16, 200_000
+POINTS = 20_000  # points that meet one leaf's records in one task
+
 
 def squared_distance(lon: Column, lat: Column, x: Column, y: Column) -> Column:
     return (lon - x) * (lon - x) + (lat - y) * (lat - y)
@@ -22,54 +29,102 @@ def confidence(d2: Column) -> Column:
 def nearest(records: DataFrame, lon: float, lat: float, k: int) -> DataFrame:
     """(rank, rec_id, d2, confidence) of the k records nearest to one point, ties to the smaller id; a top-k without a full sort."""
     d2 = squared_distance(F.col("lon"), F.col("lat"), F.lit(float(lon)), F.lit(float(lat)))
-    top = records.select("rec_id", d2.alias("d2")).filter("d2 is not null and not isnan(d2)").orderBy("d2", "rec_id").limit(max(k, 0))
+    top = records.select("rec_id", d2.alias("d2")).filter(_finite("d2")).orderBy("d2", "rec_id").limit(max(k, 0))
     return top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "rec_id"))).select("rank", "rec_id", "d2", confidence(F.col("d2")).alias("confidence"))
 
 
-def nearest_join(records: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """(qid, rank, rec_id, d2, confidence) of the k records nearest to each of many points (qid, lon, lat).
+def _finite(*names: str) -> Column:
+    """Coordinates that a distance can be told from: neither null nor NaN nor infinite."""
+    return F.expr(" and ".join(f"{n} is not null and not isnan({n}) and abs({n}) < double('infinity')" for n in names))
 
-    Points and records meet in the cells of a grid: a point looks at its own cell and the eight around it.  It is done
-    when its k-th distance is below the cell's size, since all nearer records then lie in those cells; the others go on
-    with cells four times as wide, until the nine cells around any point cover all records.  Of records at one place
-    only the first k by id can be among the nearest, so no more are kept.
-    """
+
+def _sites(records: DataFrame, k: int) -> DataFrame:
+    """Records with finite places; of those at one place the first k by id, as no others can be among the nearest."""
     place = Window.partitionBy("lon", "lat").orderBy("rec_id")
-    sites = records.select("rec_id", "lon", "lat").filter("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
-    sites = staged(sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= max(k, 0)).drop("_p"), "sites")
-    left = points.select("qid", F.col("lon").alias("x"), F.col("lat").alias("y")).filter("x is not null and y is not null")
-    box = sites.agg(F.count("*").alias("n"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    sites = records.select("rec_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter(_finite("lon", "lat"))
+    return staged(sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= k).drop("_p"), "sites")
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _tree(sites: DataFrame, leaf_size: int) -> tuple[DataFrame, SpaceTree]:
+    """(rec_id, lon, lat, leaf) and the tree of its leaves: cut on at most about SAMPLE places, and at most LEAVES leaves, whatever the records."""
+    n = sites.count()
+    depth = min(LEAVES.bit_length() - 1, max(0, math.ceil(math.log2(max(n, 1) / leaf_size))))
+    drawn = sites.filter(F.pmod(F.xxhash64("rec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).select("lon", "lat").toArrow()
+    tree = SpaceTree.cut_on(drawn["lon"].to_numpy(), drawn["lat"].to_numpy(), depth)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("leaf", pa.array(tree.leaf_of(_column(batch, "lon"), _column(batch, "lat"))))
+
+    dealt = staged(sites.mapInArrow(run, "rec_id long, lon double, lat double, leaf long"), "leaves")
+    box = dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).toArrow()  # LEAVES rows at most
+    return dealt, tree.filled(*(box.column(c).to_numpy() for c in (0, 1)), np.stack([box.column(c).to_numpy() for c in range(2, 6)]))
+
+
+def near_leaves(points: DataFrame, tree: SpaceTree, k: int) -> DataFrame:
+    """(qid, x, y, leaf): the leaves that each point's k nearest may lie in."""
+    known = points.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for batch in batches:
+            point, leaf = known.value.near(_column(batch, "x"), _column(batch, "y"), k)
+            for a in range(0, len(point), 1 << 16):
+                rows = batch.take(pa.array(point[a : a + (1 << 16)]))
+                yield rows.append_column("leaf", pa.array(leaf[a : a + (1 << 16)]))
+
+    return points.mapInArrow(run, "qid long, x double, y double, leaf long")
+
+
+def nearest_join(records: DataFrame, points: DataFrame, k: int, leaf_size: int = LEAF_SIZE) -> DataFrame:
+    """(qid, rank, rec_id, d2, confidence) of the k records nearest to each of many points (qid, lon, lat), ties to the smaller id.
+
+    A k-d tree with a bounded number of leaves is cut on a sample of the records, so that a dense town has many small
+    leaves and empty land few. Each point is sent to the leaves that its nearest records may lie in, as told by what the
+    leaves hold and their boxes, whether it lies in the town or far from everything. There it meets the leaf's records
+    only; a leaf that many points are sent to is dealt over several tasks. Records and points without finite
+    coordinates (null, NaN or infinite) take no part.
+    """
+    spark = records.sparkSession
     schema = "qid long, rank int, rec_id long, d2 double, confidence double"
-    if k <= 0 or not box["n"]:
-        return records.sparkSession.createDataFrame([], schema)
-    x0, x1, y0, y1 = box[1], box[2], box[3], box[4]
-    far = points.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
-    reach = (abs(a - b) for a, b in zip(far, (x1, x0, y1, y0)) if a is not None)
-    span = max(x1 - x0, y1 - y0, *reach, 1e-9)
-    g = cell or max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * k / box["n"]), span / 1e6)
-    done: list[DataFrame] = []
-    while True:
-        last = g > span
-        at = lambda c: F.floor(F.col(c) / g)
-        cells = sites.withColumns({"cx": at("lon"), "cy": at("lat")})
-        around = F.sequence(F.lit(-1), F.lit(1))
-        asked = left.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumns({"cx": at("x") + F.col("_i"), "cy": at("y") + F.col("_j")})
-        near = asked.join(cells, ["cx", "cy"]).select("qid", "x", "y", "rec_id", squared_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("d2"))
-        order = Window.partitionBy("qid").orderBy("d2", "rec_id")
-        top = staged(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "rec_id", "d2"), "near")
-        if last:
-            done.append(top.select("qid", "rank", "rec_id", "d2"))
-            break
-        sure = top.filter((F.col("rank") == k) & (F.col("d2") < (g * (1 - 1e-9)) ** 2)).select("qid")
-        done.append(top.join(sure, "qid", "left_semi").select("qid", "rank", "rec_id", "d2"))
-        left = staged(left.join(sure, "qid", "left_anti"), "points")  # else each round would repeat those before
-        if left.isEmpty():
-            break
-        g *= 4
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("confidence", confidence(F.col("d2")))
+    sites = _sites(records, max(k, 0))
+    if k <= 0 or sites.isEmpty():
+        return spark.createDataFrame([], schema)
+    dealt, tree = _tree(sites, leaf_size)
+    asked = points.select(F.col("qid").cast("long").alias("qid"), F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y")).filter(_finite("x", "y"))
+    sent = staged(near_leaves(asked, tree, k), "sent")
+    salts = sent.groupBy("leaf").agg(F.ceil(F.count("*") / POINTS).cast("int").alias("salts"))  # LEAVES rows at most
+    held = dealt.join(F.broadcast(salts), "leaf").select("leaf", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), F.col("rec_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    there = sent.join(F.broadcast(salts), "leaf").select("leaf", F.pmod(F.xxhash64("qid", "x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("qid").alias("id"), "x", "y")
+
+    def run(batches):
+        own, places, ids = None, [], None  # of the leaf (and salt) that is read: its records come first
+        for batch in batches:
+            leaf, salt, kind, key, x, y = (_column(batch, c) for c in ("leaf", "salt", "kind", "id", "x", "y"))
+            cuts = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])])
+            out = []
+            for a, b in zip(cuts, np.r_[cuts[1:], len(leaf)]):
+                if (leaf[a], salt[a]) != own:
+                    own, places, ids = (leaf[a], salt[a]), [], None
+                if kind[a] == 0:
+                    places.append((x[a:b], y[a:b], key[a:b]))
+                    ids = None
+                    continue
+                if ids is None:
+                    lon, lat, ids = (np.concatenate(c) for c in zip(*places))
+                row, rec_id, d2 = nearest_of(lon, lat, ids, x[a:b], y[a:b], k)
+                out.append((key[a:b][row], rec_id, d2))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["qid", "rec_id", "d2"])
+
+    met = held.unionByName(there).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind", "id")
+    near = met.mapInArrow(run, "qid long, rec_id long, d2 double")
+    order = Window.partitionBy("qid").orderBy("d2", "rec_id")
+    top = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("qid", "rank", "rec_id", "d2", confidence(F.col("d2")).alias("confidence"))
 
 
 def within_box(records: DataFrame, lon1: float, lat1: float, lon2: float, lat2: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,42 @@ def test_nearest_from_zero(spark):
         assert [r.rec_id for r in got] == [i for _, i in sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in sites)][:5]
 
 
+def test_places_that_no_distance_is_told_from(spark):
+    """Points and records that are null, NaN or infinite take no part, and hide nothing."""
+    nan, inf = float("nan"), float("inf")
+    sites = [(i, i / 10, 5.0) for i in range(50)] + [(90, nan, 5.0), (91, inf, 5.0), (92, 1.0, -inf), (93, None, 1.0), (94, nan, nan)]
+    records = spark.createDataFrame(sites, "rec_id long, lon double, lat double")
+    asked = [(0, nan, 10.0), (1, nan, nan), (2, 500.0, 80.0), (3, inf, 1.0), (4, 1.0, None), (5, 2.04, 5.0), (6, -1e300, 1e300)]
+    got = {}
+    for r in spatial.nearest_join(records, spark.createDataFrame(asked, "qid long, lon double, lat double"), 3).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.rec_id)
+    assert got == {2: [49, 48, 47], 5: [20, 21, 19], 6: [0, 1, 2]}
+    assert [r.rec_id for r in spatial.nearest(records, 2.04, 5.0, 3).orderBy("rank").collect()] == [20, 21, 19]
+    assert spatial.nearest_join(records.filter("rec_id >= 90"), spark.createDataFrame(asked, "qid long, lon double, lat double"), 3).count() == 0
+
+
+def test_far_points_meet_few_records_of_a_town(spark):
+    """A dense town, lonely farms and far points: each point is sent to few leaves, and all answers are exact."""
+    rng = np.random.default_rng(3)
+    town = np.c_[rng.normal(0, 0.01, 20_000), rng.normal(0, 0.01, 20_000)]
+    farms = rng.uniform(-50, 50, (300, 2))
+    place = np.r_[town, farms, np.repeat([[3.0, 3.0]], 500, axis=0)]
+    far = np.r_[rng.uniform(-180, 180, (1000, 2)), rng.normal(0, 0.01, (200, 2)), [[3.0, 3.0]]]
+    records = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(place)], "rec_id long, lon double, lat double")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(far)], "qid long, lon double, lat double")
+    got = {}
+    for r in spatial.nearest_join(records, points, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.rec_id)
+    for q, (x, y) in enumerate(far):
+        d2 = (place[:, 0] - x) * (place[:, 0] - x) + (place[:, 1] - y) * (place[:, 1] - y)
+        assert got[q] == np.lexsort((np.arange(len(d2)), d2))[:5].tolist()
+    dealt, tree = spatial._tree(spatial._sites(records, 5), 64)
+    sent = spatial.near_leaves(points.selectExpr("qid", "lon as x", "lat as y"), tree, 5)
+    pairs = sent.join(dealt, "leaf").count()
+    assert pairs < 600 * len(far)  # of 20800 records for each point
+    assert sent.groupBy("qid").count().agg({"count": "max"}).first()[0] < 64
+
+
 def test_all_orders_and_events_are_queries(spark, sf):
     orders, events = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("orders", "events"))
     asked = orders.join(derived.gazetteer(spark, sf), orders.o_custkey == F.col("id")).selectExpr("o_orderkey as qid")
