@@ -36,6 +36,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -48,18 +50,18 @@ from pyspark.sql import functions as F
 from placebook.llm._store import table, written
 from placebook.llm._words import slices
 
-KNOWN = 150_000  # words, and windows, that a task remembers; then it starts anew
+KNOWN = 100_000  # words, and windows, of one generation that a task remembers
 SLICE = 1 << 21  # pairs of ids that are handed to tasks at once
 _GAPS = re.compile("  |^ | $")
 
 
 class Side:
-    """One tokenizer: ids of a text that a space is put before, and each id's bytes."""
+    """One tokenizer: ids of texts that a space is put before, and each id's bytes."""
 
-    def __init__(self, encode, token: list[bytes], by_words: bool):
-        self.encode, self.token, self.by_words = encode, token, by_words
-        self.size = np.array([len(x) for x in token], np.int64)
-        self.spaced = np.array([x[:1] == b" " for x in token])
+    def __init__(self, encode_all, token: list[bytes], by_words: bool):
+        self.encode_all, self.token, self.by_words = encode_all, token, by_words
+        self.size = [len(x) for x in token]
+        self.spaced = [x[:1] == b" " for x in token]
 
 
 @lru_cache(maxsize=2)
@@ -73,111 +75,127 @@ def sides(ranks_path: str, model_path: str) -> tuple[Side, Side]:
     token = [b""] * (max(ranks.values()) + 1)
     for value, k in ranks.items():
         token[k] = value
-    a = Side(lambda text: byte_bpe.encode_ordinary(" " + text), token, True)
+    a = Side(lambda texts: [byte_bpe.encode_ordinary(" " + text) for text in texts], token, True)
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     token = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-    b = Side(lambda text: model.encode(text), token, not any("▁" in p.lstrip("▁") for p in pieces))
+    b = Side(lambda texts: model.encode(texts, num_threads=1), token, not any("▁" in p.lstrip("▁") for p in pieces))
     return a, b
 
 
+#: What a window is made of: A tokens, B tokens, groups, the groups as text, and the links (A id * 65536 + B id) as 32-bit numbers.
+Window = tuple[int, int, int, str, bytes]
+
+
+class Memory:
+    """A dictionary of two generations: what has not been asked for during a generation of ``most`` entries goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Aligner:
     """Tokens, groups and links of texts, with memory of words and of windows."""
 
     def __init__(self, a: Side, b: Side, known: int = KNOWN):
-        self.a, self.b, self.known = a, b, known
+        self.a, self.b = a, b
         self.by_words = a.by_words and b.by_words
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
-        self.windows: dict[tuple[bytes, bytes], int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.windows.clear()
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.pairs: list[np.ndarray] = []
-
-    def whole(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of both sides as 16-bit numbers, None if either side does not give the bytes back."""
-        raw = b" " + text.encode()
-        a, b = self.a.encode(text), self.b.encode(text)
-        if b"".join([self.a.token[k] for k in a]) != raw or b"".join([self.b.token[k] for k in b]) != raw:
-            return None
-        return np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
-
-    def ids(self, text: str) -> tuple[bytes, bytes] | None:
-        if not self.by_words or _GAPS.search(text):
-            return self.whole(text)
-        words, out = self.words, []
-        for word in text.split(" "):
-            try:
-                out.append(words[word])
-            except KeyError:
-                if len(words) >= self.known:
-                    words.clear()
-                words[word] = found = self.whole(word)
-                out.append(found)
-        if None in out:
-            return None
-        return b"".join([x[0] for x in out]), b"".join([x[1] for x in out])
-
-    def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """A window's groups as text, their number, and its links (A id above 16 bits, B id below)."""
-        end_a, end_b = np.cumsum(self.a.size[a]).tolist(), np.cumsum(self.b.size[b]).tolist()
-        a, b = a.tolist(), b.tolist()
-        groups, links = [], []
+        self.words, self.windows = Memory(known), Memory(known)
+
+    def tokens(self, texts: list[str]) -> list[tuple[tuple, tuple] | None]:
+        """Ids of both sides for each text, None where either side does not give the bytes back."""
+        out = []
+        byte_a, byte_b = self.a.token, self.b.token
+        for text, a, b in zip(texts, self.a.encode_all(texts), self.b.encode_all(texts)):
+            raw = b" " + text.encode()
+            same = b"".join([byte_a[k] for k in a]) == raw == b"".join([byte_b[k] for k in b])
+            out.append((tuple(a), tuple(b)) if same else None)
+        return out
+
+    def window(self, a: tuple, b: tuple) -> Window:
+        """The window of the ids of both sides, which hold the same bytes: remembered, or aligned by one walk over both."""
+        found = self.windows.get((a, b))
+        if found is not None:
+            return found
+        size_a, size_b = self.a.size, self.b.size
+        groups, links, last = [], [], len(a) - 1
         i = j = first_a = first_b = 0
-        while i < len(a):
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:
             links.append(a[i] << 16 | b[j])
-            if end_a[i] == end_b[j]:
+            if end_a == end_b:
                 groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-            elif end_a[i] < end_b[j]:
+                if i == last:
+                    break
+                i = first_a = i + 1
+                j = first_b = j + 1
+                end_a += size_a[a[i]]
+                end_b += size_b[b[j]]
+            elif end_a < end_b:
                 i += 1
+                end_a += size_a[a[i]]
             else:
                 j += 1
-        return ";".join(groups), len(groups), np.array(links, np.int64)
-
-    def _anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of tokens of each side before every anchor, and before the end."""
-        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
-        at = np.zeros(end_a[-1] + 1, bool)  # anchors by byte
-        at[end_a[:-1][self.a.spaced[a[1:]]]] = True
-        starts_b = np.zeros(len(at), bool)
-        starts_b[end_b[:-1][self.b.spaced[b[1:]]]] = True
-        at &= starts_b
-        at[-1] = True
-        return np.flatnonzero(at[end_a]) + 1, np.flatnonzero(at[end_b]) + 1
+                end_b += size_b[b[j]]
+        found = len(a), len(b), len(groups), ";".join(groups), array("I", links).tobytes()
+        self.windows.put((a, b), found)
+        return found
+
+    def windows_of(self, a: tuple, b: tuple) -> list[Window]:
+        """The windows between anchors of a text's ids."""
+        spaced_a, spaced_b, size_a, size_b = self.a.spaced, self.b.spaced, self.a.size, self.b.size
+        starts, at = {}, 0  # of A tokens that begin with a space, by byte
+        for i, k in enumerate(a):
+            if spaced_a[k]:
+                starts[at] = i
+            at += size_a[k]
+        out, at, a0, b0 = [], 0, 0, 0
+        for j, k in enumerate(b):
+            if j and spaced_b[k] and (i := starts.get(at, 0)):
+                out.append(self.window(a[a0:i], b[b0:j]))
+                a0, b0 = i, j
+            at += size_b[k]
+        return [*out, self.window(a[a0:], b[b0:])]
 
     def document(self, text: str | None) -> tuple | None:
         """(n_a, n_b, n_groups, sha256 of the groups, distinct pairs, times of each), None without tokens."""
-        found = self.ids(text) if text else None
-        if found is None:
+        if not text:
             return None
-        raw_a, raw_b = found
-        a, b = np.frombuffer(raw_a, "<u2"), np.frombuffer(raw_b, "<u2")
-        cuts_a, cuts_b = self._anchors(a, b)
-        if len(self.windows) >= self.known:
-            self.forget()
-        windows, own, a0, b0 = self.windows, [], 0, 0
-        for a1, b1 in zip((2 * cuts_a).tolist(), (2 * cuts_b).tolist()):
-            key = raw_a[a0:a1], raw_b[b0:b1]
-            k = windows.get(key)
-            if k is None:
-                groups, n, links = self.aligned(np.frombuffer(key[0], "<u2"), np.frombuffer(key[1], "<u2"))
-                k = windows[key] = len(self.groups)
-                self.groups.append(groups)
-                self.n_groups.append(n)
-                self.pairs.append(links)
-            own.append(k)
-            a0, b0 = a1, b1
-        sha = hashlib.sha256(";".join([self.groups[k] for k in own]).encode()).hexdigest()
-        each, times = np.unique(np.array(own), return_counts=True)
-        links = [self.pairs[k] for k in each.tolist()]
-        pair, back = np.unique(np.concatenate(links), return_inverse=True)
-        n = np.bincount(back, np.repeat(times, [len(x) for x in links])).astype(np.int64)
-        return len(a), len(b), int(np.array([self.n_groups[k] for k in each.tolist()]) @ times), sha, pair, n
+        if self.by_words and not _GAPS.search(text):
+            order = text.split(" ")  # each a window of its own, as the space before it starts tokens of both sides
+            times = Counter(order)
+            known, get = {}, self.words.get
+            unknown = [w for w in times if (found := get(w)) is None or known.setdefault(w, found) is None]
+            for word, ids in zip(unknown, self.tokens(unknown) if unknown else []):
+                known[word] = found = [self.window(*ids)] if ids else []
+                self.words.put(word, found)
+            if not all(known.values()):
+                return None
+            each = [(known[w][0], n) for w, n in times.items()]
+            groups = {w: k[0][3] for w, k in known.items()}
+            said = ";".join([groups[w] for w in order])
+        else:
+            ids = self.tokens([text])[0]
+            if ids is None:
+                return None
+            each = [(w, 1) for w in self.windows_of(*ids)]
+            said = ";".join([w[3] for w, _ in each])
+        n_a, n_b, n_groups = (sum(w[k] * n for w, n in each) for k in range(3))
+        links = [w[4] for w, _ in each]
+        pair, back = np.unique(np.frombuffer(b"".join(links), np.uint32), return_inverse=True)
+        n = np.bincount(back, np.repeat([n for _, n in each], [len(x) // 4 for x in links])).astype(np.int64)
+        return n_a, n_b, n_groups, hashlib.sha256(said.encode()).hexdigest(), pair.astype(np.int64), n
 
 
 def aligned(docs: DataFrame, ranks_path: str | None = None, model_path: str | None = None) -> DataFrame:
