@@ -34,11 +34,13 @@ passed through.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from array import array
 from collections import Counter
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import public_tokenizers
@@ -60,7 +62,7 @@ class Side:
 
     def __init__(self, encode_all, token: list[bytes], by_words: bool):
         self.encode_all, self.token, self.by_words = encode_all, token, by_words
-        self.size = [len(x) for x in token]
+        self.size, self.name = [len(x) for x in token], [str(k) for k in range(len(token))]
         self.spaced = [x[:1] == b" " for x in token]
 
 
@@ -126,31 +128,41 @@ class Aligner:
     def window(self, a: tuple, b: tuple) -> Window:
         """The window of the ids of both sides, which hold the same bytes: remembered, or aligned by one walk over both."""
         found = self.windows.get((a, b))
-        if found is not None:
-            return found
-        size_a, size_b = self.a.size, self.b.size
-        groups, links, last = [], [], len(a) - 1
-        i = j = first_a = first_b = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        if found is None:
+            found = self._walk(a, b)
+            self.windows.put((a, b), found)
+        return found
+
+    def _walk(self, a: tuple, b: tuple) -> Window:
+        size_a, size_b, name_a, name_b = self.a.size, self.b.size, self.a.name, self.b.name
+        groups, n_groups, i, j, last = "", 1, 0, 0, len(a) - 1
+        x, y = a[0], b[0]
+        end_a, end_b, own_a, own_b = size_a[x], size_b[y], name_a[x], name_b[y]
+        links = [x << 16 | y]
         while True:
-            links.append(a[i] << 16 | b[j])
             if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
                 if i == last:
                     break
-                i = first_a = i + 1
-                j = first_b = j + 1
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
+                groups += f"{own_a}|{own_b};"
+                n_groups += 1
+                i += 1
+                j += 1
+                x, y = a[i], b[j]
+                end_a += size_a[x]
+                end_b += size_b[y]
+                own_a, own_b = name_a[x], name_b[y]
             elif end_a < end_b:
                 i += 1
-                end_a += size_a[a[i]]
+                x = a[i]
+                end_a += size_a[x]
+                own_a += "," + name_a[x]
             else:
                 j += 1
-                end_b += size_b[b[j]]
-        found = len(a), len(b), len(groups), ";".join(groups), array("I", links).tobytes()
-        self.windows.put((a, b), found)
-        return found
+                y = b[j]
+                end_b += size_b[y]
+                own_b += "," + name_b[y]
+            links.append(x << 16 | y)
+        return len(a), len(b), n_groups, f"{groups}{own_a}|{own_b}", array("I", links).tobytes()
 
     def windows_of(self, a: tuple, b: tuple) -> list[Window]:
         """The windows between anchors of a text's ids."""
@@ -175,27 +187,39 @@ class Aligner:
         if self.by_words and not _GAPS.search(text):
             order = text.split(" ")  # each a window of its own, as the space before it starts tokens of both sides
             times = Counter(order)
-            known, get = {}, self.words.get
-            unknown = [w for w in times if (found := get(w)) is None or known.setdefault(w, found) is None]
-            for word, ids in zip(unknown, self.tokens(unknown) if unknown else []):
-                known[word] = found = [self.window(*ids)] if ids else []
-                self.words.put(word, found)
-            if not all(known.values()):
+            known = self._known(times)
+            if None in known.values():
                 return None
-            each = [(known[w][0], n) for w, n in times.items()]
-            groups = {w: k[0][3] for w, k in known.items()}
+            windows, counts = list(known.values()), list(times.values())
+            groups = {w: k[3] for w, k in known.items()}
             said = ";".join([groups[w] for w in order])
         else:
             ids = self.tokens([text])[0]
             if ids is None:
                 return None
-            each = [(w, 1) for w in self.windows_of(*ids)]
-            said = ";".join([w[3] for w, _ in each])
-        n_a, n_b, n_groups = (sum(w[k] * n for w, n in each) for k in range(3))
-        links = [w[4] for w, _ in each]
+            windows = self.windows_of(*ids)
+            counts = [1] * len(windows)
+            said = ";".join([w[3] for w in windows])
+        n_a, n_b, n_groups, _, links = zip(*windows)
+        sums = [sum(map(mul, n, counts)) for n in (n_a, n_b, n_groups)]
         pair, back = np.unique(np.frombuffer(b"".join(links), np.uint32), return_inverse=True)
-        n = np.bincount(back, np.repeat([n for _, n in each], [len(x) // 4 for x in links])).astype(np.int64)
-        return n_a, n_b, n_groups, hashlib.sha256(said.encode()).hexdigest(), pair.astype(np.int64), n
+        n = np.bincount(back, np.repeat(counts, [len(x) >> 2 for x in links])).astype(np.int64)
+        return *sums, hashlib.sha256(said.encode()).hexdigest(), pair.astype(np.int64), n
+
+    def _known(self, words) -> dict[str, Window | None]:
+        """The window of each word, in the order of ``words``; None where a tokenizer does not give the bytes back."""
+        get = self.words.new.get
+        known = {w: get(w) for w in words}
+        unknown = []
+        for w in [w for w, k in known.items() if k is None]:
+            known[w] = k = self.words.get(w)
+            if k is None:
+                unknown.append(w)
+        for word, ids in zip(unknown, self.tokens(unknown) if unknown else []):
+            if ids:
+                known[word] = found = self.window(*ids)
+                self.words.put(word, found)
+        return known
 
 
 def aligned(docs: DataFrame, ranks_path: str | None = None, model_path: str | None = None) -> DataFrame:
@@ -205,6 +229,7 @@ def aligned(docs: DataFrame, ranks_path: str | None = None, model_path: str | No
 
     def run(batches):
         aligner = Aligner(*sides(*paths))
+        gc.freeze()  # nothing here is cyclic, and what is remembered would be looked through again and again
         for part in slices(batches, most_bytes=1 << 21):
             rows = [aligner.document(text.as_py()) for text in part.column(1)]
             counts = [pa.array([r[k] if r else 0 for r in rows], pa.int64()) for k in range(3)]
