@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placebook.operators.forward import first_hits, normalized
+from placebook.operators.forward import normalized, prefix_join
 
 #: With a bias so many times the limit are taken by prefix before distance decides.
 BIAS_WINDOW = 8
@@ -13,7 +13,7 @@ BIAS_WINDOW = 8
 
 def autocomplete(index: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """(qid, rank, rec_id) of (qid, q), without typo fallback."""
-    return first_hits(index, normalized(queries), limit).select("qid", "rank", "rec_id")
+    return prefix_join(index, normalized(queries), max(0, limit))
 
 
 def autocomplete_biased(index: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
@@ -23,7 +23,7 @@ def autocomplete_biased(index: DataFrame, records: DataFrame, queries: DataFrame
     """
     limit = max(0, min(limit, (1 << 31) - 1))
     asked = normalized(queries)
-    window = first_hits(index, asked, limit * BIAS_WINDOW).withColumnRenamed("rank", "_r")
+    window = prefix_join(index, asked, limit * BIAS_WINDOW).withColumnRenamed("rank", "_r")
     placed = window.join(records.select("rec_id", F.col("lon").alias("_x"), F.col("lat").alias("_y")), "rec_id").join(asked.select("qid", "lon", "lat"), "qid")
     distance = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.hypot(F.col("_x") - F.col("lon"), F.col("_y") - F.col("lat")))
     order = Window.partitionBy("qid").orderBy("_d", "_r")

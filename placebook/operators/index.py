@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.functions.text import normalize_for_match
+from placebook.operators.ordered import with_seen
 
 #: Ends a key in ``full_key``; sorts before every printable character, and is no white space for the normaliser.
 SEPARATOR = "\x1f"
 
 
 def entries(records: DataFrame) -> DataFrame:
-    """(rec_id, key_ord, key, full_key): full text, street, street with city, and city, as far as they are present.
+    """(rec_id, key_ord, key, full_key, seen): full text, street, street with city, and city, as far as they are present.
 
-    (rec_id, key_ord) is the order in which entries are inserted. Equal keys of one record all stay.
+    (rec_id, key_ord) is the order in which entries are inserted. Equal keys of one record all stay. ``seen`` tells which
+    prefixes find an earlier entry of the record too (see ordered.py).
     """
     a = F.col("address")
     texts = F.array(a["full"], a["street"], F.when(a["street"].isNotNull() & a["city"].isNotNull(), F.concat_ws(" ", a["street"], a["city"])), a["city"])
     exploded = records.select("rec_id", F.posexplode(F.filter(texts, lambda x: x.isNotNull())).alias("key_ord", "text"))
     keyed = exploded.select("rec_id", "key_ord", normalize_for_match("text").alias("key"))
-    return keyed.withColumn("full_key", F.concat("key", F.lit(SEPARATOR), F.col("rec_id").cast("string")))
+    return with_seen(keyed.withColumn("full_key", F.concat("key", F.lit(SEPARATOR), F.col("rec_id").cast("string"))))
 
 
 def spread(records: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placebook.geocoder import Geocoder
-from placebook.operators import autocomplete, batch, forward, fuzzy, spatial
+from placebook.operators import autocomplete, batch, forward, fuzzy, ordered, spatial
 from placebook.operators import index as ix
 from placebook.plans import derived
 from placebook.schema import FuzzyConfig
@@ -215,15 +215,16 @@ def test_batch_and_geocoder(spark, records):
     assert '"postcode":null' in body and '"match_type":"exact"' in body
 
 
-def test_prefix_join_has_no_product_and_answers_empty_queries(spark, records, index, model):
-    texts = ["", "1", "12", "main", "main st springfield", "nothing at all like this one here", "12 main st springfield il 6000"]
+def test_prefix_join_reads_each_key_once(spark, index, model):
+    """Texts of all lengths, nested and repeated ones and the empty one, against brute force; no product, and no copies of keys."""
+    texts = ["", "1", "12", "main", "main st springfield", "nothing at all like this one here", "12 main st springfield il 6000", "m", "main", "\U0010ffff", "z", "s", "springfield", *[str(k) for k in range(40)]]
     asked = spark.createDataFrame(list(enumerate(texts)), "qid long, qn string")
-    hits = forward.prefix_join(index, asked)
-    got = {}
-    for r in hits.collect():
-        got.setdefault(r.qid, set()).add(r.rec_id)
-    for k, t in enumerate(texts):
-        assert got.get(k, set()) == set(prefix_hits(model, t)), t
+    for limit in (None, 1, 3, 1 << 70):
+        got = {}
+        for r in forward.prefix_join(index, asked, limit).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.rank, r.rec_id))
+        for k, t in enumerate(texts):
+            assert got.get(k, []) == list(enumerate(prefix_hits(model, t)[:limit], 1)), t
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for queries in (asked, asked.filter("qid = 0"), asked.filter("qid > 0"), asked.limit(0)):
@@ -231,18 +232,34 @@ def test_prefix_join_has_no_product_and_answers_empty_queries(spark, records, in
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert forward.prefix_join(index, asked.limit(0)).count() == 0
+    assert forward.prefix_join(index, asked.limit(0)).count() == 0 and forward.prefix_join(index.limit(0), asked).count() == 0 and forward.prefix_join(index, asked, 0).count() == 0
+    keyed = ordered._keyed(index, ["1", "m"])
+    assert keyed.count() == index.count()
+    assert {r.qid for r in forward.missed(index, asked).collect()} == {k for k, t in enumerate(texts) if not prefix_hits(model, t)}
+
+
+def test_merges_over_many_batches_and_ranges(spark):
+    """Intervals that go on over batches and ranges keep their order and their limit."""
+    rng = random.Random(8)
+    rows = [(i, k, "".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))) for i in range(1500) for k in range(rng.choice([1, 2, 4]))]
+    model = [(key, i, k) for i, k, key in rows]
+    index = spark.createDataFrame(rows, "rec_id long, key_ord int, key string").selectExpr("*", "concat(key, '\\u001f', rec_id) as full_key")
+    texts = ["", "a", "b", "ab", "aba", "abab", "bbbbbb", "ba", "a", "\x00"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "qid long, qn string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for limit in (None, 7, 400):
+            got = {}
+            for r in forward.prefix_join(index, asked, limit).orderBy("qid", "rank").collect():
+                got.setdefault(r.qid, []).append(r.rec_id)
+            for k, t in enumerate(texts):
+                assert got.get(k, []) == prefix_hits(model, t)[:limit], t
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_first_hits_are_cut_before_they_are_grouped(spark, index, model):
-    asked = spark.createDataFrame([(0, ""), (1, "1"), (2, "main"), (3, "s")], "qid long, qn string")
-    top = forward.first_hits(index, asked, 3)
-    got = {}
-    for r in sorted(top.collect(), key=lambda r: r.rank):
-        got.setdefault(r.qid, []).append(r.rec_id)
-    assert got == {k: prefix_hits(model, t)[:3] for k, t in enumerate(["", "1", "main", "s"]) if prefix_hits(model, t)}
-    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
-    assert forward.first_hits(index, asked, 1 << 70).groupBy("qid").count().count() == len(got)
+def test_next_text():
+    assert ordered.after("ab") == "ac" and ordered.after("a\U0010ffff") == "b" and ordered.after("") is None and ordered.after("\U0010ffff") is None and ordered.after("\ud7ff") == "\ue000"
 
 
 def test_boxes_of_any_size(spark, records):
