@@ -51,19 +51,21 @@ def texts_of(asked: DataFrame) -> DataFrame:
     return asked.groupBy("qn").agg(F.min("qid").alias("tid")).select("tid", "qn")
 
 
-def _bounds(index: DataFrame, parts: int) -> list[str]:
-    """At most ``parts`` - 1 keys that cut the index into ranges of about the same size, from about DRAWN keys for each range."""
-    share = min(1.0, parts * DRAWN / max(index.count(), 1))
-    drawn = index.filter(F.pmod(F.xxhash64("full_key"), F.lit(1 << 30)) < int((1 << 30) * share)).select("full_key").toArrow()
-    keys = sorted(drawn["full_key"].to_pylist())
+def bounds_of(rows: DataFrame, column: str, parts: int) -> list[str]:
+    """At most ``parts`` - 1 texts that cut a column into ranges of about the same size, from about DRAWN texts for each range."""
+    if parts < 2:
+        return []
+    share = min(1.0, parts * DRAWN / max(rows.count(), 1))
+    drawn = rows.filter(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int((1 << 30) * share)).select(column).toArrow()
+    keys = sorted(drawn[column].to_pylist())
     return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
+def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
@@ -76,7 +78,7 @@ def _route(texts: DataFrame, bounds: list[str], enough: list[int] | None) -> Dat
     def run(batches):
         for batch in batches:
             rows = []
-            for tid, text in zip(_numbers(batch, "tid").tolist(), _texts(batch, "qn")):
+            for tid, text in zip(numbers(batch, "tid").tolist(), strings(batch, "qn")):
                 end = after(text)
                 a, b = bisect_right(bounds, text), len(bounds) if end is None else bisect_left(bounds, end)
                 b = min(b, enough[a]) if enough else b
@@ -99,7 +101,7 @@ def _keyed(index: DataFrame, bounds: list[str], used: np.ndarray | None = None)
 
     def run(batches):
         for batch in batches:
-            part = np.array([bisect_right(bounds, t) for t in _texts(batch, "full_key")], np.int32)
+            part = np.array([bisect_right(bounds, t) for t in strings(batch, "full_key")], np.int32)
             if used is not None:
                 on = used[part]
                 batch, part = batch.filter(pa.array(on)), part[on]
@@ -115,9 +117,9 @@ def _merge(limit: int):
     def hits(batch: pa.RecordBatch, part: int, a: int, b: int, state: dict) -> list:
         if state["part"] != part:
             state.update(part=part, open=[])
-        kind, ids, n = (_numbers(batch, c)[a:b] for c in ("kind", "id", "n"))
-        wide = _numbers(batch, "wide")[a:b]
-        texts = _texts(batch.slice(a, b - a), "text")
+        kind, ids, n = (numbers(batch, c)[a:b] for c in ("kind", "id", "n"))
+        wide = numbers(batch, "wide")[a:b]
+        texts = strings(batch.slice(a, b - a), "text")
         at = np.flatnonzero(kind == 1)
         keys, rec_id, seen = [texts[k] for k in at.tolist()], ids[at], n[at]
         earlier = np.cumsum(kind == 1)
@@ -137,7 +139,7 @@ def _merge(limit: int):
         state: dict = {"part": None, "open": []}
         names = ["tid", "part", "seq", "rec_id", "wide"]
         for batch in batches:
-            part = _numbers(batch, "part")
+            part = numbers(batch, "part")
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
             for a, b in zip(cuts, [*cuts[1:], len(part)]):
                 out, held = [], 0
@@ -164,7 +166,7 @@ def hits_of(index: DataFrame, texts: DataFrame, limit: int | None = None) -> Dat
     if limit == 0:
         return spark.createDataFrame([], "tid long, rank long, rec_id long")
     parts = min(MOST_PARTS, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(index, parts)
+    bounds = bounds_of(index, "full_key", parts)
     enough = None
     if limit < NOTHING:  # ranges inside an interval are hits as a whole: where one begins, these are enough
         size = np.zeros(len(bounds) + 1, np.int64)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placebook.geocoder import Geocoder
 from placebook.operators import autocomplete, batch, forward, fuzzy, ordered, spatial
 from placebook.operators import index as ix
+from placebook.operators.typo_trie import KeyTrie, reaches
 from placebook.plans import derived
 from placebook.schema import FuzzyConfig
 from tests.test_text import model_match, model_soundex
@@ -104,6 +105,55 @@ def test_fuzzy_against_brute_force(spark, config):
         assert got.get(qid, []) == [(i, round(s, 12)) for i, s in fuzzy_hits(model, q.lower(), 8, config)], q
 
 
+def test_keys_that_share_their_ends(spark):
+    """100 000 keys with one suffix: each text's automaton looks at few of them, and only matches come out."""
+    rng = random.Random(6)
+    keys = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) + " street springfield il" for _ in range(100_000)})
+    texts = []
+    for _ in range(60):
+        k = rng.choice(keys)
+        at = rng.randrange(len(k))
+        texts += [k[:at] + k[at + 1 :], k[:at] + "q" + k[at:]]
+    text, key, d, looked = KeyTrie(keys).within(texts, 2)
+    assert looked < 0.02 * len(texts) * sum(map(len, keys))
+    assert len(text) < 3 * len(texts)
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "tid long, q string")
+    got = sorted((r.tid, r.key, r.distance) for r in fuzzy.close_keys(frame, asked, 2, range_keys=9_000, block=40).collect())
+    assert got == sorted((int(t), keys[k], int(x)) for t, k, x in zip(text, key, d))
+    assert {t for t, _, x in got if x == 1} == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("d", [0, 1, 2, 3])
+def test_automaton_against_brute_force(d):
+    rng = random.Random(d)
+    words = sorted({"".join(rng.choice("abü\U0001f642") for _ in range(rng.randrange(0, 9))) for _ in range(400)})
+    texts = ["", *("".join(rng.choice("abü\U0001f642c") for _ in range(rng.randrange(0, 10))) for _ in range(300))]
+    text, key, found, _ = KeyTrie(words).within(texts, d)
+    want = {(t, k, n) for t, a in enumerate(texts) for k, b in enumerate(words) if (n := distance(a, b)) <= d}
+    assert set(zip(text.tolist(), key.tolist(), found.tolist())) == want and len(text) == len(want)
+    for a in texts[:60]:
+        for b in words[:60]:
+            if distance(a, b) <= d:
+                assert all(reaches(a, b[:n], d) for n in range(len(b) + 1))
+
+
+def test_lists_of_a_code_are_bounded(spark):
+    """5000 entries of one code: a text meets the first of them only, and the best are exact."""
+    rows = [(i, 0, f"smith {i:05d}") for i in range(5000)] + [(6000 + i, 0, "smyth") for i in range(30)]
+    index = spark.createDataFrame(rows, "rec_id long, key_ord int, key string")
+    texts = spark.createDataFrame([(0, "smith"), (1, "smit"), (2, "smith 00004"), (3, "nobody")], "tid long, q string")
+    posted = index.withColumn("nth", F.lit(1))
+    close = fuzzy.close_keys(index.select("key").distinct(), texts, 2)
+    assert fuzzy.by_sound(posted, texts, close.limit(0), 10).count() == 30
+    got = {}
+    for r in fuzzy.fuzzy_entries(index, texts.withColumnRenamed("tid", "qid"), 10, FuzzyConfig()).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.rec_id, round(r.score, 9)))
+    model = [(k, i, n) for i, n, k in rows]
+    for t, q in enumerate(["smith", "smit", "smith 00004", "nobody"]):
+        assert got.get(t, []) == [(i, round(s, 9)) for i, s in fuzzy_hits(model, q, 10, FuzzyConfig())]
+
+
 def test_autocomplete(spark, index, records, model):
     asked = spark.createDataFrame([(k, q, -89.6, 39.4) for k, q in enumerate(TEXTS)] + [(99, "main", None, 39.0)], "qid long, q string, lon double, lat double")
     place = {r.rec_id: (r.lon, r.lat) for r in records.collect()}
