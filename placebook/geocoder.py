@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.operators import autocomplete, batch, forward, spatial
-from placebook.operators.index import entries, spread, write_sorted
+from placebook.operators.index import HEAD_LENGTH, HEAD_RECORDS, entries, spread, write_heads, write_sorted
 from placebook.schema import EXACT, RESULT
 from placebook.sources import loader, store
 from placebook.sources.staging import new_path, staged
@@ -21,6 +21,7 @@ class Geocoder:
     spark: SparkSession
     records: DataFrame
     index: DataFrame
+    heads: DataFrame | None = None
 
     @staticmethod
     def build(records: DataFrame, path: str | None = None) -> Geocoder:
@@ -36,8 +37,10 @@ class Geocoder:
         records = store.load(spark, path)
         if fresh:
             # written first: dealing by ranges reads its input twice
-            write_sorted(staged(entries(spread(records)), "entries"), f"{path}/entries")
-        return Geocoder(spark, records, spark.read.parquet(f"{path}/entries"))
+            keyed = staged(entries(spread(records)), "entries")
+            write_sorted(keyed, f"{path}/entries")
+            write_heads(keyed, records, f"{path}/heads")
+        return Geocoder(spark, records, spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/heads"))
 
     @staticmethod
     def from_file(spark: SparkSession, path: str, format: str | None = None) -> Geocoder:
@@ -80,7 +83,12 @@ class Geocoder:
     def autocomplete(self, prefix: str, limit: int = 5, lon: float | None = None, lat: float | None = None) -> list[dict]:
         """The first records by prefix; the bias counts only if both coordinates are given."""
         if lon is None or lat is None:
-            top = forward.hits_of_one(self.index, forward.normalized_text(self.index, prefix)).orderBy("full_key").limit(max(limit, 0))
+            qn = forward.normalized_text(self.index, prefix)
+            if self.heads is not None and len(qn) <= HEAD_LENGTH and limit <= HEAD_RECORDS:
+                listed = self.heads.filter((F.col("prefix") == qn) & (F.col("rank") <= max(limit, 0)))
+                result = F.struct("address", "lat", "lon", F.lit(1.0).alias("confidence"), F.lit(EXACT).alias("match_type")).cast(RESULT)
+                return [r["r"].asDict(recursive=True) for r in listed.select("rank", result.alias("r")).orderBy("rank").collect()]
+            top = forward.hits_of_one(self.index, qn).orderBy("full_key").limit(max(limit, 0))
             hits = top.select(F.lit(0).cast("long").alias("qid"), F.row_number().over(Window.orderBy("full_key")).alias("rank"), "rec_id")
         else:
             asked = self._queries([prefix]).withColumns({"lon": F.lit(float(lon)), "lat": F.lit(float(lat))})

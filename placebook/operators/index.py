@@ -10,6 +10,8 @@ from placebook.operators.ordered import with_seen
 
 #: Ends a key in ``full_key``; sorts before every printable character, and is no white space for the normaliser.
 SEPARATOR = "\x1f"
+#: Prefixes whose first records are stored: their length, and how many records.
+HEAD_LENGTH, HEAD_RECORDS = 3, 64
 
 
 def entries(records: DataFrame) -> DataFrame:
@@ -36,6 +38,25 @@ def write_sorted(index: DataFrame, path: str) -> None:
     index.repartitionByRange(parts, "full_key").sortWithinPartitions("full_key").write.mode("overwrite").parquet(path)
 
 
+def heads(index: DataFrame, records: DataFrame, longest: int = HEAD_LENGTH, most: int = HEAD_RECORDS) -> DataFrame:
+    """(prefix, rank, records' columns): the first ``most`` records by key of every beginning of keys of up to ``longest`` characters.
+
+    These are the nodes near the root of the keys' trie, each with its first records, so that a short prefix, which most
+    keys may begin with, reads one list. A task passes on ``most`` rows of a prefix at most.
+    """
+    lengths = F.explode(F.expr(f"sequence(seen + 1, least({longest}, length(key)))"))
+    early = index.filter(f"seen < least({longest}, length(key))").select("rec_id", "full_key", lengths.alias("n"))
+    order = Window.partitionBy("prefix").orderBy("full_key")
+    first = early.select("rec_id", "full_key", F.expr("substring(full_key, 1, n)").alias("prefix")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return first.select("prefix", "rank", "rec_id").join(records, "rec_id")
+
+
+def write_heads(index: DataFrame, records: DataFrame, path: str) -> None:
+    """Store heads() in order of prefix, so that one prefix reads one row group."""
+    found = heads(index, records)
+    found.repartitionByRange("prefix").sortWithinPartitions("prefix", "rank").write.mode("overwrite").parquet(path)
+
+
 def unique_index(pairs: DataFrame, key: str = "key", value: str = "value", order: str = "seq") -> DataFrame:
     """A text index of its own: for equal keys the first inserted value stays."""
     first = F.min_by(value, order).alias(value)

@@ -265,6 +265,15 @@ def test_batch_and_geocoder(spark, records):
     assert '"postcode":null' in body and '"match_type":"exact"' in body
 
 
+def test_short_prefixes_read_one_list(spark, records, index, model):
+    geo = Geocoder.build(records)
+    place = {r.rec_id: r.address.full for r in records.collect()}
+    for t in ["", "1", "12", "12 ", "m", "ma", "mai", "main", "s", "zz", "N"]:
+        for limit in (0, 1, 10, 64, 65):
+            assert [r["address"]["full"] for r in geo.autocomplete(t, limit)] == [place[i] for i in prefix_hits(model, model_match(t))[:limit]], (t, limit)
+    assert geo.heads.groupBy("prefix").count().filter("count > 64").isEmpty() and geo.heads.filter("length(prefix) > 3").isEmpty()
+
+
 def test_prefix_join_reads_each_key_once(spark, index, model):
     """Texts of all lengths, nested and repeated ones and the empty one, against brute force; no product, and no copies of keys."""
     texts = ["", "1", "12", "main", "main st springfield", "nothing at all like this one here", "12 main st springfield il 6000", "m", "main", "\U0010ffff", "z", "s", "springfield", *[str(k) for k in range(40)]]
