@@ -39,12 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placebook.llm._store import table, written
+from placebook.llm._store import new_path, table
 from placebook.llm._words import slices
 
 CAPACITY = 2048
 RANKED = 200_000  # pieces of one length that one task ranks, about
 PIECE = "piece_key long, doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long"
+SEQUENCE = "sequence_id long, length long, ids binary, pieces array<struct<doc_id:long,text_hash:long,piece:int,offset:long,length:long>>"
 NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
@@ -188,9 +189,13 @@ def ranked(pieces: DataFrame, histogram: dict[int, int], each: int = RANKED) ->
     return own.join(base, ["length", "part"]).withColumn("rank", F.col("_r") + F.col("base")).drop("_r", "base", "part", "draw")
 
 
-def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(placements as pack() returns them; (piece_key, ids) of every piece, for sequences())."""
-    written_pieces = written(tokenised(docs, ranks_path, capacity), "pieces")
+def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, ids_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placements as pack() returns them; (piece_key, ids) of every piece, for sequences()); the pieces are stored in ``ids_path``, a new folder by default."""
+    spark = docs.sparkSession
+    ids_path = ids_path or new_path(spark, "pieces")
+    found = tokenised(docs, ranks_path, capacity)
+    found.write.parquet(ids_path)
+    written_pieces = spark.read.schema(found.schema).parquet(ids_path)
     pieces = written_pieces.drop("ids")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = _slots(plan(histogram, capacity))
@@ -213,16 +218,24 @@ def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPAC
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], [*NAMES, "sequence_id", "offset"])
 
     placed = ranked(pieces, histogram).select(*NAMES, F.col("rank").cast("long").alias("rank"))
-    return placed.mapInArrow(run, f"{PIECE}, sequence_id long, offset long"), written_pieces.select("piece_key", "ids")
+    return placed.mapInArrow(run, f"{PIECE}, sequence_id long, offset long").withColumn("ids_path", F.lit(ids_path)), written_pieces.select("piece_key", "ids")
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(piece_key, doc_id, text_hash, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece with its sequence and the offset there."""
-    return packed(docs, ranks_path, capacity)[0]
+def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, ids_path: str | None = None) -> DataFrame:
+    """(piece_key, doc_id, text_hash, piece, start, length, ids_crc32, sequence_id, offset, ids_path): one row for each piece with its sequence and the offset there.
+
+    ``ids_path`` names the table that holds the piece's ids under its key; sequences() finds them there.
+    """
+    return packed(docs, ranks_path, capacity, ids_path)[0]
 
 
-def sequences(placements: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids, pieces) of each sequence out of packed(): its ids one after another and the pieces that they come from."""
+def sequences(placements: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(sequence_id, length, ids, pieces) of each sequence of pack(): its ids one after another and the pieces that they come from."""
+    if ids is None:
+        paths = [r["ids_path"] for r in placements.select("ids_path").distinct().collect()]  # one for each call of pack()
+        if not paths:
+            return placements.sparkSession.createDataFrame([], SEQUENCE)
+        ids = placements.sparkSession.read.parquet(*paths).select("piece_key", "ids")
     held = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "text_hash", "piece", "ids")))  # capacity ids at most
     whole = placements.join(ids, "piece_key").groupBy("sequence_id").agg(held.alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
