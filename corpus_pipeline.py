@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place there."""
+    """The pieces of all documents with their sequence and place there, and the path of the table that has their token ids; sequences() puts both together."""
     return packing.pack(docs)
 
 
@@ -52,6 +52,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def sequences(result: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, pieces): the token sequences to train on, out of what run() returns."""
+    return packing.sequences(result)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
