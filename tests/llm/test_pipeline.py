@@ -1,7 +1,11 @@
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from placebook.llm import quality_classifier
@@ -116,3 +120,22 @@ def test_run_against_brute_force(spark, sf):
     run = corpus_pipeline.run(spark, sf)
     assert run.columns == results[4].columns
     assert sorted(map(str, run.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(str, results[4].select("doc_id", "piece", "length", "ids_crc32").collect()))
+    trained = corpus_pipeline.sequences(run).collect()
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(len(r.ids) for r in trained) == 4 * sum(len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed)
+    assert {r.sequence_id: len(r.ids) // 4 for r in trained} == {r.sequence_id: r.length for r in trained} and max(r.length for r in trained) <= CAPACITY
+    by_sequence = {r.sequence_id: bytes(r.ids) for r in trained}
+    for r in run.collect():
+        assert zlib.crc32(by_sequence[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32
+
+
+def test_copies_stage_with_repeated_ids(spark, sf):
+    """Documents that share an id with others are told apart by their texts."""
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    twice = docs.unionByName(docs.withColumn("doc_id", F.lit(3).cast("long")).withColumn("text", F.concat(F.reverse("text"), F.lit(" "), F.col("doc_id").cast("string"))))
+    rows = twice.collect()
+    kept = corpus_pipeline.near_copies_stage(spark, twice, sf).collect()
+    members = {}
+    for (key, text), (_, c, _) in zip(enumerate(r.text for r in rows), groups(list(enumerate(r.text for r in rows)))):
+        members.setdefault(c, set()).add((rows[key].doc_id, text))
+    assert len(kept) == len(members) and all(len(own & {(r.doc_id, r.text) for r in kept}) == 1 for own in members.values())
