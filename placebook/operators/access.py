@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placebook.schema import RateLimit
 
@@ -60,56 +62,64 @@ def micros(df: DataFrame, column: str = "ts") -> Column:
 
 
 def replay(requests: DataFrame, limit: RateLimit) -> DataFrame:
-    """Decide on every request (key_id, ts, request_id) of a log as if it came at its time."""
-    return decisions(resumed(requests, limit))
+    """Decide on every request (key_id, ts, request_id) of a log as if it came at its time.
 
-
-def decisions(rows: DataFrame) -> DataFrame:
-    """The decided requests among the rows of resumed()."""
-    return rows.filter(F.col("kind") == "decision").select("key_id", "request_id", "ts", "allowed", "reason", "retry_after_ms")
-
-
-def resumed(requests: DataFrame, limit: RateLimit, before: DataFrame | None = None) -> DataFrame:
-    """Rows (kind, DECISION, STATE): a decision for each request, and a state for each key after all of its requests.
-
-    ``before`` has the states that keys had before. Keys are dealt by hash and sorted by time; tasks stream over their
-    rows and hold one key's state, so a key with any number of requests takes no more memory than another.
+    Keys are dealt by hash and sorted by time; tasks stream over their rows and hold one key's state, so a key with any
+    number of requests takes no more memory than another.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, limiter = None, None
-        ended = lambda: ("state", key, *[None] * 5, *limiter.state())
         for part in batches:
             out = []
-            for k, is_new, request, ts, us, *kept in zip(*(c.to_pylist() for c in part.columns)):
+            for k, request, ts, us in zip(*(c.to_pylist() for c in part.columns)):
                 if limiter is None or k != key:
-                    if limiter is not None:
-                        out.append(ended())
-                    key, limiter = k, Limiter(limit, None if is_new else tuple(kept))
-                if is_new:
-                    out.append(("decision", k, request, ts, *limiter.check(us), *[None] * 4))
+                    key, limiter = k, Limiter(limit)
+                out.append((k, request, ts, *limiter.check(us)))
             yield _rows(out)
-        if limiter is not None:
-            yield _rows([ended()])
 
     # times travel as numbers, so that no time zone touches them
-    asked = requests.select("key_id", F.lit(True).alias("is_new"), "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), micros(requests).alias("us"))
-    if before is not None:
-        kept = before.select("key_id", F.lit(False).alias("is_new"), *(c.strip().split(" ")[0] for c in STATE.split(",")))
-        asked = asked.unionByName(kept, allowMissingColumns=True)
-    else:
-        asked = asked.selectExpr("*", *(f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in STATE.split(","))))
-    asked = asked.select("key_id", "is_new", "request_id", "at", "us", "tokens", "last", "used", "reset")
-    done = asked.repartition("key_id").sortWithinPartitions("key_id", "is_new", "us", "request_id").mapInArrow(run, f"kind string, {DECISION}, {STATE}".replace("ts timestamp", "ts long"))
+    asked = requests.select("key_id", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), micros(requests).alias("us"))
+    done = asked.repartition("key_id").sortWithinPartitions("key_id", "us", "request_id").mapInArrow(run, DECISION.replace("ts timestamp", "ts long"))
     return done.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-    names = ("kind", "key_id", "request_id", "ts", "allowed", "reason", "retry_after_ms", "tokens", "last", "used", "reset")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64())
+    names = ("key_id", "request_id", "ts", "allowed", "reason", "retry_after_ms")
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=list(names))
 
 
+def streamed(requests: DataFrame, limit: RateLimit, lateness: str) -> DataFrame:
+    """Decide on a stream of requests (key_id, ts, request_id); each key's bucket and day are kept in Spark's state store.
+
+    A micro-batch reads and writes the states of its own keys only. A key's timer is set to when its bucket is full and
+    its day is over; then its state is that of a new key and goes. Time is that of the requests: ``lateness`` (an
+    interval) is how far behind the newest one a request may come; later ones are not decided on.
+    """
+    names = [c.split()[0] for c in DECISION.split(", ")]
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([f[["us", "request_id", "at"]] for f in frames])
+        rows = rows.sort_values(["us", "request_id"])
+        tokens, last, used, reset = state.get if state.exists else (None,) * 4
+        limiter = Limiter(limit, (tokens, last, used, reset) if last is not None else None)
+        told = [(key[0], request, pd.Timestamp(at, unit="us", tz="UTC"), *limiter.check(us)) for us, request, at in rows.itertuples(index=False)]
+        state.update(limiter.state())
+        over = max(limiter.last + SECOND, limiter.reset or 0) // 1000 + 1
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(told, columns=names)
+        out["retry_after_ms"] = out["retry_after_ms"].astype("Int64")
+        yield out
+
+    asked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    timed = asked.select("key_id", "ts", "request_id", F.unix_micros("ts").alias("at"), F.unix_micros("ts").alias("us"))
+    return timed.groupBy("key_id").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def request_counters(requests: DataFrame) -> DataFrame:
     """Requests by verb."""
     return requests.groupBy("verb").agg(F.count("*").alias("requests"))

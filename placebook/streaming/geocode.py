@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from placebook.operators.access import DECISION, STATE, decisions, resumed
+from placebook.operators.access import DECISION, streamed
 from placebook.operators.forward import forward, with_records
 from placebook.schema import RateLimit
 
@@ -19,25 +19,16 @@ def forward_stream(queries: DataFrame, records: DataFrame, index: DataFrame, pat
     return queries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limit_stream(requests: DataFrame, limit: RateLimit, path: str, checkpoint: str) -> StreamingQuery:
-    """Decide on a stream of requests (key_id, ts, request_id), in order of time inside a micro-batch.
+def limit_stream(requests: DataFrame, limit: RateLimit, path: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+    """Decide on a stream of requests (key_id, ts, request_id), in order of time inside a micro-batch, and write the decisions under ``path``.
 
-    A micro-batch's decisions and the states of all keys after it are written together under its number, so that a
-    repeated batch starts from the states before it and replaces its own rows. decided() reads the decisions.
+    States are in Spark's state store under ``checkpoint``, see access.streamed(); the file sink's log makes a repeated
+    micro-batch count once. decided() reads the decisions.
     """
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _written(spark, f"{path}/batch={number - 1}").filter("kind = 'state'") if number else None
-        resumed(batch, limit, before).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
-
-    return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _written(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{DECISION}, {STATE}, kind string").parquet(path)
+    rows = streamed(requests, limit, lateness)
+    return rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def decided(spark: SparkSession, path: str) -> DataFrame:
     """All decisions (DECISION) that limit_stream() has written under ``path``."""
-    return decisions(_written(spark, path))
+    return spark.read.schema(DECISION).parquet(path)

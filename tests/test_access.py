@@ -3,7 +3,6 @@ import datetime
 import hashlib
 import hmac
 import json
-import shutil
 import threading
 import time
 import urllib.error
@@ -40,23 +39,47 @@ def test_a_daily_denial_has_used_a_token(spark):
     assert [got[k][1] for k in range(3)] == [None, access.SPENT, access.BUSY]
 
 
+def fed(spark, requests, tmp_path, name, batches):
+    """Write requests as files, one for each micro-batch, and return a stream of them."""
+    for k, part in enumerate(batches):
+        requests.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(0.05)
+    return lambda: spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+
 def test_stream_agrees_with_replay(spark, tmp_path):
+    """Over three micro-batches, a restart in between, and a micro-batch that is repeated."""
     items = [(f"k{i % 3}", (i * 7 % 50) / 10) for i in range(60)]
-    requests = log(spark, sorted(items, key=lambda x: x[1]))
-    limit = RateLimit(1, 4)
-    for k in range(3):
-        requests.filter(f"floor((request_id) / 20) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(0.05)
-    source = lambda: spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    requests, limit = log(spark, sorted(items, key=lambda x: x[1])), RateLimit(1, 4)
+    part = "floor(request_id / 20) = {}".format
+    source = fed(spark, requests, tmp_path, "in", [part(0), part(1)])
+    run = lambda: limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    run()
+    assert decided(spark, str(tmp_path / "out")).count() == 40
+    fed(spark, requests, tmp_path, "in", [part(2)])  # after a restart, states go on from the store
+    run()
     assert told(decided(spark, str(tmp_path / "out"))) == told(access.replay(requests, limit))
-    assert spark.read.parquet(str(tmp_path / "out")).filter("kind = 'state'").groupBy("batch").count().collect()[0]["count"] == 3
-    # a second run has nothing new; a batch that is run again gives the same rows
-    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert decided(spark, str(tmp_path / "out")).count() == 60
-    shutil.rmtree(tmp_path / "cp" / "commits")
-    limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    last = max(int(p.name) for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run()
+    assert decided(spark, str(tmp_path / "out")).count() == 60 and told(decided(spark, str(tmp_path / "out"))) == told(access.replay(requests, limit))
+
+
+def test_stream_touches_its_own_keys_and_lets_old_ones_go(spark, tmp_path):
+    """A micro-batch updates the states of its own keys; a key whose day is over leaves the store, and its next request is a new key's."""
+    day = 86_400
+    items = [(f"k{i}", i) for i in range(50)] + [("k7", 100), ("k8", 101)] + [("k9", 2 * day)] + [("late", 2 * day + 1)] + [("k9", 2 * day + 2), ("k7", 3 * day), ("k7", 3 * day + 1)]
+    requests, limit = log(spark, items), RateLimit(5, 1)
+    cuts = [0, 50, 52, 53, 54, 57]
+    source = fed(spark, requests, tmp_path, "in", [f"request_id >= {a} and request_id < {b}" for a, b in zip(cuts, cuts[1:])])
+    query = limit_stream(source(), limit, str(tmp_path / "out"), str(tmp_path / "cp"), lateness="1 hour")
+    query.awaitTermination(180)
     assert told(decided(spark, str(tmp_path / "out"))) == told(access.replay(requests, limit))
+    held = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    updated = [h["numRowsUpdated"] for h in held]
+    assert updated[0] == 50 and updated[1] == 2 and max(updated[1:]) <= 2
+    assert min(h["numRowsTotal"] for h in held[2:]) <= 2 and sum(h["numRowsRemoved"] for h in held) >= 49
 
 
 def test_keys(spark):
