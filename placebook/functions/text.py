@@ -93,46 +93,58 @@ def split_house_number(c: Column | str) -> tuple[Column, Column]:
     return F.when(some, digits), F.when(some, rest).otherwise(text)
 
 
+def address_fields(c: Column | str) -> dict[str, Column]:
+    """The fields of parse_address()."""
+    full = trimmed(c)
+    parts = F.split(full, ",", -1)
+    n = F.size(parts)
+    at = lambda k: trimmed(F.get(parts, F.lit(k)))
+    number, street = split_house_number(at(0))
+    return {
+        "house_number": F.when(n >= 3, number),
+        "street": F.when(n >= 3, street).otherwise(at(0)),
+        "city": at(1),
+        "state": at(2),
+        "postcode": F.when(n >= 5, at(3)),
+        "country": F.when(n >= 5, at(4)).when(n == 4, at(3)),
+        "full": full,
+    }
+
+
+def _struct(c: Column | str, fields: dict[str, Column]) -> Column:
+    return F.when(_col(c).isNotNull(), F.struct(*(value.alias(name) for name, value in fields.items())))
+
+
 def parse_address(c: Column | str) -> Column:
     """A struct (house_number, street, city, state, postcode, country, full) from comma-separated parts.
 
     One part is a street; two are street and city; from three on a number is split off the first, and state, then
     country (four) or postcode and country (five and more) follow.
     """
-    full = trimmed(c)
-    parts = F.transform(F.split(full, ",", -1), trimmed)
-    n = F.size(parts)
-    number, street = split_house_number(F.get(parts, F.lit(0)))
-    at = lambda k: F.get(parts, F.lit(k))
-    return F.when(
-        full.isNotNull(),
-        F.struct(
-            F.when(n >= 3, number).alias("house_number"),
-            F.when(n >= 3, street).otherwise(at(0)).alias("street"),
-            at(1).alias("city"),
-            at(2).alias("state"),
-            F.when(n >= 5, at(3)).alias("postcode"),
-            F.when(n >= 5, at(4)).when(n == 4, at(3)).alias("country"),
-            full.alias("full"),
-        ),
-    )
+    return _struct(c, address_fields(c))
 
 
-def extract_unit(c: Column | str) -> Column:
-    """A struct (rest, unit): the token after the first designator, in the order of UNITS, that has one.
-
-    Designators are found inside words too.
-    """
+def unit_fields(c: Column | str) -> dict[str, Column]:
+    """The fields of extract_unit()."""
     text = _col(c)
     lower = F.lower(text)
-    out = F.struct(text.alias("rest"), F.lit(None).cast("string").alias("unit"))
+    rest, unit = text, F.lit(None).cast("string")
     for word in reversed(UNITS):
         at = F.instr(lower, word)
         before = trimmed(F.regexp_replace(trimmed(F.substring(text, F.lit(1), at - 1)), ",+$", ""))
         after = F.regexp_replace(trimmed(F.substring(text, at + len(word), F.length(text))), "^[. :]+", "")
-        unit = trimmed(F.regexp_extract(after, "(?s)^([^, ]*)", 1))
-        out = F.when((at > 0) & (unit != ""), F.struct(before.alias("rest"), unit.alias("unit"))).otherwise(out)
-    return F.when(text.isNotNull(), out)
+        own = trimmed(F.regexp_extract(after, "(?s)^([^, ]*)", 1))
+        found = (at > 0) & (own != "")
+        rest, unit = F.when(found, before).otherwise(rest), F.when(found, own).otherwise(unit)
+    return {"rest": rest, "unit": unit}
+
+
+def extract_unit(c: Column | str) -> Column:
+    """A struct (rest, unit): the token after the first designator, in the order of UNITS, that has one.
+
+    Designators are found inside words too.
+    """
+    return _struct(c, unit_fields(c))
 
 
 def detect_format(c: Column | str) -> Column:

@@ -24,27 +24,30 @@ class Geocoder:
     heads: DataFrame | None = None
 
     @staticmethod
-    def build(records: DataFrame, path: str | None = None) -> Geocoder:
-        """Store records and index under ``path`` (a new folder by default)."""
+    def build(records: DataFrame, path: str | None = None, source: str = "built") -> Geocoder:
+        """Store records and index as the newest snapshot under ``path`` (a new folder by default)."""
         spark = records.sparkSession
         path = path or new_path(spark, "geocoder")
-        store.save(records, path, "built")
-        return Geocoder.open(spark, path, fresh=True)
 
-    @staticmethod
-    def open(spark: SparkSession, path: str, fresh: bool = False) -> Geocoder:
-        """A stored gazetteer; its index is made again with ``fresh``."""
-        records = store.load(spark, path)
-        if fresh:
+        def index(folder: str) -> None:
+            kept = spark.read.parquet(f"{folder}/records")
             # written first: dealing by ranges reads its input twice
-            keyed = staged(entries(spread(records)), "entries")
-            write_sorted(keyed, f"{path}/entries")
-            write_heads(keyed, records, f"{path}/heads")
-        return Geocoder(spark, records, spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/heads"))
+            keyed = staged(entries(spread(kept)), "entries")
+            write_sorted(keyed, f"{folder}/entries")
+            write_heads(keyed, kept, f"{folder}/heads")
+
+        store.save(records, path, source, index)
+        return Geocoder.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, number: int | None = None) -> Geocoder:
+        """A stored gazetteer with its index: the newest snapshot by default."""
+        folder = store.folder(spark, path, number)
+        return Geocoder(spark, *(spark.read.parquet(f"{folder}/{name}") for name in ("records", "entries", "heads")))
 
     @staticmethod
     def from_file(spark: SparkSession, path: str, format: str | None = None) -> Geocoder:
-        return Geocoder.build(loader.load(spark, path, format))
+        return Geocoder.build(loader.load(spark, path, format), source=path)
 
     def __len__(self) -> int:
         return self.records.count()

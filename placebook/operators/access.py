@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from placebook.schema import RateLimit
+from placebook.schema import TIERS, RateLimit
 
 SECOND, DAY = 1_000_000, 86_400_000_000
 BUSY, SPENT = "Rate limit exceeded (per-second)", "Daily request limit exceeded"
@@ -131,6 +131,13 @@ def new_keys(spark: SparkSession, names: DataFrame, tier: str = "default") -> Da
     return keys.select("id", "name", "raw_key", key_hash("raw_key").alias("key_hash"), F.lit(tier).alias("tier"), F.lit(False).alias("revoked"), F.current_timestamp().alias("created_at"), F.array(F.lit("read")).alias("permissions"))
 
 
+def with_limits(keys: DataFrame) -> DataFrame:
+    """Add ``per_second`` and ``per_day`` of each key's tier; a tier without a name here has those of the default one."""
+    limits = F.create_map(*(x for name, limit in TIERS.items() for x in (F.lit(name), F.struct(F.lit(limit.per_second).cast("long").alias("s"), F.lit(limit.per_day).cast("long").alias("d")))))
+    own = F.coalesce(F.try_element_at(limits, F.coalesce("tier", F.lit("default"))), F.try_element_at(limits, F.lit("default")))
+    return keys.withColumns({"per_second": own["s"], "per_day": own["d"]})
+
+
 def validate(keys: DataFrame, raw: DataFrame) -> DataFrame:
     """The stored, unrevoked keys of raw keys (raw_key)."""
     return keys.filter("not revoked").join(raw.select(key_hash("raw_key").alias("key_hash")).distinct(), "key_hash", "left_semi")

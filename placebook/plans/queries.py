@@ -440,3 +440,93 @@ def validate_keys(spark, sf_dir):
 def revoke_keys(spark, sf_dir):
     keys = spark.sql(_KEYS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
     return access.revoke(keys, keys.filter("id % 7 = 0")).select("id", "revoked")
+
+
+@registered(o.ENTRIES + " select qid, rec_id from asked join entries on starts_with(full_key, x) where x <> '' group by qid, rec_id")
+def sql_prefix_lookup(spark, sf_dir):
+    """Forward lookup in SQL alone: a table function with a lateral join."""
+    from placebook.functions import sql
+
+    sql.register(spark)
+    sql.register_lookups(derived.records(spark, sf_dir), derived.index(spark, sf_dir))
+    asked = derived.text_queries(spark, sf_dir)
+    return spark.sql("select a.qid, h.rec_id from (select qid, normalize_for_match(q) as qn from {asked}) a, lateral prefix_lookup(a.qn) h where a.qn <> ''", asked=asked)
+
+
+@registered(o.WITH + """ select qid, p.id as rec_id, round(d2, 9) as d2, row_number() over (partition by qid order by d2, p.id) as rank
+  from (select q.qid, g.id, (g.lon - q.lon) * (g.lon - q.lon) + (g.lat - q.lat) * (g.lat - q.lat) as d2 from points q join gaz g on abs(g.lon - q.lon) <= 0.011 and abs(g.lat - q.lat) <= 0.011) p where d2 <= 0.01 * 0.01 qualify rank <= 3""")
+def sql_near_lookup(spark, sf_dir):
+    """Reverse lookup in SQL alone: the first three records within a hundredth of a degree."""
+    from placebook.functions import sql
+
+    sql.register_lookups(derived.records(spark, sf_dir), derived.index(spark, sf_dir), 0.01)
+    return spark.sql("""select qid, rec_id, round(d2, 9) as d2, cast(rank as bigint) as rank from (
+        select p.qid, n.rec_id, n.d2, row_number() over (partition by p.qid order by n.d2, n.rec_id) as rank from {points} p, lateral near_lookup(p.lon, p.lat) n) where rank <= 3""", points=derived.points(spark, sf_dir))
+
+
+@registered(o.WITH + f', p as ({o.parsed("odd", "t")}) select id, house_number, street, city, "full" from p')
+def sql_parse_address(spark, sf_dir):
+    """The parser as a SQL function."""
+    from placebook.functions import sql
+
+    sql.register(spark)
+    return spark.sql("select id, a.house_number, a.street, a.city, a.full from (select id, parse_address(t) as a from {odd})", odd=odd_texts(spark, sf_dir))
+
+
+@registered(o.ENTRIES + " select rec_id, key_ord, key from entries")
+def index_runs(spark, sf_dir):
+    """An index that is changed instead of made again: stale texts are replaced, records go and come back; what is read equals the index of all records."""
+    from placebook.operators.index_runs import IndexRuns
+    from placebook.sources.staging import new_path
+
+    records = derived.records(spark, sf_dir)
+    stale = records.withColumn("address", F.when(F.col("rec_id") % 3 == 0, text.parse_address(F.lit("9 Old Road, Nowhere, XX"))).otherwise(F.col("address")))
+    runs = IndexRuns(spark, new_path(spark, "runs"))
+    runs.create(stale)
+    runs.put(records.filter("rec_id % 3 = 0"))
+    runs.remove(records.filter("rec_id % 10 = 9"))
+    runs.put(records.filter("rec_id % 20 = 9"))
+    runs.compact()
+    runs.put(records.filter("rec_id % 20 = 19"))
+    return _long(runs.read(), "key_ord").select("rec_id", "key_ord", "key")
+
+
+_TIER = ("default", "free", "pro", "enterprise")
+
+
+@registered("""select distinct user_id as key_id, ['default', 'free', 'pro', 'enterprise'][user_id % 4 + 1] as tier, [100, 10, 100, 1000][user_id % 4 + 1]::bigint as per_second,
+  [100000, 10000, 500000, 0][user_id % 4 + 1]::bigint as per_day from events""")
+def tier_limits(spark, sf_dir):
+    """What the tier of each user's key allows."""
+    tier = F.element_at(F.array(*map(F.lit, _TIER)), (F.col("user_id") % 4 + 1).cast("int"))
+    keys = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key_id"), tier.alias("tier")).distinct()
+    return access.with_limits(keys).select("key_id", "tier", "per_second", "per_day")
+
+
+@registered(o.WITH + """ select f, "full" as address from rec, (select unnest(['csv', 'geojson', 'txt']) as f)""")
+def load_by_ending(spark, sf_dir):
+    """The gazetteer written as CSV and as GeoJSON, read back by the endings of the folders' names; what has no known one is CSV."""
+    from placebook.sources import loader
+    from placebook.sources.staging import new_path
+
+    raw = derived.gazetteer(spark, sf_dir)
+    out = None
+    for ending in ("csv", "geojson", "txt"):
+        path = f"{new_path(spark, 'named')}.{ending}"
+        if ending == "geojson":
+            feature = F.to_json(F.struct(F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("raw").alias("address")).alias("properties")))
+            _documents(raw.select("id", feature.alias("item")), '{"features":[', path)
+        else:
+            raw.select(F.col("lon").alias("LON"), F.col("lat").alias("LAT"), F.col("raw").alias("STREET")).write.option("header", True).option("escape", '"').csv(path)
+        read = loader.load(spark, path).select(F.lit(ending).alias("f"), F.col("address.full").alias("address"))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+@registered(o.WITH + ' select id as rec_id, "full" as address from rec union all select id + (select count(*) from rec), "full" from rec')
+def append_sources(spark, sf_dir):
+    """Records of one source after those of another: ids run on."""
+    from placebook.sources import rows
+
+    records = derived.records(spark, sf_dir)
+    return rows.appended(records, records).select("rec_id", F.col("address.full").alias("address"))

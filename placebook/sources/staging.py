@@ -34,3 +34,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file that is whole as soon as it is there; False, and nothing changes, if there is one already.
+
+    It is written under another name and renamed without overwriting, in one step where the file system does so (HDFS,
+    local disks).
+    """
+    jvm, fs = spark._jvm, file_system(spark, path)
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(text.encode())
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    without = spark.sparkContext._gateway.new_array(kind, 1)
+    without[0] = kind.NONE
+    try:
+        files.rename(draft, final, without)
+    except Exception:
+        fs.delete(draft, False)
+        if fs.exists(final):
+            return False
+        raise
+    return True
+
+
+def named(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the files ``<prefix><number>`` in a folder, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = file_system(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def content(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return spark.read.text(path, wholetext=True).first()[0]

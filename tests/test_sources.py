@@ -1,10 +1,17 @@
 import json
+import random
 import struct
 import zlib
 
 import pytest
 
+from placebook.geocoder import Geocoder
+from placebook.operators import forward
+from placebook.operators.index import entries
+from placebook.operators.index_runs import IndexRuns
+from placebook.schema import RECORDS
 from placebook.sources import addresses_csv, geojson, loader, osm, osm_pbf, rows, store
+from placebook.sources.staging import put_once
 
 
 def got(df):
@@ -190,3 +197,63 @@ def test_loader_and_store(spark, tmp_path):
     assert (about.version, about.record_count, about.source, about.coverage) == (1, 2, "test", None) and "T" in about.created_at
     store.save(made.limit(1), path, "again")
     assert loader.load(spark, path, "store").count() == 1
+    assert store.snapshots(spark, path) == [1, 2] and store.load(spark, path, 1).count() == 2
+
+
+def test_snapshots_appear_whole(spark, tmp_path):
+    """A writer that dies leaves the snapshot before; a reader goes on with what it opened; writers that meet both finish."""
+    path = str(tmp_path / "s")
+    with pytest.raises(store.NoSnapshot):
+        store.load(spark, path)
+    address = dict(house_number="1", street="Main", city=None, state=None, postcode=None, country=None, full="1 Main")
+    made = rows.manual(spark, [(address, 1.0, 2.0), (address, 3, 4), (address, 5, 6)])
+    store.save(made, path, "a")
+    reader = store.load(spark, path)
+
+    def dies(folder):
+        raise RuntimeError("here")
+
+    with pytest.raises(RuntimeError):
+        store.save(made.limit(1), path, "b", dies)
+    assert store.snapshots(spark, path) == [1] and store.load(spark, path).count() == 3 and store.metadata(spark, path).first().record_count == 3
+    # while one writes, another finishes
+    store.save(made.limit(2), path, "c", lambda folder: store.save(made.limit(1), path, "d"))
+    assert store.snapshots(spark, path) == [1, 2, 3] and [store.load(spark, path, k).count() for k in (1, 2, 3)] == [3, 1, 2]
+    assert store.metadata(spark, path).first().source == "c" and reader.count() == 3
+    assert not put_once(spark, f"{path}/snapshot-3", "other") and store.load(spark, path).count() == 2
+    assert store.clean(spark, path) == 1 and store.snapshots(spark, path) == [2, 3] and store.load(spark, path, 2).count() == 1
+    geo = Geocoder.build(made, path)
+    assert len(geo) == 3 and len(Geocoder.open(spark, path).forward("1 main")) == 3 and store.snapshots(spark, path) == [2, 3, 4]
+
+
+def test_index_runs(spark, tmp_path):
+    """Base and runs read as the index made anew, after each change, with compaction in between and with a change that comes first."""
+    rng = random.Random(2)
+    address = lambda text: dict(house_number=None, street=text, city=None, state=None, postcode=None, country=None, full=text)
+    runs, live = IndexRuns(spark, str(tmp_path / "i")), {k: f"{k} main st" for k in range(20)}
+    frame = lambda some: spark.createDataFrame([(k, address(t), 0.0, 0.0) for k, t in some.items()], RECORDS)
+    with pytest.raises(FileNotFoundError):
+        runs.read()
+    runs.create(frame(live))
+    for step in range(5):
+        more = {rng.randrange(40): f"{step} oak {rng.random()}" for _ in range(6)}
+        runs.put(frame(more))
+        live |= more
+        gone = rng.sample(sorted(live), 3)
+        runs.remove(spark.createDataFrame([(k,) for k in [*gone, 999]], "rec_id long"))
+        live = {k: t for k, t in live.items() if k not in gone}
+        if step == 2:
+            assert runs.compact() and not runs.compact()
+        got, want = runs.read(), entries(frame(live))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert {r.rec_id for r in forward.prefix_join(runs.read(), spark.createDataFrame([(0, "4 oak")], "qid long, qn string")).collect()} == {k for k, t in live.items() if t.startswith("4 oak")}
+    written = runs._merged
+
+    def slow(changes):
+        runs.put(frame({77: "new"}))  # while it is compacted
+        return written(changes)
+
+    runs._merged = slow
+    assert not runs.compact()
+    runs._merged = written
+    assert runs.read().filter("rec_id = 77").count() == 2

@@ -139,3 +139,5 @@ def test_sql_functions(spark):
 
     assert "normalize_for_match" in register(spark)
     assert spark.sql("select normalize_for_match('1 North Main Street') as a, address_soundex('Robert') as b, strict_double(' 1') as c").first() == ("1 main st", "R163", None)
+    assert spark.sql("select parse_address('12 Oak St, Town, IL').house_number as a, extract_unit('1 Main St Apt 5, Town').unit as b, parse_address(null) is null as c").first()[:2] == ("12", "5")
+    assert not hasattr(__import__("placebook.functions.sql", fromlist=["sql"]), "_sql")
