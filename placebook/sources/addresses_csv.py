@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.text import csv_full_text, parsed_float
+from placebook.sources import csv_lines
 from placebook.sources.rows import as_records, placed
+from placebook.sources.staging import staged
 
 # The header names of each field, the first one present wins.
 ALIASES = {
@@ -33,19 +35,26 @@ def _positions(header: list[str]) -> dict[str, int]:
     return {k: v for k, v in found.items() if v is not None}
 
 
-def read(spark: SparkSession, path: str, start: int = 0, multi_line: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     """Records of a CSV file or folder. Rows whose coordinates are no numbers are left out; a row with another number of fields fails the job.
 
-    Fields may hold line breaks, for which a file is read by one task; without such fields ``multi_line=False``
-    splits large files.
+    Fields may hold line breaks, and files are read in splits all the same (see csv_lines.py). Lines end with a line feed,
+    with or without a carriage return; a file of carriage returns alone is one task's.
     """
-    plain = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    first = plain.option("header", False).option("inferSchema", False).csv(path).first()
+    plain = {"quote": '"', "escape": '"'}
+    first = spark.read.options(**plain, multiLine=True, header=False, inferSchema=False).csv(path).first()
     header = [x or "" for x in first] if first else []
     at = _positions(header)
     names = [f"c{k}" for k in range(len(header))]
-    table = plain.option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).option("columnPruning", False)
-    rows = placed(table.schema(", ".join(f"{n} string" for n in names)).csv(path))
+    schema = ", ".join(f"{n} string" for n in names)
+    if spark.read.option("lineSep", "\n").text(path).filter(F.col("value").rlike("\r[^\r\n]")).isEmpty():
+        found = staged(csv_lines.records(spark, path), "records")
+        head = found.groupBy("_file").agg(F.min(F.struct("_block", "_row")).alias("h")).select("_file", "h.*", F.lit(True).alias("_head"))  # a row for each file
+        found = found.join(head, ["_file", "_block", "_row"], "left").filter("_head is null")
+        rows = found.withColumn("_c", F.from_csv("value", schema, {**plain, "mode": "FAILFAST"})).select("_c.*", "_file", "_block", "_row")
+    else:
+        table = spark.read.options(**plain, multiLine=True, header=True, mode="FAILFAST", enforceSchema=True, columnPruning=False)
+        rows = placed(table.schema(schema).csv(path))
     # every column is read, so that a ragged row is noticed
     rows = rows.withColumn("_all", F.concat_ws("", *names))
     text = {field: F.nullif(F.col(f"c{k}"), F.lit("")) for field, k in at.items()}

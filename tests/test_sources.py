@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import random
 import struct
@@ -10,7 +12,7 @@ from placebook.operators import forward
 from placebook.operators.index import entries
 from placebook.operators.index_runs import IndexRuns
 from placebook.schema import RECORDS
-from placebook.sources import addresses_csv, geojson, loader, osm, osm_pbf, rows, store
+from placebook.sources import addresses_csv, csv_lines, geojson, loader, osm, osm_pbf, rows, store
 from placebook.sources.staging import put_once
 
 
@@ -33,6 +35,39 @@ def test_csv(spark, tmp_path):
     assert got(again)[-1] == ("5 Elm IL", 7.0, 8.0) and again.agg({"rec_id": "max"}).first()[0] == 3
 
 
+def test_csv_with_quoted_breaks_in_several_tasks(spark, tmp_path):
+    """Splits begin anywhere, inside quoted fields too: all records are those that one reader of the whole file finds, in order."""
+    rng = random.Random(3)
+    bits = ["Main", '""', ",", "\n", '5" pipe', "\r\n", "a,b", "x" * 40, "\n\n", "'", "Ünit"]
+    fields, out = [], ["LON,LAT,NUMBER,STREET,CITY,REGION,POSTCODE"]
+    for k in range(400):
+        street = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 6))) or "s"
+        plain = not any(c in street for c in '",\r\n') or (street.startswith("5") and not any(c in street for c in ",\r\n"))
+        fields.append((street.replace('""', '"') if not plain else street, str(k)))
+        quoted = street if plain else '"' + fields[-1][0].replace('"', '""') + '"'
+        out.append(f"{k},1,,{quoted},T,,{k}")
+    path = tmp_path / "a.csv"
+    path.write_bytes("\n".join(out).encode())
+    want = list(csv.reader(io.StringIO("\n".join(out), newline="")))[1:]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = csv_lines.records(spark, str(path))
+        found = [r.value for r in lines.orderBy("_block", "_row").collect()]
+        assert spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [next(csv.reader(io.StringIO(v, newline=""))) for v in found[1:]] == want and len(want) == 400
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        df = addresses_csv.read(spark, str(path))
+        assert [(r.address.street, r.address.postcode) for r in df.orderBy("rec_id").collect()] == [(w[3], w[6]) for w in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got(addresses_csv.read(spark, put(tmp_path, "mac.csv", "LON,LAT,STREET\r1,2,A\r3,4,B"))) == [("A", 1.0, 2.0), ("B", 3.0, 4.0)]
+
+
 def test_csv_errors(spark, tmp_path):
     with pytest.raises(addresses_csv.MissingColumn, match="LON"):
         addresses_csv.read(spark, put(tmp_path, "a.csv", "LAT,STREET\n1,A\n"))
