@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.text import osm_full_text, parsed_float
+from placebook.sources import json_items
 from placebook.sources.rows import as_records, placed
 from placebook.sources.staging import staged
 
@@ -31,14 +32,31 @@ def address_of(tag) -> tuple[Column, Column]:
 
 
 def read_json(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """Records of Overpass JSON, one document a file: elements with a position (their own, or a centre) and a street or a name."""
-    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"))
+    """Records of Overpass JSON, one document a file: elements with a position (their own, or a centre) and a street or a name; a file of more than one split is read in splits."""
+    if json_items.large(spark, path):
+        try:
+            found, there = json_items.items(spark, path, "elements")
+        except json_items.NotWhole as e:
+            raise MalformedDocument(path) from e
+        files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
+        found = staged(found.select("_file", "_block", "_row", "_pos", F.to_json("item").alias("value")), "items")
+        if not files.join(there, "_file", "left_anti").isEmpty() or not files.join(found, "_file", "left_anti").isEmpty():
+            raise NoElements(path)
+        # an item is checked and read as a document of its own
+        docs = found.select(F.concat(F.lit('{"elements":['), "value", F.lit("]}")).alias("value"), "_file", "_block", F.struct("_row", "_pos").alias("_at"))
+        return _elements(docs, path, start)
+    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"), F.struct(F.lit(0).cast("long").alias("_row"), F.lit(0).alias("_pos")).alias("_at"))
+    return _elements(docs, path, start)
+
+
+def _elements(docs: DataFrame, path: str, start: int) -> DataFrame:
+    """The records of documents (value, _file, _block, _at), read typed and checked."""
     read = docs.withColumn("d", F.from_json("value", ELEMENTS.replace(": ", ":"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     # from_json turns numbers into text where text is due; a typed reader does not
     loose = F.expr("exists(coalesce(from_json(value, 'struct<elements:array<struct<tags:map<string,variant>>>>').elements, array()), e -> exists(map_entries(e.tags), t -> (t.key like 'addr:%' or t.key = 'name') and schema_of_variant(t.value) not in ('STRING', 'VOID')))")
     fault = F.when(F.col("d").isNull() | F.col("d._bad").isNotNull() | loose, "malformed").when(F.expr("coalesce(size(d.elements), 0) <= 0"), "none")
     # parsed once, for the checks and for the records
-    parsed = staged(read.withColumn("_fault", fault).select("_file", "_block", "_fault", F.expr("posexplode_outer(d.elements)").alias("_row", "e")), "elements")
+    parsed = staged(read.withColumn("_fault", fault).select("_file", "_block", "_at", "_fault", F.expr("posexplode_outer(d.elements)").alias("_row", "e")), "elements")
     faults = {r["_fault"] for r in parsed.select("_fault").distinct().collect()}  # three values at most
     if "malformed" in faults:
         raise MalformedDocument(path)
@@ -49,10 +67,10 @@ def read_json(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     tag = lambda name: F.col(f"e.tags.`{name}`")
     address, text = address_of(tag)
     kept = rows.select(
-        "_file", "_block", "_row", F.when(own, F.col("e.lat")).otherwise(F.col("e.center.lat")).alias("lat"), F.when(own, F.col("e.lon")).otherwise(F.col("e.center.lon")).alias("lon"),
+        "_file", "_block", "_at", "_row", F.when(own, F.col("e.lat")).otherwise(F.col("e.center.lat")).alias("lat"), F.when(own, F.col("e.lon")).otherwise(F.col("e.center.lon")).alias("lon"),
         address.alias("address"), text.alias("_t"), (tag("addr:street").isNotNull() | tag("name").isNotNull()).alias("_some"),
     )
-    return as_records(kept.filter("lat is not null and lon is not null and _some and _t <> ''"), ["_row"], start)
+    return as_records(kept.filter("lat is not null and lon is not null and _some and _t <> ''"), ["_at", "_row"], start)
 
 
 def read_tsv(spark: SparkSession, path: str, start: int = 0) -> DataFrame:

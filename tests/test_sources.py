@@ -12,7 +12,7 @@ from placebook.operators import forward
 from placebook.operators.index import entries
 from placebook.operators.index_runs import IndexRuns
 from placebook.schema import RECORDS
-from placebook.sources import addresses_csv, csv_lines, geojson, loader, osm, osm_pbf, rows, store
+from placebook.sources import addresses_csv, csv_lines, geojson, json_items, loader, osm, osm_pbf, rows, store
 from placebook.sources.staging import put_once
 
 
@@ -68,6 +68,41 @@ def test_csv_with_quoted_breaks_in_several_tasks(spark, tmp_path):
     assert got(addresses_csv.read(spark, put(tmp_path, "mac.csv", "LON,LAT,STREET\r1,2,A\r3,4,B"))) == [("A", 1.0, 2.0), ("B", 3.0, 4.0)]
 
 
+def test_large_json_documents_in_several_tasks(spark, tmp_path):
+    """One line of JSON with braces, brackets and quotes in its texts, objects beside the array and items that are none: splits give what one reading gives."""
+    rng = random.Random(4)
+    texts = ["a}b", "[{", '"', "\\\\", '\\"}', "plain", "}]", "é{}", '"features":[', "x" * 30]
+    features = []
+    for k in range(300):
+        name = f"{k} " + "".join(rng.choice(texts) for _ in range(rng.randrange(0, 4))) + "."
+        feature = {"type": "Feature", "properties": {"deep": {"a": [{"b": 1}, [2]]}, "name": name}, "geometry": {"type": "Point", "coordinates": [k, 1.5]}}
+        features.append(rng.choice([feature, feature, feature, {}, 7, "text}", None, [{"x": {}}], {"geometry": None}]))
+    document = {"type": "FeatureCollection", "crs": {"properties": {"name": "features", "features": [{"no": 1}]}}, "bbox": [1, 2], "features": features, "more": [{"a": {}}, {"b": []}], "end": {"z": {}}}
+    path = put(tmp_path, "a.geojson", json.dumps(document, ensure_ascii=False) + rng.choice(["", "\n"]))
+    want = [(f["properties"]["name"], float(f["geometry"]["coordinates"][0]), 1.5) for f in features if isinstance(f, dict) and f.get("geometry")]
+    elements = [{"type": "node", "lat": 1.0, "lon": float(k), "tags": {"name": f"n{k}" + "".join(rng.choice(texts) for _ in range(3))}} for k in range(200)] + [{"type": "way", "tags": {}}]
+    other = put(tmp_path, "b.json", json.dumps({"version": 0.6, "osm3s": {"t": {"elements": [1]}}, "elements": elements}, indent=1))
+    assert got(geojson.read(spark, path)) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert json_items.large(spark, path) and spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 5
+        assert got(geojson.read(spark, path)) == want
+        assert got(osm.read_json(spark, other)) == [(e["tags"]["name"], e["lon"], 1.0) for e in elements[:-1]]
+        for name, text, error in [
+            ("c.geojson", '{"type": "FeatureCollection", "other": [' + '{"a": 1},' * 300 + "{}]}", geojson.NotFeatureCollection), ("d.geojson", json.dumps(document)[:-3], json_items.NotWhole),
+        ]:
+            with pytest.raises(error):
+                geojson.read(spark, put(tmp_path, name, text))
+        for name, text, error in [
+            ("e.json", '{"elements": [], "other": [' + '{"a": 1},' * 300 + "{}]}", osm.NoElements), ("f.json", json.dumps({"elements": elements})[:-1], osm.MalformedDocument),
+            ("g.json", json.dumps({"elements": [*elements, {"type": "node", "lat": 1, "lon": 2, "tags": {"addr:street": 7}}]}), osm.MalformedDocument),
+        ]:
+            with pytest.raises(error):
+                osm.read_json(spark, put(tmp_path, name, text))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_errors(spark, tmp_path):
     with pytest.raises(addresses_csv.MissingColumn, match="LON"):
         addresses_csv.read(spark, put(tmp_path, "a.csv", "LAT,STREET\n1,A\n"))
