@@ -24,7 +24,7 @@ turns together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.llm._store import table
@@ -50,19 +50,29 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     ``n_repeated`` turns at the window's start are repeated from earlier windows. ``loss`` has the (start, length)
     of each masked span of ``formatted`` in code points, from 0.
     """
-    told = turns.select("conv_id", F.struct("turn", F.expr("coalesce(role, '')").alias("role"), F.expr("coalesce(text, '')").alias("text")).alias("t"))
-    talks = told.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    told = turns.select("conv_id", "turn", F.expr("coalesce(role, '')").alias("role"), F.expr("coalesce(text, '')").alias("text"))
+    told = told.withColumns({
+        "head": F.expr(f"concat('### ', replace({escaped('role')}, ': ', ':\\\\ '), ': ')"), "body": F.expr(escaped("text")),
+        "tokens": F.expr("cast(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') + 4 as bigint)"),
+    })
+    # prefix sums over the turns in order; what follows gathers each conversation's turns with them
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = told.select(
+        "conv_id", F.struct(
+            F.row_number().over(order).alias("n"), F.sum("tokens").over(so_far).alias("p"), F.sum(F.expr("length(head) + length(body) + 8L")).over(so_far).alias("c"),
+            (F.col("role") == "system").alias("system"), (F.col("role") == "assistant").alias("target"), "head", "body",
+        ).alias("t"),
+    )
+    talks = summed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("parts"))
     steps = [
-        ("parts", f"""transform(t, x -> struct(
-            concat('### ', replace({escaped('x.role')}, ': ', ':\\\\ '), ': ') as head, {escaped('x.text')} as body, x.role = 'assistant' as target,
-            regexp_count(x.text, '[^\\\\x20\\\\x09-\\\\x0D]+') + 4 as tokens))"""),
-        ("p", "aggregate(parts, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x.tokens))"),
-        ("c", "aggregate(parts, array(0L), (a, x) -> array_append(a, element_at(a, -1) + length(x.head) + length(x.body) + 8))"),
-        ("n_sys", "if(t[0].role = 'system', 1, 0)"),
+        ("p", "concat(array(0L), transform(parts, x -> x.p))"),
+        ("c", "concat(array(0L), transform(parts, x -> x.c))"),
+        ("n_sys", "if(parts[0].system, 1, 0)"),
         ("room", f"greatest(1L, {budget} - {history} - p[n_sys])"),
-        ("starts", """aggregate(filter(sequence(0, size(t) - 1), i -> i > n_sys), array(0),
+        ("starts", """aggregate(filter(sequence(0, size(parts) - 1), i -> i > n_sys), array(0),
             (a, i) -> if(i > element_at(a, -1) and p[i + 1] - p[greatest(element_at(a, -1), n_sys)] > room, array_append(a, i), a))"""),
-        ("w", f"""explode(transform(starts, (a, k) -> struct(k, a, coalesce(get(starts, k + 1), size(t)) as b,
+        ("w", f"""explode(transform(starts, (a, k) -> struct(k, a, coalesce(get(starts, k + 1), size(parts)) as b,
             if(k = 0, 0, filter(sequence(n_sys, a), j -> p[a] - p[j] <= {history})[0]) as h)))"""),
     ]
     for name, sql in steps:
