@@ -103,3 +103,35 @@ def test_other_layouts_and_edge_rows(spark, sf):
     assert [k for k, _ in got] == [0, 1, 2, 3, 3] and [n > 0 for _, n in got] == [False, False, False, True, True]
     assert extracted(odd.limit(0), fit(odd.limit(0))).count() == 0
     assert vectors([]).shape[0] == 0
+
+
+def plain_scores(labeller, blocks):
+    """The network block by block and cell by cell, as its definition says."""
+    x, hidden = vectors([blocks]).astype(np.float64), labeller.u[0].shape[0]
+    total = np.full(len(blocks), float(labeller.bias[0]))
+    for way in (0, 1):
+        w, u, b = (v[way].astype(np.float64) for v in (labeller.w, labeller.u, labeller.b))
+        h, c = np.zeros(hidden), np.zeros(hidden)
+        for t in range(len(blocks)) if way == 0 else reversed(range(len(blocks))):
+            z = x[t] @ w + h @ u + b
+            for k in range(hidden):
+                i, f, o = (1 / (1 + np.exp(-z[gate * hidden + k])) for gate in range(3))
+                c[k] = f * c[k] + i * np.tanh(z[3 * hidden + k])
+                h[k] = o * np.tanh(c[k])
+            total[t] += h @ labeller.out[way * hidden : (way + 1) * hidden]
+    return total
+
+
+def test_query_against_brute_force(spark, sf):
+    """Every page of the table: the texts of the blocks that a plain block-by-block network takes."""
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    labeller = fit(table)
+    got = {r.page_id: (r.text, r.n_chars) for r in extracted(table, labeller).collect()}
+    pages = table.collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        blocks = blocks_of(r.html or "")
+        scores = plain_scores(labeller, blocks) if blocks else []
+        want = "\n\n".join(b.text for b, s in zip(blocks, scores) if s > 0)
+        assert got[r.page_id] == (want, len(want)) or any(abs(s) < 1e-4 for s in scores)
+    assert {r.page_id: r.text for r in op9_html_text(spark, sf).collect()} == {k: t for k, (t, _) in got.items()}
