@@ -321,6 +321,12 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
+def _number(docs: DataFrame):
+    """The id that an example is named by: doc_id if that is a whole number, else a hash of it."""
+    whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    return F.col("doc_id").cast("long") if whole else F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64("doc_id"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int = EXAMPLES, seed: int = 7) -> Index:
     """The index over at most ``examples`` labelled rows of each label; the driver holds only these, as terms and counts."""
     known = learnable(labels, column)
@@ -330,7 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
         return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), nothing, empty_score=float(next(iter(odds), 0)))
     ids = bounded_sample(known, odds, examples, seed)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * examples ids at most
-    sample = written(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "examples")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = written(sample.select(_number(docs).alias("doc_id"), "label", "text"), "examples")
 
     def vectors(batches):
         for part in slices(batches):

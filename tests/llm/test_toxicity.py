@@ -168,3 +168,14 @@ def test_cosine_is_over_all_terms_of_the_examples(spark):
         asked = vector(k)
         want = sorted((-round(sum(x * v.get(t, 0) for t, x in asked.items()), 6), e) for e, v in own.items())[:15]
         assert np.allclose([e.similarity for e in got[k]], [-s for s, _ in want if s < 0], atol=3e-6)
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Text ids are passed through; evidence names examples by the number in their id, or a hash of it."""
+    rows = [(f"doc-{k}" if k % 3 else str(k), ("you vile awful thing go away " if k % 2 else "the river runs past the old mill ") * (1 + k % 4)) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "a vile awful thing"), ("", "")], "doc_id string, text string")
+    labels = spark.createDataFrame([(name, k % 2) for k, (name, _) in enumerate(rows)], "doc_id string, toxic int")
+    got = {r.doc_id: r for r in scored(docs, fit(docs, labels)).collect()}
+    assert set(got) == {name for name, _ in rows} | {None, ""}
+    assert all(0 <= r.score <= 1 for r in got.values()) and got["doc-1"].score > 0.5 > got["doc-2"].score
+    assert {e.label for e in got[None].evidence} == {1} and all(isinstance(e.doc_id, int) for e in got[None].evidence)
