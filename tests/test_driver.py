@@ -53,7 +53,7 @@ def test_without_the_llm_folders(tmp_path):
     shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     assert listed(tmp_path).endswith("[]")
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
-    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_text.py", "tests/test_access.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests", "-k", "not without_the_llm and not cannot_be_imported and not equals_oracle"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1500)
     assert done.returncode == 0, done.stdout[-800:]
 
 
