@@ -27,6 +27,8 @@ ENTRIES = 4
 PARTS, DRAWN = 4, 64  # ranges for each shuffle partition, and keys that are drawn for each range to cut by
 MOST_PARTS = 1 << 13
 NOTHING = (1 << 31) - 1
+FEW = 10_000  # ranges more than four for each text that may be read before their sizes are counted
+_KEPT: dict[tuple, list[str]] = {}
 
 
 def with_seen(entries: DataFrame) -> DataFrame:
@@ -61,6 +63,16 @@ def bounds_of(rows: DataFrame, column: str, parts: int) -> list[str]:
     return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
 
 
+def _index_bounds(index: DataFrame, parts: int) -> list[str]:
+    """bounds_of() the keys of an index, kept for its next use: any bounds are right, they only tell how even the ranges are."""
+    which = (index.sparkSession.sparkContext.applicationId, index.semanticHash(), parts)
+    if which not in _KEPT:
+        while len(_KEPT) >= 64:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[which] = bounds_of(index, "full_key", parts)
+    return _KEPT[which]
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -166,15 +178,15 @@ def hits_of(index: DataFrame, texts: DataFrame, limit: int | None = None) -> Dat
     if limit == 0:
         return spark.createDataFrame([], "tid long, rank long, rec_id long")
     parts = min(MOST_PARTS, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = bounds_of(index, "full_key", parts)
-    enough = None
-    if limit < NOTHING:  # ranges inside an interval are hits as a whole: where one begins, these are enough
+    bounds = _index_bounds(index, parts)
+    routed = staged(_route(texts, bounds, None), "routed")
+    if limit < NOTHING and routed.count() > 4 * texts.count() + FEW:
+        # many wide intervals: ranges inside one are hits as a whole, so where it begins, these are enough
         size = np.zeros(len(bounds) + 1, np.int64)
         for row in _keyed(index, bounds).groupBy("part").count().collect():  # MOST_PARTS rows at most
             size[row["part"]] = row["count"]
         whole = np.cumsum(size)
-        enough = [int(np.searchsorted(whole, whole[p] + ENTRIES * limit)) for p in range(len(size))]
-    routed = staged(_route(texts, bounds, enough), "routed")
+        routed = staged(_route(texts, bounds, [int(np.searchsorted(whole, whole[p] + ENTRIES * limit)) for p in range(len(size))]), "routed")
     used = np.zeros(len(bounds) + 1, bool)
     used[[r["part"] for r in routed.select("part").distinct().collect()]] = True  # MOST_PARTS rows at most
     both = routed.unionByName(_keyed(index, bounds, used)).repartition(parts, "part").sortWithinPartitions("part", "text", "kind")

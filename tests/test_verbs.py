@@ -297,7 +297,7 @@ def test_prefix_join_reads_each_key_once(spark, index, model):
     assert {r.qid for r in forward.missed(index, asked).collect()} == {k for k, t in enumerate(texts) if not prefix_hits(model, t)}
 
 
-def test_merges_over_many_batches_and_ranges(spark):
+def test_merges_over_many_batches_and_ranges(spark, monkeypatch):
     """Intervals that go on over batches and ranges keep their order and their limit."""
     rng = random.Random(8)
     rows = [(i, k, "".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))) for i in range(1500) for k in range(rng.choice([1, 2, 4]))]
@@ -307,7 +307,8 @@ def test_merges_over_many_batches_and_ranges(spark):
     asked = spark.createDataFrame(list(enumerate(texts)), "qid long, qn string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        for limit in (None, 7, 400):
+        for limit, few in ((None, 0), (7, 10_000), (7, -100), (400, -100)):
+            monkeypatch.setattr(ordered, "FEW", few)
             got = {}
             for r in forward.prefix_join(index, asked, limit).orderBy("qid", "rank").collect():
                 got.setdefault(r.qid, []).append(r.rec_id)
