@@ -6,13 +6,15 @@ the vocabulary; inverse document frequencies count all documents.  A term that
 no example holds can meet nothing and has no weight.
 
 The examples form an inverted index: for each term the examples that hold it.
-Rare terms are added up from their lists.  The terms of most examples, function
-words above all, are columns of a matrix, in blocks of ``BLOCK`` examples that
-are alike (one language, say), with the largest weight of each term in each
-block.  What the rare terms give and the block maxima bound what a block can
-score; a block that cannot beat the k-th of some examples already scored is
-skipped, so the neighbours are exact: what single precision leaves among the
-best is summed again in double precision.
+Examples that are alike (one language, say) stand in the same blocks of
+``BLOCK``, and ``SPAN`` blocks have columns of their own: the terms that most of
+their examples hold, function words above all, in a matrix, with the largest
+weight of each term in each block.  An example that holds a term which is no
+column of its span is in that term's list; lists are added up.  What the lists
+give and the block maxima bound what a block can score; a block that cannot beat
+the k-th of some examples already scored is skipped, so the neighbours are
+exact: what single precision leaves among the best is summed again in double
+precision.
 They vote with the fourth power of their similarity, and a logistic curve,
 fitted on the examples' own leave-one-out votes at the labels' odds, turns the
 vote and the mean cosine to all examples of each label into a probability.
@@ -30,6 +32,7 @@ columns are not inputs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,8 @@ from placebook.llm._labels import bounded_sample, held_out, learnable
 from placebook.llm._store import table, written
 from placebook.llm._words import Texts, mix, slices
 
-EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
-COLUMNS, BATCH, SLACK = 768, 64, 1e-5  # terms held as columns; texts scored together; error of a sum in single precision
+EXAMPLES, NEIGHBOURS, BLOCK, SPAN = 3000, 15, 64, 8
+COLUMNS, BATCH, SLACK = 768, 64, 1e-5  # terms that a span holds as columns; texts scored together; error of a sum in single precision
 STEMS = (4, 5, 6, 7, 8)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -83,21 +86,51 @@ def _grouped(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[at], term[at], np.diff(np.append(at, len(text)))
 
 
-def _known(texts: Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(term: np.ndarray, bits: int) -> np.ndarray:
+    """The high bits of each term, in the terms' order."""
+    return ((term.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _starts(vocabulary: np.ndarray) -> np.ndarray:
+    """Where the terms with the same high bits begin in the sorted vocabulary, for every value of about as many bits as it has terms."""
+    bits = max(1, len(vocabulary).bit_length())
+    out = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount(_bucket(vocabulary, bits), minlength=1 << bits), out=out[1:])
+    return out
+
+
+def _places(vocabulary: np.ndarray, starts: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The index of each term in the sorted vocabulary, -1 where it has none; terms are hashes, so few have equal high bits."""
+    bucket = _bucket(term, len(starts).bit_length() - 1)
+    at, stop = starts[bucket], starts[bucket + 1]
+    out = np.full(len(term), -1, np.int64)
+    left = np.flatnonzero(at < stop)
+    at, stop, term = at[left], stop[left], term[left]
+    while len(left):
+        hit = vocabulary[at] == term
+        out[left[hit]] = at[hit]
+        at += 1
+        more = np.flatnonzero(~hit & (at < stop))
+        left, at, stop, term = left[more], at[more], stop[more], term[more]
+    return out
+
+
+def _known(texts: Texts, vocabulary: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, index in the sorted vocabulary, count) of the terms that the vocabulary has, sorted."""
     text, term, _ = terms(texts)
     size = max(len(vocabulary), 1)
-    at = np.minimum(np.searchsorted(vocabulary, term), size - 1)
-    hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
+    at = _places(vocabulary, _starts(vocabulary) if starts is None else starts, term)
+    hit = at >= 0
     key, count = _runs(np.sort(text[hit] * size + at[hit]))
-    return key // size, key % size, count
+    text = key // size
+    return text, key - text * size, count
 
 
 @dataclass
 class Index:
     """Examples by term: ``entries`` are (example, entries of each term of the vocabulary, count) in order of term and example.
 
-    ``peak`` has the largest weight of each column in each block.
+    ``peak`` has the largest weight of each column in each block; ``column`` the column of each term in each span, or -1.
 
     ``stands_for`` has the labelled rows that an example of label 0 and of label 1 stands for in the sample.
     """
@@ -118,29 +151,55 @@ class Index:
         example, times, count = self.entries
         size, n = len(self.vocabulary), len(self.ids)
         term = np.repeat(np.arange(size), times)
-        self.first = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
         example = example.astype(np.int64)
         weight = self.weigh(example, term, count, n)
         self.n_blocks = max(1, -(-n // BLOCK))
-        common = np.argsort(-times.astype(np.int64), kind="stable")[:COLUMNS]
-        common = common[times[common] >= max(BLOCK // 4, n // 50)]
-        self.column = np.full(size, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        in_column = self.column[term] >= 0
-        columns = np.zeros((n, len(common)), np.float32)
-        columns[example[in_column], self.column[term[in_column]]] = weight[in_column]
         # places: examples that share common terms, a language's above all, stand in the same blocks
-        self.order = _alike_together(columns)
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        self.place = place
-        self.columns = np.zeros((self.n_blocks * BLOCK, len(common)), np.float32)
-        self.columns[:n] = columns[self.order]
-        self.peak = self.columns.reshape(self.n_blocks, BLOCK, -1).max(axis=1).T.copy()
-        self.posted, self.weight = place[example].astype(np.int32), weight
+        self.order = _alike_together(self._common(example, term, weight, n))
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        place = self.place[example]
+        spans = range(0, self.n_blocks * BLOCK, SPAN * BLOCK)
+        self.column = np.full((size, len(spans)), -1, np.int16)
+        self.columns = np.zeros((self.n_blocks * BLOCK, COLUMNS), np.float32)
+        listed = np.ones(len(term), bool)
+        for k, start in enumerate(spans):
+            own = np.flatnonzero((place >= start) & (place < start + SPAN * BLOCK))
+            held = np.bincount(term[own], minlength=size)
+            common = np.flatnonzero(held >= BLOCK // 4)
+            common = common[np.argsort(-held[common], kind="stable")[:COLUMNS]]
+            self.column[common, k] = np.arange(len(common))
+            own = own[self.column[term[own], k] >= 0]
+            self.columns[place[own], self.column[term[own], k]] = weight[own]
+            listed[own] = False
+        wide = int(self.column.max(initial=-1)) + 1
+        self.columns = self.columns[:, :wide].copy() if wide < COLUMNS else self.columns
+        self.peak = self.columns.reshape(self.n_blocks, BLOCK, -1).max(axis=1)
+        self.has_column = (self.column >= 0).any(axis=1)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term[listed], minlength=size))])
+        # place and weight side by side, to be read at once
+        posted = np.empty((int(listed.sum()), 2), np.int32)
+        posted[:, 0], posted[:, 1] = place[listed], weight[listed].view(np.int32)
+        self.posted = posted.reshape(-1).view(np.int64)
         self.members = [float((self.label == k).sum()) for k in (0, 1)]
         self.middle = [np.bincount(term, weight * (self.label[example] == k), minlength=size) for k in (0, 1)]
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return _starts(self.vocabulary)
+
+    def _common(self, example, term, weight, n: int) -> np.ndarray:
+        """The examples' weights of the terms that most of them hold."""
+        times = self.entries[1]
+        common = np.argsort(-times.astype(np.int64), kind="stable")[:COLUMNS]
+        common = common[times[common] >= max(BLOCK // 4, n // 50)]
+        column = np.full(len(times), -1, np.int32)
+        column[common] = np.arange(len(common))
+        some = np.flatnonzero(column[term] >= 0)
+        out = np.zeros((n, len(common)), np.float32)
+        out[example[some], column[term[some]]] = weight[some]
+        return out
+
     def shared(self, spark: SparkSession) -> Broadcast:
         """The index as one broadcast, bounded by EXAMPLES."""
         if not hasattr(self, "_shared"):
@@ -168,11 +227,12 @@ class Index:
         return best, sims
 
     def _listed(self, row, term, weight, n: int) -> np.ndarray:
-        """What the terms that are no columns give each text with each place, from their lists."""
+        """What the lists give each text with each place."""
         out = np.zeros((n, self.n_blocks * BLOCK))
-        some = self.column[term] < 0
-        row, weight, lo = row[some], weight[some].astype(np.float64), self.first[term[some]]
-        held = self.first[term[some] + 1] - lo
+        lo = self.first[term]
+        held = self.first[term + 1] - lo
+        some = held > 0
+        row, weight, lo, held = row[some], weight[some].astype(np.float64), lo[some], held[some]
         bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if a == b:
@@ -181,32 +241,43 @@ class Index:
             ends = np.cumsum(many)
             entry = np.repeat(lo[a:b] - (ends - many), many)
             entry += np.arange(ends[-1])
+            posted = self.posted.take(entry).view(np.int32)
             value = np.repeat(weight[a:b], many)
-            value *= self.weight.take(entry)
-            out[i] = np.bincount(self.posted.take(entry), value, minlength=out.shape[1])
+            value *= posted[1::2].view(np.float32)
+            np.add.at(out[i], posted[::2].astype(np.int64), value)
+        return out
+
+    def _asked(self, row, term, weight, n: int) -> np.ndarray:
+        """The weights of each text in the columns of each span."""
+        out = np.zeros((self.column.shape[1], n, self.columns.shape[1]), np.float32)
+        some = np.flatnonzero(self.has_column[term])
+        column = self.column[term[some]]
+        at, span = np.nonzero(column >= 0)
+        out[span, row[some[at]], column[at, span]] = weight[some[at]]
         return out
 
     def _score(self, row, term, weight, own, best, sims) -> None:
         """Fill ``best`` and ``sims`` for a few texts: the lists, then the columns of each block that may reach the k-th similarity."""
         n, size, k = len(best), len(self.columns), min(best.shape[1], len(self.columns))
-        score = self._listed(row, term, weight, n)
-        column = self.column[term]
-        asked = np.zeros((n, self.columns.shape[1]), np.float32)
-        asked[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        score, asked = self._listed(row, term, weight, n), self._asked(row, term, weight, n)
         if own is not None:
             score[np.arange(n), self.place[own]] = -np.inf
-        few = np.argpartition(score, size - k, axis=1)[:, size - k :]
-        least = (np.take_along_axis(score, few, axis=1) + np.matmul(self.columns[few], asked[:, :, None])[:, :, 0]).min(axis=1)
-        reach = score.reshape(n, self.n_blocks, BLOCK).max(axis=2) + asked @ self.peak
-        # sums in single precision are right to SLACK; what may be among the best is then summed in double precision
+        few = _high(score, k)
+        least = np.take_along_axis(score, few, axis=1)
+        least += np.einsum("ijk,ijk->ij", self.columns[few], asked[few // (SPAN * BLOCK), np.arange(n)[:, None]])
+        least = least.min(axis=1)
+        reach = score.reshape(n, self.n_blocks, BLOCK).max(axis=2)
+        for span, start in enumerate(range(0, self.n_blocks, SPAN)):
+            reach[:, start : start + SPAN] += asked[span] @ self.peak[start : start + SPAN].T
         needed = (reach > 0) & (reach >= least[:, None] - SLACK)
         rough = np.full((n, size), -np.inf, np.float32)
         for block in np.flatnonzero(needed.any(axis=0)).tolist():
             span, some = slice(block * BLOCK, (block + 1) * BLOCK), np.flatnonzero(needed[:, block])
-            rough[some, span] = score[some, span] + asked[some] @ self.columns[span].T
-        least = np.partition(rough, size - k, axis=1)[:, size - k]
+            rough[some, span] = score[some, span] + asked[block // SPAN][some] @ self.columns[span].T
+        least = np.take_along_axis(rough, _high(rough, k), axis=1).min(axis=1)
+        # sums in single precision are right to SLACK; what may be among the best is then summed in double precision
         doc, at = np.nonzero(rough >= np.maximum(least - SLACK, -1)[:, None])
-        exact = score[doc, at] + np.einsum("ij,ij->i", self.columns[at], asked[doc], dtype=np.float64)
+        exact = score[doc, at] + np.einsum("ij,ij->i", self.columns[at], asked[at // (SPAN * BLOCK), doc], dtype=np.float64)
         # equal vectors may differ in the last bits of their sums
         exact = np.round(exact, 12)
         some = exact > 0
@@ -244,6 +315,17 @@ class Index:
         return np.where(np.isnan(vote), self.empty_score, 1 / (1 + np.exp(-np.clip(x @ slope, -30, 30))))
 
 
+def _high(score: np.ndarray, k: int, depth: int = 16) -> np.ndarray:
+    """k places of each row with high values, the highest or nearly: each is the highest of ``depth`` that stand far apart."""
+    n, size = score.shape
+    if size % depth or size < 4 * k * depth:
+        return np.argpartition(score, size - k, axis=1)[:, size - k :]
+    wide = size // depth
+    apart = score.reshape(n, depth, wide)
+    place = np.argpartition(apart.max(axis=1), wide - k, axis=1)[:, wide - k :]
+    return np.take_along_axis(apart, place[:, None], axis=2).argmax(axis=1) * wide + place
+
+
 def _alike_together(columns: np.ndarray, groups: int = 48, rounds: int = 6) -> np.ndarray:
     """An order of the rows in which rows near to each other in angle stand together; equal for equal input."""
     unit = columns / np.maximum(np.linalg.norm(columns, axis=1, keepdims=True), 1e-12)
@@ -291,6 +373,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, hold: float = 0.05) -
     return beta
 
 
+_at_hand: list = []  # what was broadcast, and the index that this process built of it
+
+
+def _index(told: tuple, **fitted) -> Index:
+    """The index of what was broadcast, built once in a process for all its tasks."""
+    if not _at_hand or _at_hand[0] is not told:
+        _at_hand[:] = [told, Index(*told)]
+    index = _at_hand[1]
+    for name, value in fitted.items():
+        setattr(index, name, value)
+    return index
+
+
 def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """How many of all documents hold each term of the vocabulary, and how many there are; each task adds up its own.
 
@@ -299,9 +394,9 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     size, wide = len(vocabulary) + 1, 8192  # the last one counts rows
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        total, starts = np.zeros(size, np.int64), _starts(vocabulary)
         for part in slices(batches):
-            _, term, _ = _known(Texts(part.column(0)), vocabulary)
+            _, term, _ = _known(Texts(part.column(0)), vocabulary, starts)
             total += np.bincount(term, minlength=size)
             total[-1] += part.num_rows
         starts = range(0, size, wide)
@@ -386,14 +481,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
     index.empty_score = bare[1] / max(sum(bare), 1e-9)
     if len(held):
         shared, stands_for = index.shared(docs.sparkSession), index.stands_for
-        made: list[Index] = []
 
         def left_out(batches):
-            if not made:
-                made.append(Index(*shared.value, stands_for=stands_for))
-            ix = made[0]
+            ix = _index(shared.value, stands_for=stands_for)
             for batch in slices(batches):
-                text, term, count = _known(Texts(batch.column(2)), ix.vocabulary)
+                text, term, count = _known(Texts(batch.column(2)), ix.vocabulary, ix.starts)
                 n, some = batch.num_rows, np.unique(text)
                 own = np.minimum(np.searchsorted(ix.ids, batch.column(0).to_numpy()), len(ix.ids) - 1)
                 weight = ix.weigh(text, term, count, n)
@@ -413,16 +505,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", examples: int
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every document: evidence has the ids, similarities and labels of its nearest examples."""
     shared = index.shared(docs.sparkSession)
-    rest = (index.slope, index.empty_score, index.stands_for)
-    made: list[Index] = []
+    fitted = {"slope": index.slope, "empty_score": index.empty_score, "stands_for": index.stands_for}
 
     def run(batches):
-        if not made:
-            made.append(Index(*shared.value, *rest))
-        ix = made[0]
+        ix = _index(shared.value, **fitted)
         for part in slices(batches):
             n = part.num_rows
-            text, term, count = _known(Texts(part.column(1)), ix.vocabulary)
+            text, term, count = _known(Texts(part.column(1)), ix.vocabulary, ix.starts)
             weight = ix.weigh(text, term, count, n)
             best, sims = ix.nearest(text, term, weight, n)
             score = ix.probability(best, sims, ix.means(text, term, weight, n))

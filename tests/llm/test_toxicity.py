@@ -5,8 +5,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from placebook.llm import toxicity
 from placebook.llm._words import Texts
-from placebook.llm.toxicity import BLOCK, Index, _fitted, _known, fit, op3_toxicity, scored, terms
+from placebook.llm.toxicity import BLOCK, SPAN, Index, _fitted, _high, _index, _known, _places, _starts, fit, op3_toxicity, scored, terms
 
 
 def random_vectors(rng, n, vocabulary, most):
@@ -179,3 +180,60 @@ def test_ids_that_are_no_numbers(spark):
     assert set(got) == {name for name, _ in rows} | {None, ""}
     assert all(0 <= r.score <= 1 for r in got.values()) and got["doc-1"].score > 0.5 > got["doc-2"].score
     assert {e.label for e in got[None].evidence} == {1} and all(isinstance(e.doc_id, int) for e in got[None].evidence)
+
+
+def test_spans_have_columns_of_their_own(monkeypatch):
+    """Two kinds of examples, each with as many common terms as there are columns: none is left to the lists, and neighbours are those of brute force."""
+    monkeypatch.setattr(toxicity, "COLUMNS", 20)
+    rng = np.random.default_rng(2)
+    n, rare = 4 * SPAN * BLOCK, 300
+    own = [np.sort(np.concatenate([20 * (i // (n // 2)) + rng.choice(20, 8, replace=False), 40 + rng.choice(rare, i % 3, replace=False)])) for i in range(n)]
+    example, term = np.repeat(np.arange(n), [len(t) for t in own]), np.concatenate(own)
+    idf = np.concatenate([rng.uniform(1, 2, 40), rng.uniform(3, 5, rare)])
+    count = rng.integers(1, 5, len(term))
+    index = index_of(example, term, count, idf, np.zeros(n))
+    weight = index.weigh(example, term, count, n)
+    asked = example < 150
+    asked |= (example >= n - 150)
+    text = np.where(example < 150, example, example - n + 300)[asked]
+    best, sims = index.nearest(text, term[asked], weight[asked], 300, own=np.concatenate([np.arange(150), np.arange(n - 150, n)]))
+    assert index.column.shape[1] == 4 and len(index.posted) == (term >= 40).sum()
+    dense = np.zeros((n, len(idf)))
+    dense[example, term] = weight
+    queries = np.concatenate([dense[:150], dense[-150:]])
+    cosine = np.round(queries @ dense.T, 12)
+    cosine[np.arange(300), np.concatenate([np.arange(150), np.arange(n - 150, n)])] = -1
+    for i in range(300):
+        want = np.lexsort((np.arange(n), -cosine[i]))[:15]
+        assert np.allclose(sims[i], cosine[i][want], atol=1e-11)
+        clear = want[cosine[i][want] > cosine[i][want[-1]] + 1e-9]
+        assert set(clear.tolist()) <= set(best[i].tolist())
+
+
+def test_terms_are_found_by_their_high_bits():
+    rng = np.random.default_rng(3)
+    ends = np.iinfo(np.int64)
+    even = rng.integers(ends.min, ends.max, 3000)
+    for vocabulary in (even, np.arange(-50, 50), np.array([ends.min, -1, 0, ends.max]), even[:1], even[:0]):
+        vocabulary = np.unique(vocabulary.astype(np.int64))
+        term = np.concatenate([rng.permutation(vocabulary), even, np.array([ends.min, ends.max, 0, 7, -1])])
+        want = [{t: k for k, t in enumerate(vocabulary.tolist())}.get(t, -1) for t in term.tolist()]
+        assert _places(vocabulary, _starts(vocabulary), term).tolist() == want
+
+
+def test_high_places_are_distinct_and_bound_the_highest():
+    score = np.random.default_rng(4).normal(size=(50, 64 * BLOCK)).astype(np.float32)
+    for rows in (score, score[:, :BLOCK], np.full((2, 64 * BLOCK), -np.inf)):
+        at = _high(rows, 15)
+        assert at.shape == (len(rows), 15) and all(len(set(a.tolist())) == 15 for a in at)
+        highest = np.sort(rows, axis=1)[:, -15:]
+        assert (np.take_along_axis(rows, at, axis=1).min(axis=1) <= highest[:, 0]).all() and (np.take_along_axis(rows, at, axis=1).max(axis=1) == highest[:, -1]).all()
+
+
+def test_a_process_builds_an_index_once():
+    example, term = np.arange(3), np.arange(3)
+    told = [(i.vocabulary, i.idf, i.ids, i.label, i.entries) for i in (index_of(example, term, np.ones(3, np.int64), np.ones(3), np.zeros(3)) for _ in range(2))]
+    first = _index(told[0], stands_for=(1.0, 2.0))
+    again = _index(told[0], stands_for=(3.0, 4.0), empty_score=0.5)
+    assert again is first and again.stands_for == (3.0, 4.0) and again.empty_score == 0.5
+    assert _index(told[1]) is not first
