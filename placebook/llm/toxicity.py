@@ -153,12 +153,15 @@ class Index:
         term = np.repeat(np.arange(size), times)
         example = example.astype(np.int64)
         weight = self.weigh(example, term, count, n)
+        self.members = [float((self.label == k).sum()) for k in (0, 1)]
+        self.middle = [np.bincount(term, weight * (self.label[example] == k), minlength=size) for k in (0, 1)]
         self.n_blocks = max(1, -(-n // BLOCK))
         # places: examples that share common terms, a language's above all, stand in the same blocks
         self.order = _alike_together(self._common(example, term, weight, n))
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
-        place = self.place[example]
+        place = self.place.astype(np.int32)[example]
+        del example
         spans = range(0, self.n_blocks * BLOCK, SPAN * BLOCK)
         self.column = np.full((size, len(spans)), -1, np.int16)
         self.columns = np.zeros((self.n_blocks * BLOCK, COLUMNS), np.float32)
@@ -179,10 +182,9 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term[listed], minlength=size))])
         # place and weight side by side, to be read at once
         posted = np.empty((int(listed.sum()), 2), np.int32)
-        posted[:, 0], posted[:, 1] = place[listed], weight[listed].view(np.int32)
+        posted[:, 0] = place[listed]
+        posted[:, 1] = weight[listed].view(np.int32)
         self.posted = posted.reshape(-1).view(np.int64)
-        self.members = [float((self.label == k).sum()) for k in (0, 1)]
-        self.middle = [np.bincount(term, weight * (self.label[example] == k), minlength=size) for k in (0, 1)]
 
     @cached_property
     def starts(self) -> np.ndarray:
