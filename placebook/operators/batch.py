@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.operators.forward import forward
+from placebook.operators.forward import looked_up, of_texts
 from placebook.schema import ERROR, MATCHED, NO_MATCH, RESULT
 
 
 def batch(records: DataFrame, index: DataFrame, queries: DataFrame, most_results: int | None = None) -> DataFrame:
-    """(qid, q, results, status) of every query: its results in order, at most ``most_results`` (0: none match)."""
-    hits = forward(index, queries)
-    if most_results is not None:
-        hits = hits.filter(F.col("rank") <= most_results)
+    """(qid, q, results, status) of every query: its results in order, at most ``most_results`` (0: none match); no others are looked for."""
+    asked, texts = looked_up(queries)
     result = F.struct("address", "lat", "lon", "confidence", "match_type").cast(RESULT)
-    rows = hits.join(records, "rec_id").select("qid", F.struct("rank", result.alias("r")).alias("h"))
-    lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list("h")).alias("h"))
-    found = queries.select("qid", "q").join(lists, "qid", "left").withColumn("results", F.coalesce(F.col("h.r"), F.array().cast(f"array<{RESULT}>")))
+    rows = of_texts(index, texts, most_results).join(records, "rec_id").select("tid", F.struct("rank", result.alias("r")).alias("h"))
+    lists = rows.groupBy("tid").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    found = asked.join(lists, "tid", "left").withColumn("results", F.coalesce(F.col("h.r"), F.array().cast(f"array<{RESULT}>")))
     return found.select("qid", "q", "results", F.when(F.size("results") > 0, MATCHED).otherwise(NO_MATCH).alias("status"))
 
 
