@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placebook.operators.products import runs_of, tiles
 from placebook.operators.space_tree import SpaceTree, nearest_of
 from placebook.sources.staging import staged
 
 LEAF_SIZE = 64  # records of a leaf, about, where that needs no more leaves than LEAVES
 LEAVES, SAMPLE = 1 << 16, 200_000
 POINTS = 20_000  # points that meet one leaf's records in one task
+SALTS = 16  # tasks that the boxes of one cell are dealt over, at most
 
 
 def squared_distance(lon: Column, lat: Column, x: Column, y: Column) -> Column:
@@ -38,11 +40,15 @@ def _finite(*names: str) -> Column:
     return F.expr(" and ".join(f"{n} is not null and not isnan({n}) and abs({n}) < double('infinity')" for n in names))
 
 
-def _sites(records: DataFrame, k: int) -> DataFrame:
-    """Records with finite places; of those at one place the first k by id, as no others can be among the nearest."""
+def first_at_places(records: DataFrame, k: int) -> DataFrame:
+    """(rec_id, lon, lat) of records with finite places; of those at one place the first k by id, as no others can be among the k nearest to any point."""
     place = Window.partitionBy("lon", "lat").orderBy("rec_id")
     sites = records.select("rec_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter(_finite("lon", "lat"))
-    return staged(sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= k).drop("_p"), "sites")
+    return sites.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= k).drop("_p")
+
+
+def _sites(records: DataFrame, k: int) -> DataFrame:
+    return staged(first_at_places(records, k), "sites")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -136,7 +142,9 @@ def boxes_join(records: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """(qid, rec_id) of records in each of many boxes (qid, lon1, lat1, lon2, lat2), edges included.
 
     Boxes meet records in grid cells of ``cell`` times a power of two, the least that is as wide as the box; so a box of
-    any size lies in four cells at most.
+    any size lies in four cells at most. Boxes with the same sides meet the records once, with their queries in arrays;
+    each hit is written out for a run of queries where it is found, and is not moved. Where there are few cells, their
+    boxes are dealt over several tasks.
     """
     held = lambda c: F.least(F.greatest(c, F.lit(-1e12)), F.lit(1e12))
     low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
@@ -144,10 +152,19 @@ def boxes_join(records: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     sides = sides.filter("x1 is not null and x2 is not null and y1 is not null and y2 is not null")
     wide = F.greatest(held(F.col("x2")) - held(F.col("x1")), held(F.col("y2")) - held(F.col("y1")), F.lit(float(cell)))
     sides = staged(sides.withColumn("level", F.ceil(F.log2(wide / cell)).cast("int")), "boxes")
-    levels = sorted(r["level"] for r in sides.select("level").distinct().collect())  # powers of two between a cell and the world
+    alike = ["level", "x1", "x2", "y1", "y2"]
+    once = staged(sides.groupBy(*alike).agg(F.min("qid").alias("box"), F.count("*").alias("n")), "boxes")
+    levels = sorted(r["level"] for r in once.select("level").distinct().collect())  # powers of two between a cell and the world
+    asked = tiles(sides.join(once, alike).select("box", "qid", "n"), "box", "qid").select("box", F.posexplode(runs_of("qid")).alias("_nth", "_run"))
     at = lambda c, level: F.floor(held(c) / (F.lit(float(cell)) * F.pow(F.lit(2.0), level)))
-    cells = sides.withColumn("cx", F.explode(F.sequence(at(F.col("x1"), F.col("level")), at(F.col("x2"), F.col("level")))))
-    cells = cells.withColumn("cy", F.explode(F.sequence(at(F.col("y1"), F.col("level")), at(F.col("y2"), F.col("level")))))
+    cells = once.withColumn("cx", F.explode(F.sequence(at(F.col("x1"), F.col("level")), at(F.col("x2"), F.col("level")))))
+    cells = staged(cells.withColumn("cy", F.explode(F.sequence(at(F.col("y1"), F.col("level")), at(F.col("y2"), F.col("level"))))).drop("n"), "cells")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(SALTS, -(-4 * parts // max(1, cells.select("level", "cx", "cy").distinct().count())))
+    there = cells.join(asked, "box").withColumn("salt", F.pmod(F.xxhash64("box", "_nth", "_run"), F.lit(salts)))
     sites = records.select("rec_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
-    sites = sites.withColumns({"cx": at(F.col("lon"), F.col("level")), "cy": at(F.col("lat"), F.col("level"))})
-    return cells.join(sites, ["level", "cx", "cy"]).filter("lon between x1 and x2 and lat between y1 and y2").select("qid", "rec_id")
+    sites = sites.withColumns({"cx": at(F.col("lon"), F.col("level")), "cy": at(F.col("lat"), F.col("level"))}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    at_cell = ["level", "cx", "cy", "salt"]
+    # by number, as what comes in says nothing about how much comes out
+    found = there.repartition(2 * parts, *at_cell).join(sites.repartition(2 * parts, *at_cell), at_cell).filter("lon between x1 and x2 and lat between y1 and y2")
+    return found.select("rec_id", F.explode("_run").alias("qid")).select("qid", "rec_id")
